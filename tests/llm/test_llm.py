@@ -1,0 +1,339 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from pitchspark.llm import chat, common, decontam, lines, lm, neardup, packing, pii, quality, queries, secrets, warc
+
+from . import brute
+
+DATA = "/root/testdata/sf0.001"
+LONG = " ".join(f"w{i * 7919 % 1009}" for i in range(60_000))
+ODD = [
+    (9001, None), (9002, ""), (9003, " \t\n"), (9004, "one"), (9005, "One two"), (9006, "one TWO"), (9007, "a b c d"), (9008, "a b c d e"),
+    (9009, LONG), (9010, LONG + " more"), (9011, "x" * 300_000), (9012, "a\\s<|im_end|> é " * 40), (9013, "@" * 500 + "a@b.c.d a@b.c_d@e.f 1.2.3.4.5.6.7.8 999.1.2.3 0001.2.3.004"),
+    (9014, "+1 (743) 555-3824 4111 1111 1111 1111 4111-1111-1111-1112 +12 +1..........5 12345678901234567890"), (9015, "\U0001f600 mail \U0001f600x@y.zz \U0001f600 +49 30 1234567"),
+]
+
+
+def frame(spark, rows, schema="doc_id long, text string"):
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    return [(r.doc_id, r.text) for r in rows] + ODD
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    """All columns of documents, some null, and columns whose names the operators use themselves."""
+    rows = [(d, t, None if d % 7 == 0 else "en", None if d % 5 == 0 else f"src{d % 9}", len(t or ""), "x", 1) for d, t in texts]
+    return frame(spark, rows, "doc_id long, text string, lang string, source string, n_chars long, key string, n int").repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def by_id(df, *columns):
+    return {r[0]: tuple(r[1:]) for r in df.select(df.columns[0], *columns).collect()}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("aAzZ09é   \t\n\r\x0b\x0c-_\x1c"), max_size=40)), max_size=6))
+def test_words_are_hashed_alike(texts):
+    for mask, pattern in ((common.NOT_SPACE, brute.SPACED), (common.ALNUM, brute.ALNUM)):
+        h, n = common.word_hashes(texts, mask)
+        words = [pattern.findall(brute.lower(t)) for t in texts]
+        assert list(n) == [len(w) for w in words]
+        flat = [w for ws in words for w in ws]
+        assert len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    whole, n = common.word_hashes([LONG, "a", None, LONG], common.NOT_SPACE)
+    monkeypatch.setattr(common, "CHUNK", 1000)
+    parts, m = common.word_hashes([LONG, "a", None, LONG], common.NOT_SPACE)
+    assert list(n) == list(m) and (whole == parts).all()
+
+
+def test_near_duplicates(spark, docs, texts, none):
+    out = neardup.near_duplicates(docs, 4, 80)
+    assert by_id(out, "n_shingles", "component_id", "kept") == brute.near_duplicates(texts, 4, 80)
+    assert neardup.near_duplicates(none).count() == 0
+
+
+def test_near_duplicates_with_chains_and_crowds(spark):
+    rng = random.Random(5)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    rows, d = [], 0
+    for size in (5, 6, 7, 9, 12, 20, 40, 100):
+        for _ in range(12):
+            base = [word() for _ in range(size)]
+            for _ in range(8):  # a chain: each is an edit of the one before
+                base = [word() if rng.random() < 0.25 / size else w for w in base] + [word()] * (rng.random() < 0.3)
+                rows.append((d, " ".join(base)))
+                d += 1
+    crowd = [word() for _ in range(60)]  # many texts that share half of their words and no link
+    rows += [(d + i, " ".join(crowd + [word() for _ in range(30 + i % 40)])) for i in range(150)]
+    rng.shuffle(rows)
+    out = neardup.near_duplicates(frame(spark, rows), 4, 80)
+    assert by_id(out, "n_shingles", "component_id", "kept") == brute.near_duplicates(rows, 4, 80)
+
+
+def test_dedup_keeps_one_of_each_group(spark, docs):
+    kept = neardup.dedup(docs)
+    want = {r.doc_id for r in neardup.near_duplicates(docs).where("kept").collect()}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2100)]
+    low = {x: x for e in edges for x in e}
+    for _ in range(300):
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    got = by_id(neardup.components(frame(spark, edges, "u long, v long")), "component")
+    assert got == {x: (m,) for x, m in low.items() if x in got} and all(m == x for x, m in low.items() if x not in got)
+
+
+def test_quality_rules(docs, texts, none):
+    out = by_id(quality.quality_rules(docs, min_group=10), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert {d: x[:-1] for d, x in out.items()} == {d: brute.quality(t) for d, t in texts}
+    assert not any(kept and failed for *_, failed, kept in out.values())
+    assert quality.quality_rules(none).count() == 0 and quality.keep_good(docs).columns == docs.columns
+
+
+def test_quality_keeps_what_is_labelled_good(spark):
+    d = "/root/testdata/sf0.01"
+    out = quality.quality_rules(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    rate = {r.quality: r.kept for r in out.where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert rate[1] == 1.0 and rate[0] < 0.1
+
+
+def test_line_dedup(spark, docs, texts, none):
+    rows = [(d, t, None if d % 5 == 0 else f"src{d % 9}") for d, t in texts]
+    shared = "these words stand on many sites"
+    rows += [(500_000 + i, f"own line number {i}\n{shared}\nOf.\n{shared}", f"src{i % 12}") for i in range(60)]
+    more = frame(spark, rows, "doc_id long, text string, source string")
+    for least in (3, 8):
+        out = by_id(lines.line_dedup(more, least), "n_lines", "n_removed", "text")
+        assert out == brute.line_dedup(rows, least, lines.MIN_WORDS)
+    assert lines.without_boilerplate(docs).columns == docs.columns
+    assert lines.line_dedup(none).count() == 0
+
+
+def test_decontamination(spark, docs, texts, none):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    items += [(901, None), (902, "--"), (903, "one"), (904, "ONE two"), (905, LONG[:400]), (906, LONG[:400]), (907, " ".join(LONG.split()[100:111])), (908, texts[0][1])]
+    got = decontam.decontaminate(docs, frame(spark, items, "item_id long, text string"))
+    assert by_id(got, "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute.decontaminate(texts, items)
+    kept = decontam.drop_contaminated(docs, frame(spark, items, "item_id long, text string"))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, x in brute.decontaminate(texts, items).items() if not x[-1]}
+    assert decontam.decontaminate(none, frame(spark, items, "item_id long, text string")).count() == 0
+    assert decontam.decontaminate(docs, frame(spark, [], "item_id long, text string")).where("contaminated").count() == 0
+
+
+def test_decontamination_beyond_the_broadcast_bound(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()] + [(903, "one")]
+    got = decontam.decontaminate(docs, frame(spark, items, "item_id long, text string"))
+    assert by_id(got, "n_hit") == {d: x[1:2] for d, x in brute.decontaminate(texts, items).items()}
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.TOKENIZER)
+
+
+def test_packing(spark, docs, texts, none, tokenizer):
+    rows = packing.pack(docs.union(docs.where("doc_id = 9004")), queries.TOKENIZER, with_ids=True).collect()
+    want = Counter((d, *p) for d, t in [*texts, (9004, "one")] for p in brute.pieces(t, tokenizer))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    filled = {}
+    for r in rows:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(filled) <= 1 + 1.02 * sum(r.length for r in rows) / 1024
+    assert packing.pack(none, queries.TOKENIZER).count() == 0
+
+
+def test_packed_sequences_hold_the_ids(spark, tokenizer):
+    table = frame(spark, [(1, "some text"), (2, "other text here"), (3, None)])
+    out = packing.sequences(packing.pack(table, queries.TOKENIZER, with_ids=True)).collect()
+    assert len(out) == 1 and sorted(out[0].input_ids) == sorted(i for t in ("some text", "other text here", "") for i in [*tokenizer.encode(t, add_special_tokens=False).ids, 2])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=60))
+def test_token_ids_are_those_of_tokenizers(tokenizer, text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert packing.encoder(queries.TOKENIZER).encode(text, allowed_special="all") == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), min_size=1))
+def test_best_fit_places_every_rank_once(counts):
+    plan = packing.best_fit(counts, 64)
+    load = Counter()
+    for length, first, ranks, sequence, offset in plan:
+        for i in range(ranks):
+            assert load[sequence + i] == offset
+            load[sequence + i] += length
+    assert max(load.values()) <= 64
+    for length, n in counts.items():
+        assert sorted(r for x, f, k, *_ in plan if x == length for r in range(f, f + k)) == list(range(n))
+
+
+def test_pii(docs, texts, none):
+    rows = by_id(pii.find_pii(docs), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    for d, t in texts:
+        want = brute.pii(t)
+        assert rows[d][:5] == want[:5], d
+        assert want[5] <= set(rows[d][5].split(","))
+    assert pii.find_pii(none).count() == 0
+
+
+def test_pii_admits_what_the_labelers_support(spark):
+    rows = [(i, f"Mail me: a{i}@host.com or call phone +1 (743) 555-38{i:02}.") for i in range(40)]
+    rows += [(100 + i, f"Contact mail: joe{i} [at] host [dot] com, phone (743) 555-38{i:02}.") for i in range(10)]
+    rows += [(200 + i, f"Serial version x000 000 0000y{i}") for i in range(10)]
+    spans = {r.doc_id: r.spans for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert all("email_masked" in spans[100 + i] and "phone_local" in spans[100 + i] for i in range(10))
+    assert not any(spans[200 + i] for i in range(10))
+
+
+def test_secrets_are_told_from_other_runs(spark, none):
+    rng = random.Random(2)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'some words here token = "{key()}" and more of them thoroughlyreadablewords{"abcdefghij"[i % 10]}') for i in range(60)]
+    held_out = [(1000 + i, f'x api_key: "{key()}" then internationalizationword') for i in range(20)]
+    out = secrets.scan_secrets(frame(spark, rows + held_out)).collect()
+    found = {(r.doc_id, r.value_sha256) for r in out if r.is_secret}
+    want = {(d, hashlib.sha256(t.split('"')[1].encode()).hexdigest()) for d, t in rows + held_out}
+    assert found == want
+    text = dict(rows + held_out)
+    assert all(hashlib.sha256(text[r.doc_id][r.start : r.end].encode()).hexdigest() == r.value_sha256 for r in out)
+    assert secrets.scan_secrets(none).count() == 0
+
+
+def test_secrets_on_odd_texts(docs, texts):
+    import re
+
+    got = Counter(r.doc_id for r in secrets.scan_secrets(docs).collect())
+    assert got == Counter({d: n for d, t in texts if (n := len(re.findall(r"[A-Za-z0-9+/=_-]{16,}", t or "")))})
+
+
+def test_archives(spark):
+    big, small = "b" * 2000, "s" * 10
+    rows = [(i, f"http://h/{i} \n", big if i % 3 == 0 else small if i % 3 == 1 else f"é{i}" * 600) for i in range(30)] + [(90, None, None), (91, "u", ""), (92, "u", big), (92, "u", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1)).repartition(4)
+    manifest = warc.write_archives(pages)
+    read = warc.read_archives(manifest)
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read.collect() if r.page_id != 92)
+    want = []
+    for i, _, html in rows[:-2]:
+        raw = (html or "").encode()
+        again = html == big
+        want.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", 92 if again else None))
+    assert [x[:4] for x in got] == [x[:4] for x in sorted(want, key=lambda x: x[0])] and [x[4] for x in got] == [x[4] for x in sorted(want, key=lambda x: x[0])]
+    assert {r.record_type for r in read.collect() if r.page_id == 92} == {"response"}
+    assert {r.page_id: bytes(r.payload).decode() for r in read.collect() if r.record_type == "response"} == {i: h or "" for i, _, h in rows if not (h == big and i != 92)}
+    for r in manifest.collect():
+        with open(r.path.removeprefix("file://"), "rb") as f:
+            assert int.from_bytes(f.read(4), "little") == warc.DICT_MAGIC
+    assert warc.archive_pages(pages.limit(0)).count() == 0
+
+
+def test_archives_are_plain_zstandard(spark):
+    import zstandard
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").coalesce(1)
+    path = warc.write_archives(pages).first().path.removeprefix("file://")
+    raw = open(path, "rb").read()
+    size = int.from_bytes(raw[4:8], "little")
+    words = zstandard.ZstdCompressionDict(raw[8 : 8 + size])
+    frame = zstandard.ZstdDecompressor(dict_data=words).decompressobj()
+    assert frame.decompress(raw[8 + size :]).startswith(b"WARC/1.1\r\nWARC-Type: response")
+
+
+TURNS = [
+    (1, 0, "user", "hi"), (1, 1, "assistant", "yo<|im_end|>\\s\\p|"), (1, 2, "user", None), (2, 0, "assistant", "a"), (2, 0, "assistant", "a"), (2, 1, "assistant", "<|im_start|>assistant\nx<"),
+    (3, 0, "system\nx\\l", "only"), (4, None, None, "z"), (4, 5, "assistant", ""), (-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok"),
+]
+
+
+def test_chat(spark):
+    table = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumn("example", F.lit(9))
+    out = by_id(chat.chat_digest(chat.chat_examples(table)), "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+    assert out == brute.chat([(c, -1 if t is None else t, r, x) for c, t, r, x in TURNS])
+    examples = chat.chat_examples(table).where("conv_id = 1").orderBy("example").collect()
+    assert [e.n_turns for e in examples] == [2, 3] and examples[1].loss_start == examples[1].loss_end
+    assert chat.chat_digest(chat.chat_examples(table.limit(0))).count() == 0
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "<|x"]), st.text(alphabet="<|>\\spl im_endstart\n", max_size=25)), min_size=1, max_size=5))
+def test_chat_round_trip(spark, turns):
+    rows = [(7, i, r, t) for i, (r, t) in enumerate(turns)]
+    out = chat.chat_digest(chat.chat_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert by_id(out, "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == brute.chat(rows)
+
+
+def test_lm_scores_match_a_plain_version_and_beat_word_counts(spark, docs, texts, none):
+    words = lm.vocabulary(docs)
+    p = lm.train(docs, words)
+    picked = [t for _, t in texts[:40]] + [None, "", "one", "zzz unseen words"]
+    n, total = lm.text_scores(p, words, picked)
+    for t, k, got in zip(picked, n, total, strict=True):
+        h, _ = common.word_hashes([t], common.NOT_SPACE)
+        classes, logs = words.of(h)
+        assert k == len(brute.SPACED.findall(brute.lower(t)))
+        want = 0.0
+        for i in range(len(h)):
+            around = [classes[i + o] if 0 <= i + o < len(h) else lm.PAD for o in lm.OFFSETS]
+            hidden = np.tanh(sum(p[0][j][c].astype(float) for j, c in enumerate(around)) + p[1])
+            z = hidden @ p[2] + p[3]
+            want += z[classes[i]] - np.log(np.exp(z).sum()) + logs[i]
+        assert got == pytest.approx(want, rel=1e-3, abs=1e-3)
+    out = by_id(lm.pseudo_likelihood(docs), "n_tokens", "pll", "pll_per_token")
+    assert out[9001] == (0, 0.0, None) and len(out) == len(texts)
+    assert lm.pseudo_likelihood(none).count() == 0
+
+
+def test_lm_learns_from_both_sides(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(x for _ in range(60) for x in [("a", "b", "c"), ("d", "e", "f")][rng.randrange(2)])) for i in range(200)]
+    table = frame(spark, rows)
+    words = lm.vocabulary(table)
+    held_out = [" ".join(x for _ in range(60) for x in [("a", "b", "c"), ("d", "e", "f")][rng.randrange(2)])]
+    before = lm.text_scores(lm.start_parameters(words), words, held_out)[1][0]
+    after = lm.text_scores(lm.train(table, words), words, held_out)[1][0]
+    assert after > before * 0.7
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.stored(stage(spark, docs, DATA), name)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes and 0 < out.count() <= docs.count()
+        docs = out
+    assert corpus_pipeline.run(spark, DATA).select("doc_id").distinct().count() == docs.count()
