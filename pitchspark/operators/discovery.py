@@ -148,13 +148,15 @@ def similar_players(vectors: DataFrame, pool: DataFrame | None = None, k: int =
     types = dict(vectors.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in block) + ", player_id long, candidate_id long, distance double"
 
+    none = pd.DataFrame({c: pd.Series([], dtype=object) for c in block} | {"player_id": pd.Series([], dtype="int64"), "candidate_id": pd.Series([], dtype="int64"), "distance": pd.Series([], dtype="float64")})
+
     def nearest(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         def unit(df: pd.DataFrame) -> np.ndarray:
             x = np.array(df["embedding"].tolist(), dtype=np.float64)
             return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
         if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in [*block, "player_id", "candidate_id", "distance"]})
+            return none
         right = right.rename(columns=lambda c: c.removeprefix("c_"))
         ids, own = right["player_id"].to_numpy(), left["player_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
@@ -165,6 +167,8 @@ def similar_players(vectors: DataFrame, pool: DataFrame | None = None, k: int =
         bound = np.partition(far, n - 1, axis=1)[:, n - 1 : n]
         rows, columns = np.nonzero((far <= bound) & np.isfinite(far))
         best = pd.DataFrame({"r": rows, "player_id": own[rows], "candidate_id": ids[order][columns], "distance": far[rows, columns]})
+        if best.empty:
+            return none
         best = best.sort_values(["r", "distance", "candidate_id"]).groupby("r").head(k)
         for c, v in zip(block, key, strict=False):
             best[c] = v

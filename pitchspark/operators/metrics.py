@@ -92,8 +92,9 @@ def peer_rank(long: DataFrame, by: tuple[str, ...] = PEERS, negative: tuple[str,
     bins = long.groupBy(*keys, "value").agg(F.count("*").alias("equal"))
     group = Window.partitionBy(*keys)
     below = F.coalesce(F.sum("equal").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    moments = long.groupBy(*keys).agg(F.count("*").alias("sample_size"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("stdev"), F.min("value").alias("low"), F.max("value").alias("high"))
-    bins = bins.withColumn("below", below).join(moments.where("sample_size >= 2"), keys)
+    bins = bins.withColumns({"below": below, "sample_size": F.sum("equal").over(group), "low": F.min("value").over(group), "high": F.max("value").over(group)})
+    bins = bins.withColumn("mean", F.sum(F.col("value") * F.col("equal")).over(group) / F.col("sample_size"))
+    bins = bins.withColumn("stdev", F.sqrt(F.sum(F.col("equal") * F.pow(F.col("value") - F.col("mean"), F.lit(2))).over(group) / F.col("sample_size"))).where("sample_size >= 2")
     less = F.col("metric").isin(*negative)
     sign = F.when(less, -1.0).otherwise(1.0)
     z = F.when(F.col("low") == F.col("high"), 0.0).otherwise(rounded(sign * (F.col("value") - F.col("mean")) / F.col("stdev"), 3))

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import FUZZY_ACCEPT, NON_MOVES, RECENT_DAYS, SAME_MOVE_DAYS
 from ..functions import club_key, normalize_name, position_group, same_person, season_of_date, surname_key
@@ -15,7 +16,7 @@ from ..functions.text import as_date, club_tokens, is_youth_team, name_words, sa
 from ..sources.tables import latest_rows
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity of two keys."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
