@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, mix, shingle_set, slices, stored, word_hashes
+from .common import NOT_SPACE, dropped, mix, shingle_set, slices, small, stored, word_hashes
 
 ROUNDS, BUCKETS, MANTISSA = 16, 16, 10
 ROWS = 6
@@ -82,78 +82,126 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v")).groupBy("id").agg(F.min("component").alias("component"))
+            out = stored(e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v")).groupBy("id").agg(F.min("component").alias("component")), "labels")
+            dropped(e)
+            return out
         before = state
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        e = stored(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct(), "edges")
+        star = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
+        e, last = stored(star, "edges"), e
+        dropped(last)
 
 
-def _linked(pairs: DataFrame, sigs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+def _of(ids: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose doc_id is among ``ids`` (id), one a doc_id."""
+    return table.join(small(ids).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
+
+
+def _linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (u, v) whose full sets reach the similarity; the register estimate only spares hopeless ones."""
     side = lambda df, c, name: df.select(F.col("doc_id").alias(c), F.col(name).alias(f"{name}_{c}"))
-    near = pairs.join(side(sigs, "u", "sig"), "u").join(side(sigs, "v", "sig"), "v")
+    pairs = stored(pairs, "pairs")
+    ids = _ends(pairs)
+    own = _of(ids, sigs.select("doc_id", "sig"))
+    near = pairs.join(side(own, "u", "sig"), "u").join(side(own, "v", "sig"), "v")
     same = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: F.when((a == b) & (a != EMPTY), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     used = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: F.when((a != EMPTY) | (b != EMPTY), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     near = near.select("u", "v", same.alias("same"), used.alias("used"))
     j = percent / 100
     estimate = (F.col("same") / F.greatest("used", F.lit(1)) - COLLISION) / (1 - COLLISION)
-    near = near.where(estimate >= j - 5 * F.sqrt(j * (1 - j) / F.greatest("used", F.lit(1)))).select("u", "v")
+    near = stored(near.where(estimate >= j - 5 * F.sqrt(j * (1 - j) / F.greatest("used", F.lit(1)))).select("u", "v"), "near")
+    likely = _ends(near)
+    shingles = _shingles(_of(likely, docs), k)
     full = near.join(side(shingles, "u", "shingles"), "u").join(side(shingles, "v", "shingles"), "v")
     full = full.select("u", "v", F.size(F.array_intersect("shingles_u", "shingles_v")).cast("long").alias("common"), (F.size("shingles_u") + F.size("shingles_v")).cast("long").alias("total"))
-    return full.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("u", "v")
+    out = stored(full.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("u", "v"), "links")
+    dropped(pairs, ids, near, likely)
+    return out
+
+
+def _prefix_pairs(open_ids: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of different components among ``open_ids`` (id, component) that can reach the similarity, by prefix filter.
+
+    Shingles are ordered rarest first. Sets of that similarity share one of the first n - ceil(percent * n / 100) + 1 of
+    each, so only those are met. What stands before the first shared one is in one set alone, which bounds what they can
+    share: a text with many shingles of its own meets nobody. Of a shingle's holders those outside its largest
+    component meet the rest. Exact: no pair of the similarity is missed.
+    """
+    sets = _shingles(_of(stored(open_ids.select("id"), "ids"), docs), k).select(F.col("doc_id").alias("id"), F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+    sets = stored(sets, "tokens")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
+    ranked = sets.join(sets.groupBy("t").agg(F.count("*").alias("df")), "t").withColumn("rank", rank)
+    first = ranked.where((F.col("df") > 1) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("id", "n", "t", (F.col("n") - F.col("rank") + 1).alias("left"))
+    posts = stored(first.join(open_ids, "id"), "posts")
+    share = posts.groupBy("t", "component").agg(F.count("*").alias("c"))
+    major = share.groupBy("t").agg(F.max_by("component", "c").alias("major"), F.count("*").alias("kinds")).where("kinds > 1").select("t", "major")
+    held = posts.join(major, "t")
+    minor = held.where("component != major").select("t", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("left").alias("xleft"), F.col("component").alias("xc"))
+    # common shingles of a pair of the similarity: at least percent * (n + xn) / (100 + percent)
+    fits = F.least("left", "xleft") * (100 + percent) >= (F.col("n") + F.col("xn")) * percent
+    pairs = held.join(minor, "t").where((F.col("component") != F.col("xc")) & fits).select(F.least("id", "x").alias("u"), F.greatest("id", "x").alias("v")).distinct()
+    out = stored(pairs, "pairs")
+    dropped(sets, posts)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Words are runs outside ASCII white space after lower-casing A-Z. Texts with equal sets are one class.
-    Class representatives meet in bands of ``ROWS`` registers; in each bucket leaders are compared with all
-    other members and retire, links contract components, and a bucket is done when its members are all in
-    one component: every candidate link inside a bucket is decided without listing its pairs. Estimates prune
-    at five standard deviations, full sets decide. A pair at exactly the similarity meets in no band with
-    probability under 3e-6.
+    Class representatives meet in bands of ``ROWS`` registers. In each bucket all are compared with its head, and
+    links contract components. Texts that still share a bucket with another component are joined by an exact prefix
+    filter. Pairs inside a component are never listed, so crowds of copies stay linear. Estimates prune at five
+    standard deviations, full sets decide. A pair at exactly the similarity meets in no band with probability
+    under 3e-6.
 
     Null or empty texts: n_shingles 0, own component, kept. Repeated rows with one doc_id share a component.
     A null doc_id gives a null component and kept = true when alone in its class. Other columns are ignored;
     an empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = stored(signatures(docs, k), "signatures")
-    classes = sigs.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    classes = stored(sigs.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sigs.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"])
     n_bands = BUCKETS * ROUNDS // ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.struct(i.alias("i"), F.slice("sig", i * ROWS + 1, F.lit(ROWS)).alias("r")))
     bands = F.transform(F.filter(bands, lambda b: F.array_max(b["r"]) != EMPTY), lambda b: F.xxhash64(b["i"], b["r"]))
     members = reps.select(F.col("doc_id").alias("id"), F.explode(bands).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stored(members.join(shared, "bucket").withColumn("component", F.col("id")), "members")
-    shingles = stored(_shingles(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "shingles")
-    edges, labels, leaders = None, None, 1
-    while True:
-        salt = F.pmod(F.xxhash64("id", F.lit(leaders)), F.lit(leaders))
-        live = members.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("bucket")
-        members = members.join(live, "bucket")
-        heads = members.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("id", "component")).alias("head")).select("bucket", F.col("head.id").alias("head"), F.col("head.component").alias("head_component"))
-        pairs = members.join(heads, "bucket").where("component != head_component").select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
-        new = stored(_linked(pairs, sigs.select("doc_id", "sig").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingles, percent), "links")
-        rest = stored(members.join(heads.select("bucket", F.col("head").alias("id")), ["bucket", "id"], "left_anti").drop("component"), "members")
-        edges = new if edges is None else edges.union(new)
-        labels = stored(components(edges), "labels")
-        if rest.isEmpty():
-            break
-        members = rest.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        leaders = min(16, leaders * 4)
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(members.join(shared, "bucket"), "shared")
+    # a bucket's head is its member with most company: of edited copies the one nearest to all
+    company = shared.groupBy("id").agg(F.sum("n").alias("company"))
+    heads = shared.join(company, "id").groupBy("bucket").agg(F.max_by("id", F.struct(F.col("company"), -F.col("id"))).alias("head"))
+    members = stored(shared.join(heads, "bucket").select("bucket", "id", "head"), "members")
+    dropped(shared)
+    pairs = members.where("id != head").select(F.least("head", "id").alias("u"), F.greatest("head", "id").alias("v")).distinct()
+    links = _linked(pairs, sigs, docs, k, percent)
+    labels = components(links)
+    named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # the head was compared with all: a bucket is open where the others are in several components
+    others = named.where("id != head")
+    open_buckets = others.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("bucket")
+    open_ids = stored(others.join(open_buckets, "bucket").select("id", "component").distinct(), "open")
+    if not open_ids.isEmpty():
+        more = _linked(_prefix_pairs(open_ids, docs, k, percent), sigs, docs, k, percent)
+        last, labels = labels, components(links.union(more))
+        dropped(last, more)
+    dropped(members, links, open_ids)
     of_class = classes.join(labels, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    keys = stored(sigs.select("doc_id", "n_shingles", "set_key"), "keys")
+    dropped(sigs)
+    out = keys.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` with one document of each group left: the smallest doc_id; its columns are unchanged."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = stored(near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct(), "gone")
+    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)

@@ -144,7 +144,7 @@ def test_decontamination(spark, docs, texts, none):
 
 
 def test_decontamination_beyond_the_broadcast_bound(spark, docs, texts, monkeypatch):
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()] + [(903, "one")]
     got = decontam.decontaminate(docs, frame(spark, items, "item_id long, text string"))
     assert by_id(got, "n_hit") == {d: x[1:2] for d, x in brute.decontaminate(texts, items).items()}
