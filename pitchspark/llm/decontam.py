@@ -7,11 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, gram_hashes, slices, stored, word_hashes
+from .common import ALNUM, gram_hashes, slices, small, stored, word_hashes
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Fingerprints are broadcast up to so many rows (16 bytes each); beyond that the join shuffles.
-BROADCAST_ROWS = 1 << 20
 
 
 def _winnow(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,16 +79,13 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 10, k: i
     """
     bench = stored(_spans(items.select(F.col("item_id").cast("long").alias("id"), "text"), window, k, None), "benchmark")
     shorter = sorted(r.len for r in bench.where(F.col("len") < window).select("len").distinct().collect())
-    prints = bench.select("len", "print").distinct()
-    if bench.count() <= BROADCAST_ROWS:
-        prints = F.broadcast(prints)
+    # fingerprints are 12 bytes each: broadcast where their number allows, else the join shuffles
+    prints = small(stored(bench.select("len", "print").distinct(), "prints"))
     rows = _spans(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), window, k, shorter)
     near = rows.join(prints, ["len", "print"], "left_semi").select("id", "len", "start", F.posexplode("spans").alias("at", "span"))
     known = bench.select(F.col("id").alias("item_id"), "len", F.explode("spans").alias("span")).distinct()
     known = stored(known, "windows")
-    spans = known.select("len", "span").distinct()
-    if known.count() <= BROADCAST_ROWS:
-        spans = F.broadcast(spans)
+    spans = small(stored(known.select("len", "span").distinct(), "spans"))
     hits = near.join(spans, ["len", "span"], "left_semi").select(F.col("id").alias("doc_id"), (F.col("start") + F.col("at")).alias("start"), "len", "span")
     return stored(hits, "hits"), known
 
@@ -127,4 +122,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """Rows of ``docs`` without those that hold a benchmark window; columns are unchanged."""
     hits, _ = contaminated_spans(docs, items, window, k)
-    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(stored(hits.select("doc_id").distinct(), "leaks")), "doc_id", "left_anti").select(docs.columns)

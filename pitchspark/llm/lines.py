@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import BROADCAST_ROWS, small, stored
 
 #: A line of at least so many words on at least so many distinct sites is boilerplate.
 MIN_SITES, MIN_WORDS = 8, 3
@@ -48,8 +48,10 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """
 
     common = stored(boilerplate_lines(docs, min_sites), "boilerplate")
-    gone = _lines(docs).join(common, ["h", "g"]).where(F.struct("doc_id", "at") != F.col("first"))
-    gone = gone.groupBy("doc_id").agg(F.collect_set("at").alias("_gone")).withColumnRenamed("doc_id", "_doc")
+    gone = _lines(docs).join(small(common), ["h", "g"]).where(F.struct("doc_id", "at") != F.col("first"))
+    gone = stored(gone.groupBy("doc_id").agg(F.collect_set("at").alias("_gone")).withColumnRenamed("doc_id", "_doc"), "places")
+    if gone.agg(F.coalesce(F.sum(F.size("_gone") + 4), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     lines = F.split("text", "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
     left = F.element_at(F.transform(F.array(lines), lambda own: F.transform(places, lambda i: F.get(own, i))), 1)

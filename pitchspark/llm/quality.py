@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -127,5 +127,5 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that the rules keep; columns are unchanged. Rows that share a doc_id stay if one of them is kept."""
-    good = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(docs.columns)
+    bad = quality_rules(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
+    return docs.join(small(stored(bad, "rejected")), "doc_id", "left_anti").select(docs.columns)
