@@ -62,4 +62,69 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_lm_scoring, op2_minhash_near_dedup, op3_line_dedup, op4_secret_scan, op5_quality_rules, op6_best_fit_packing, op7_decontamination, op8_pii, op9_warc, op10_chat_formatting)
 }
 
-SQL: dict[str, str] = {}
+_WORD = "[^\x20\x09-\x0D]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP2 = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 2, 2))) AS r(i) WHERE len(ws) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+bi AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a AS id, a AS m FROM bi UNION SELECT b, m FROM r JOIN bi ON a = r.id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(k.m, d.doc_id) AS component_id, coalesce(k.m, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id, min(m) AS m FROM r GROUP BY id) k ON k.id = d.doc_id"""
+
+_OP3 = f"""WITH l AS (SELECT doc_id, coalesce(source, '') AS site, ls[i] AS line, i FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS r(i)),
+c AS (SELECT line, min((doc_id, i)) AS first FROM l WHERE len(regexp_extract_all(line, '{_WORD}')) >= {lines.MIN_WORDS} GROUP BY line HAVING count(DISTINCT site) >= {lines.MIN_SITES}),
+k AS (SELECT l.doc_id, l.i, l.line, c.line IS NOT NULL AND (l.doc_id, l.i) <> c.first AS gone FROM l LEFT JOIN c USING (line)),
+t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS t FROM k GROUP BY doc_id)
+SELECT doc_id, n_lines, CASE WHEN text IS NULL THEN 0 ELSE n_removed END AS n_removed, CASE WHEN n_removed > 0 THEN length(t) ELSE n_chars END AS n_chars, CASE WHEN n_removed > 0 THEN t ELSE text END AS text FROM documents JOIN t USING (doc_id)"""
+
+_FEATURES = {"symbols": "n_symbols * 1000 // greatest(n_words, 1)", "dup_lines": "n_dup_lines * 1000 // greatest(n_lines, 1)", "word_length": "word_chars * 1000 // greatest(n_words, 1)"}
+
+
+def _op5() -> str:
+    upper = "CASE feature " + " ".join(f"WHEN '{f}' THEN {v}" for f, v in quality.UPPER_SLACK.items()) + " END"
+    lower = "CASE feature " + " ".join(f"WHEN '{f}' THEN {quality.LOWER_SLACK.get(f, 1 << 60)}" for f in quality.UPPER_SLACK) + " END"
+
+    def fences(name: str, by: str, least: int) -> str:
+        keys = f"{by}, feature" if by else "feature"
+        return (
+            f"{name} AS (SELECT {keys}, q1 - {quality.SPREAD} * (q3 - q1) - {lower} AS low, q3 + {quality.SPREAD} * (q3 - q1) + {upper} AS high FROM (SELECT {keys}, min(bin) FILTER (upto * 4 >= total) AS q1, min(bin) FILTER (upto * 4 >= total * 3) AS q3 "
+            f"FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total FROM (SELECT {keys}, bin, sum(n) AS n FROM sk GROUP BY ALL)) WHERE total >= {least} GROUP BY ALL))"
+        )
+
+    rows = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{f}' AS feature, CAST({x} AS BIGINT) AS v FROM m WHERE NOT base_failed" for f, x in _FEATURES.items())
+    shift = f"greatest(length(bin(v)) - {quality.BIN_BITS + 1}, 0)"
+    return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT *, regexp_extract_all(t, '{_WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 7], ' ')) AS n FROM w, unnest(range(1, len(ws) - 6)) AS r(i)),
+c AS (SELECT doc_id, sum(least(8, gap)) AS n_repeat FROM (SELECT doc_id, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8) AS gap FROM g WHERE n > 1) GROUP BY doc_id),
+b AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
+m AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b), v AS MATERIALIZED ({rows}),
+sk AS (SELECT lang, source, feature, (v >> {shift}) << {shift} AS bin, count(*) AS n FROM v GROUP BY ALL),
+{fences("own", "lang, source", quality.MIN_GROUP)}, {fences("ofl", "lang", quality.MIN_GROUP)}, {fences("ofa", "", 0)},
+out AS (SELECT doc_id, count(*) FILTER (v.v < coalesce(own.low, ofl.low, ofa.low) OR v.v > coalesce(own.high, ofl.high, ofa.high)) AS bad FROM v LEFT JOIN own ON own.lang IS NOT DISTINCT FROM v.lang AND own.source IS NOT DISTINCT FROM v.source AND own.feature = v.feature LEFT JOIN ofl ON ofl.lang IS NOT DISTINCT FROM v.lang AND ofl.feature = v.feature JOIN ofa ON ofa.feature = v.feature GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(bad, 0) = 0 AS kept FROM m LEFT JOIN out USING (doc_id)"""
+
+
+_OP7 = rf"""WITH i AS (SELECT item_id, regexp_extract_all({_LOWER}, '{decontam.WORD}') AS ws FROM benchmark), iw AS MATERIALIZED (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[j:j + least(len(ws), 10) - 1], ' ') AS g FROM i, unnest(range(1, greatest(len(ws) - 8, 2))) AS r(j) WHERE len(ws) > 0),
+k AS MATERIALIZED (SELECT DISTINCT n, g FROM iw), d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '{decontam.WORD}') AS ws FROM documents),
+h AS MATERIALIZED (SELECT doc_id, j, n, g FROM (SELECT doc_id, j, x.n, array_to_string(ws[j:j + x.n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM k) x, unnest(range(1, len(ws) + 1)) AS r(j) WHERE j + x.n - 1 <= len(ws)) JOIN k USING (n, g)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(j, j + n)) AS r(p) GROUP BY doc_id), f AS (SELECT DISTINCT doc_id, item_id FROM h JOIN iw USING (n, g)),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM f GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+_OP9 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS b, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)
+SELECT page_id, b AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN b >= 1000 AND page_id < m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN b >= 1000 AND page_id < m THEN m END AS refers_to FROM p"""
+
+_ESCAPED = r"replace(replace({}, '\', '\s'), '<|', '<\p|')"
+_OP10 = f"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n, {len(chat.START) + len(chat.END) + 2} + length(replace({_ESCAPED.format('role')}, chr(10), '\\l')) + length({_ESCAPED.format('text')}) AS size FROM a),
+s AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY i)) AS turns_sha256, length(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(upto) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id"""
+
+#: Rows whose operator SQL can express. Language model, secret forest, packing and span classifier are tested instead.
+SQL: dict[str, str] = {"op2_minhash_near_dedup": _OP2, "op3_line_dedup": _OP3, "op5_quality_rules": _op5(), "op7_decontamination": _OP7, "op9_warc": _OP9, "op10_chat_formatting": _OP10}
