@@ -132,6 +132,16 @@ def word_hashes(texts: list[str | None], is_word: np.ndarray) -> tuple[np.ndarra
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), counts
 
 
+def count_words(texts: list[str | None], is_word: np.ndarray) -> np.ndarray:
+    """Number of words of each text; ``is_word`` has lower-case letters, so texts are lower-cased A-Z first."""
+    out = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        if text:
+            word = is_word[np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)]
+            out[i] = int(word[0]) + np.count_nonzero(word[1:] & ~word[:-1])
+    return out
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all windows of ``k`` consecutive words of one text; empty when there are fewer."""
     n = len(words) - k + 1

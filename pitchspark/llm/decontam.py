@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, gram_hashes, slices, small, stored, word_hashes
+from .common import ALNUM, count_words, gram_hashes, slices, small, stored, word_hashes
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -71,6 +71,16 @@ def _spans(df: DataFrame, window: int, k: int, shorter: list[int] | None) -> Dat
     return df.mapInArrow(run, "id long, len int, start long, print long, spans array<long>")
 
 
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words of every row."""
+
+    def run(batches):
+        for batch in (s for b in batches for s in slices(b)):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count_words(batch.column("text").to_pylist(), ALNUM))], ["doc_id", "n_words"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long")
+
+
 def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(doc_id, start, len, span) of every occurrence of an item's window, and (item_id, len, span) of the items.
 
@@ -106,8 +116,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     covered = ends.withColumn("fresh", fresh).groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"))
     found = hits.select("doc_id", "len", "span").distinct().join(known, ["len", "span"]).select("doc_id", "item_id").distinct()
     found = found.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("item_id").cast("string"))), ",").alias("items"))
-    n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD.replace(r"\x60\x7B", r"\x40\x5B-\x60\x7B"))), F.lit(0)).cast("long")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words.alias("n_words")).join(covered, "doc_id", "left").join(found, "doc_id", "left")
+    out = _word_counts(docs).join(covered, "doc_id", "left").join(found, "doc_id", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         "doc_id",
