@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +15,11 @@ BASE = ["email", "ip", "card", "phone"]
 ADDED = ["email_masked", "phone_local", "ssn", "iban"]
 KINDS = BASE + ADDED
 # Runs are entered at their start, or where the last match ended: what the plain patterns find, in linear time.
+# A card's digits are at least 14: shorter ones would fail, and no part of them could pass.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
+    "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "email_masked": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]++)++",
     "phone_local": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -131,17 +132,21 @@ def _features(kind: Column, votes: Column) -> list[Column]:
 def train(candidates: DataFrame) -> tuple[float, list[float]] | None:
     """Intercept and weights of the span classifier from (kind, votes) of all candidates.
 
-    Counted by kind and votes there are at most 8 * 3**4 patterns: those come to the driver, label each other
-    by ``reliabilities`` and train a logistic regression, weighted by how often they occur.
+    Counted by kind and votes there are at most 8 * 3**4 patterns: ``reliabilities`` labels them on the driver, and they
+    train a logistic regression, each weighted by how often it occurs and by how likely either label is.
     """
-    rows = candidates.groupBy("kind", "votes").agg(F.count("*").alias("n")).orderBy("kind", "votes").collect()
+    counts = stored(candidates.groupBy("kind", "votes").agg(F.count("*").alias("n")), "patterns")
+    rows = counts.orderBy("kind", "votes").collect()
     if not rows:
         return None
-    votes, n = np.array([r.votes for r in rows]), np.array([float(r.n) for r in rows])
-    p = reliabilities(votes, n)
-    shape = [[float(v[j] == x) for j in range(len(VOTES)) for x in (-1, 1)] + [float(r.kind == k) for k in range(len(KINDS))] for r, v in zip(rows, votes, strict=True)]
-    data = [(float(label), float(w), Vectors.dense(x)) for x, q, m in zip(shape, p, n, strict=True) for label, w in ((1, q * m), (0, (1 - q) * m))]
-    model = LogisticRegression(regParam=0.01, weightCol="w").fit(candidates.sparkSession.createDataFrame(data, ["label", "w", "features"]))
+    p = reliabilities(np.array([r.votes for r in rows]), np.array([float(r.n) for r in rows]))
+    name = lambda kind, votes: ":".join(map(str, [kind, *votes]))
+    known = F.create_map(*[F.lit(x) for r, q in zip(rows, p, strict=True) for x in (name(r.kind, r.votes), float(q))])
+    q = known[F.concat_ws(":", F.col("kind").cast("string"), F.col("votes").cast("array<string>"))]
+    either = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("n") * q).alias("w")), F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - q)).alias("w"))))
+    names = [f"f{i}" for i in range(2 * len(VOTES) + len(KINDS))]
+    data = counts.select(either.alias("e"), *[f.alias(x) for f, x in zip(_features(F.col("kind"), F.col("votes")), names, strict=True)]).select("e.*", *names)
+    model = LogisticRegression(regParam=0.01, weightCol="w").fit(VectorAssembler(inputCols=names, outputCol="features").transform(data))
     return float(model.intercept), [float(x) for x in model.coefficients]
 
 
