@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _STEP = _U(0xD6E8FEB86659FD93)
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,7 +162,7 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(gram_hashes(words, min(k, len(words)))) if len(words) else words
 
 
-def slices(batch: pa.RecordBatch, most: int = 1 << 22):
+def slices(batch: pa.RecordBatch, most: int = 1 << 21):
     """Rows of a batch in runs of about ``most`` bytes of text, one row at least."""
     sizes = np.array([0 if x is None else x for x in pc.binary_length(batch.column("text")).to_pylist()])
     at = 0
