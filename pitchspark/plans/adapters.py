@@ -7,6 +7,9 @@ from __future__ import annotations
 
 import datetime
 import re
+import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +98,19 @@ def season_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.withColumn("key_metrics", F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())))
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet, in the shared folder of ``spark.checkpoint.dir`` where it is set, and read again."""
+    spark = df.sparkSession
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or _own_dir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def with_tables(names: str, body: str, extra: dict[str, str] | None = None) -> str:
     """DuckDB SQL: ``body`` after the named tables (and ``extra`` ones) as common table expressions."""
     parts = [f"{n} AS ({re.sub(r'[{}]', '', TABLES[n])})" for n in names.split()]
@@ -102,4 +118,4 @@ def with_tables(names: str, body: str, extra: dict[str, str] | None = None) -> s
     return f"WITH {', '.join(parts)} {body}" if parts else body
 
 
-__all__ = ["AS_OF", "MAP_METRICS", "TABLES", "inputs", "season_rows", "table", "with_tables"]
+__all__ = ["AS_OF", "MAP_METRICS", "TABLES", "inputs", "season_rows", "table", "with_tables", "written"]

@@ -40,7 +40,7 @@ from ..functions.football import BOX_HALF, BOX_X, SIX_HALF, SIX_X
 from ..functions.text import FOLD_FROM, FOLD_TO, LIGATURES
 from ..operators import discovery, imports, metrics, quality, resolve, views
 from ..sources import files, tables
-from .adapters import AS_OF, MAP_METRICS, season_rows, table, with_tables
+from .adapters import AS_OF, MAP_METRICS, season_rows, table, with_tables, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -417,6 +417,12 @@ def metric_rows(s, d):
     return metrics.compute_metrics(season_rows(s, d), table(s, d, "players"))
 
 
+def both_rows(s, d):
+    """The metrics job's table, written once as in production, and its long form."""
+    m = written(metric_rows(s, d), "metrics")
+    return m, discovery.to_long(m)
+
+
 def long_rows(s, d):
     return metrics.peer_rank(metrics.per90_values(placed_rows(s, d))).where("percentile is not null").select("player_id", "season", "position_group", "metric", "percentile", F.col("value").alias("per90"), "sample_size")
 
@@ -526,8 +532,8 @@ CANDIDATES = "SELECT m.player_id, m.season, m.position_group, m.minutes, p.full_
 FILTERED = f"{CANDIDATES} AND p.market_value_eur <= 20000 AND (p.birth_date > {TODAY} - INTERVAL 21 YEAR OR (p.birth_date IS NULL AND p.birth_year >= 1979)) AND c.league_id IN (0, 1, 2, 3, 15, 20)"
 
 
-def candidate_rows(s, d, **filters):
-    return discovery.candidates(metric_rows(s, d), table(s, d, "players"), table(s, d, "clubs"), table(s, d, "leagues"), AS_OF, **filters)
+def candidate_rows(s, d, m=None, **filters):
+    return discovery.candidates(metric_rows(s, d) if m is None else m, table(s, d, "players"), table(s, d, "clubs"), table(s, d, "leagues"), AS_OF, **filters)
 
 
 @query("candidates", over_metrics(f"SELECT player_id, season, position_group, minutes, full_name, market_value_eur, club_name, league_name, strength_coef FROM ({FILTERED})", "clubs leagues"))
@@ -540,7 +546,7 @@ SIMILAR = "SELECT {k}, CAST(rank AS INT) AS rank, candidate_id, {d4} AS distance
 
 @query("similar_players", over_metrics(SIMILAR.format(k="player_id, season, position_group", ak="a.player_id, a.season, a.position_group", on="a.season = b.season AND a.position_group = b.position_group", d4=r("distance", 4)), extra=VECTORS))
 def similar_players(s, d):
-    return discovery.similar_players(metrics.vectors_of(metric_rows(s, d)))
+    return discovery.similar_players(written(metrics.vectors_of(metric_rows(s, d)), "vectors"))
 
 
 @query("similar_vectors", "WITH vectors AS (SELECT vec_id AS player_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) " + SIMILAR.format(k="player_id, label", ak="a.player_id, a.label", on="a.label = b.label", d4=r("distance", 4)))
@@ -558,12 +564,14 @@ PROGRESSION = AXES | {
 
 @query("progression", over_metrics("SELECT * FROM prog", extra=PROGRESSION))
 def progression(s, d):
-    return discovery.progression(metric_rows(s, d), long_rows(s, d))
+    m, long = both_rows(s, d)
+    return discovery.progression(m, long)
 
 
 @query("progression_flags", over_metrics("SELECT player_id, count(*) = 1 AS single_season, coalesce(max(nullif(population, 0)) / CAST(min(nullif(population, 0)) AS DOUBLE) >= 1.75, false) AS population_drifted, count(DISTINCT position_group) > 1 AS several_groups FROM prog GROUP BY player_id", extra=PROGRESSION))
 def progression_flags(s, d):
-    return discovery.progression_flags(discovery.progression(metric_rows(s, d), long_rows(s, d)))
+    m, long = both_rows(s, d)
+    return discovery.progression_flags(discovery.progression(m, long))
 
 
 _ONE = "CASE WHEN len(groups) = 1 THEN groups[1] END"
@@ -580,8 +588,9 @@ COMPARE = {
 
 @query("compare", over_metrics("SELECT set_id, n_players, coalesce(array_to_string(axes, ','), '') AS axes, CASE WHEN len(on_radar) >= 3 THEN array_to_string(on_radar, ',') WHEN len(axes) >= 3 THEN array_to_string(axes[1:6], ',') ELSE '' END AS chart_axes, coalesce(array_to_string(dropped, ','), '') AS dropped, array_to_string(groups, ',') AS position_groups FROM heads LEFT JOIN listed USING (set_id)", extra=COMPARE))
 def compare(s, d):
+    m, long = both_rows(s, d)
     sets = base(s, d, "part").select(F.expr("p_partkey div 3").alias("set_id"), (F.col("p_partkey") % 3).alias("place"), F.col("p_partkey").alias("player_id"), F.lit(None).cast("string").alias("season"))
-    out = discovery.compare(sets, metric_rows(s, d), long_rows(s, d))
+    out = discovery.compare(sets, m, long)
     return out.select("set_id", "n_players", *[F.array_join(c, ",").alias(c) for c in ("axes", "chart_axes", "dropped", "position_groups")])
 
 
@@ -602,7 +611,8 @@ def values(s, d):
 
 @query("rising_score", over_metrics(f"SELECT {K3}, score, league_weight, youth FROM scored", "clubs leagues market_values", RISING))
 def rising_score(s, d):
-    rows = candidate_rows(s, d).withColumn("age", age_at("birth_date", "birth_year", AS_OF)).where("age <= 23").join(discovery.profile_strength(long_rows(s, d)), discovery.KEYS)
+    m, long = both_rows(s, d)
+    rows = candidate_rows(s, d, m).withColumn("age", age_at("birth_date", "birth_year", AS_OF)).where("age <= 23").join(discovery.profile_strength(long), discovery.KEYS)
     rows = rows.withColumns(discovery.rising_score(F.col("profile"), F.col("age"), F.col("strength_coef")))
     return rows.where("score is not null").select(*discovery.KEYS, "score", "league_weight", "youth")
 
@@ -617,12 +627,14 @@ _RISING = f"SELECT {K3}, age, score, profile, league_weight, youth, axes_measure
 
 @query("rising", over_metrics(_RISING.format("SELECT * FROM scored ORDER BY score DESC, player_id, season LIMIT 25"), "clubs leagues market_values", RISING))
 def rising(s, d):
-    return discovery.rising(candidate_rows(s, d), long_rows(s, d), values(s, d), AS_OF)
+    m, long = both_rows(s, d)
+    return discovery.rising(candidate_rows(s, d, m), long, values(s, d), AS_OF)
 
 
 @query("rising_by_group", over_metrics(_RISING.format("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY season, position_group ORDER BY score DESC, player_id) AS n FROM scored) WHERE n <= 5"), "clubs leagues market_values", RISING))
 def rising_by_group(s, d):
-    return discovery.rising(candidate_rows(s, d), long_rows(s, d), values(s, d), AS_OF, limit=5, by=["season", "position_group"])
+    m, long = both_rows(s, d)
+    return discovery.rising(candidate_rows(s, d, m), long, values(s, d), AS_OF, limit=5, by=["season", "position_group"])
 
 
 _TOP = "SELECT player_id, season, position_group, minutes, metric, percentile FROM ({}) ORDER BY percentile DESC, player_id, season LIMIT 25"
@@ -631,12 +643,14 @@ _BAR = f"SELECT {K3}, p.minutes, metric, percentile FROM ({{}}) b JOIN placed p
 
 @query("discover_by_metric", over_metrics(_TOP.format(_BAR.format("SELECT * FROM long WHERE metric = 'tackles_won' AND percentile >= 0.7 AND sample_size >= 30"))))
 def discover_by_metric(s, d):
-    return discovery.discover(metric_rows(s, d), long_rows(s, d), "tackles_won")
+    m, long = both_rows(s, d)
+    return discovery.discover(m, long, "tackles_won")
 
 
 @query("discover_best_strength", over_metrics(_TOP.format(_BAR.format(f"SELECT * FROM ({STRONG}) WHERE rank = 1"))))
 def discover_best_strength(s, d):
-    return discovery.discover(metric_rows(s, d), long_rows(s, d))
+    m, long = both_rows(s, d)
+    return discovery.discover(m, long)
 
 
 FLAGSHIP = over_metrics(f"SELECT {K3}, minutes, metric, percentile FROM (SELECT *, row_number() OVER (PARTITION BY season, position_group ORDER BY percentile DESC, player_id) AS n FROM ({_BAR.format(f'SELECT * FROM ({STRONG}) WHERE rank = 1')})) WHERE n <= 10")
@@ -644,7 +658,8 @@ FLAGSHIP = over_metrics(f"SELECT {K3}, minutes, metric, percentile FROM (SELECT
 
 @query("discover_best_by_group", FLAGSHIP)
 def discover_best_by_group(s, d):
-    return discovery.discover(metric_rows(s, d), long_rows(s, d), limit=10, by=["season", "position_group"])
+    m, long = both_rows(s, d)
+    return discovery.discover(m, long, limit=10, by=["season", "position_group"])
 
 
 @query("metric_coverage", over_metrics("SELECT metric, count(*) AS n FROM long GROUP BY metric"))
