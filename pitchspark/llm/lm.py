@@ -6,12 +6,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, slices, stored, word_hashes
 
-#: Words with statistics of their own; the rest are out of vocabulary.
+#: Words whose counts are gathered; those of the rest stay in a table and are joined.
 VOCABULARY = 4096
 #: The network predicts one of CLASSES: a frequent word each, shared by other words of the vocabulary, shared by the rest.
 OWN, SHARED, OUTSIDE = 64, 48, 16
@@ -25,12 +26,16 @@ SHAPES = [(len(OFFSETS), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASS
 
 @dataclass
 class Words:
-    """Hashes of the vocabulary (sorted), their classes and log P(word | class); log P of any outside word by class."""
+    """Hashes of the vocabulary (sorted), their classes and log P(word | class).
+
+    Of the words outside, by class: log P of any, and what log n adds up with to the log P of a word seen n times.
+    """
 
     hashes: np.ndarray
     classes: np.ndarray
     logs: np.ndarray
     outside_logs: np.ndarray
+    outside_masses: np.ndarray
     class_logs: np.ndarray
 
     def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,9 +60,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> Words:
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Words:
     """From the counts of all words; ``VOCABULARY`` rows and ``OUTSIDE`` sums come to the driver."""
-    counts = stored(word_counts(docs), "words")
+    counts = stored(word_counts(docs), "words") if counts is None else counts
     top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY).toPandas()
     h, n = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.float64)
     rank = np.arange(len(h))
@@ -71,7 +76,14 @@ def vocabulary(docs: DataFrame) -> Words:
     mass[OWN + SHARED :] = rest[:, 1]
     logs = np.log(n / mass[classes]) if len(h) else n
     order = np.argsort(h)
-    return Words(h[order], classes[order], logs[order], -np.log(np.maximum(rest[:, 0], 1)), np.log((mass + 1) / (mass.sum() + CLASSES)))
+    return Words(h[order], classes[order], logs[order], -np.log(np.maximum(rest[:, 0], 1)), -np.log(np.maximum(rest[:, 1], 1)), np.log((mass + 1) / (mass.sum() + CLASSES)))
+
+
+def outside_words(counts: DataFrame, words: Words) -> DataFrame:
+    """h, more: words outside the vocabulary, and their own log P(word | class) less that of any outside word."""
+    known = counts.sparkSession.createDataFrame([(int(h),) for h in words.hashes.view(np.int64)], "h long")
+    shift = F.array(*[F.lit(float(x)) for x in words.outside_masses - words.outside_logs])
+    return counts.join(F.broadcast(known), "h", "left_anti").select("h", (F.log("n") + F.get(shift, F.pmod("h", F.lit(OUTSIDE)).cast("int"))).alias("more"))
 
 
 def start_parameters(words: Words, seed: int = 7) -> list[np.ndarray]:
@@ -144,9 +156,12 @@ def train(docs: DataFrame, words: Words, rounds: int = 1) -> list[np.ndarray]:
 
 
 def text_scores(p: list[np.ndarray], words: Words, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words and summed conditional log-probability of each text."""
+    """Number of words and summed conditional log-probability of each text, outside words as any of their class."""
     h, counts = word_hashes(texts, NOT_SPACE)
-    classes, logs = words.of(h)
+    return counts, _sums(p, *words.of(h), counts)
+
+
+def _sums(p: list[np.ndarray], classes: np.ndarray, logs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     row, at = _padded(classes, counts)
     total = logs.astype(np.float64)
     for a in range(0, len(at), BATCH):
@@ -156,25 +171,40 @@ def text_scores(p: list[np.ndarray], words: Words, texts: list[str | None]) -> t
         np.exp(z, out=z)
         total[a : a + BATCH] += picked - np.log(z.sum(1))
     sums = np.add.reduceat(np.append(total, 0.0), np.minimum(np.cumsum(counts) - counts, len(total))) if len(counts) else total
-    return counts, np.where(counts > 0, sums, 0.0)
+    return np.where(counts > 0, sums, 0.0)
+
+
+def _outside(h: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """Hashes of the outside words of each text."""
+    out = classes >= OWN + SHARED
+    upto = np.append(0, np.cumsum(out))[np.append(0, np.cumsum(counts))]
+    return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(h[out].view(np.int64)))
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """doc_id, n_tokens, pll, pll_per_token for every row of ``docs``.
 
     Each word is masked and predicted from ``REACH`` words on both sides: a softmax over word classes, times the
-    word's share of its class. Counts and parameters come from all texts.
+    word's share of its class. Counts and parameters come from all texts; every word has its own count, which is
+    joined from the table of all counts where the word is outside the gathered vocabulary.
 
     Null or empty texts have n_tokens 0, pll 0 and a null mean. Repeated rows are scored each. An empty table
     gives an empty result. Other columns are ignored.
     """
-    words = vocabulary(docs)
+    counts = stored(word_counts(docs), "words")
+    words = vocabulary(docs, counts)
     p = train(docs, words, rounds)
 
     def run(batches):
+        row = TaskContext.get().partitionId() << 40
         for batch in (s for b in batches for s in slices(b)):
-            n, total = text_scores(p, words, batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total)], ["doc_id", "n_tokens", "pll"])
-
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, pll double")
-    return scored.withColumn("pll_per_token", F.col("pll") / F.nullif(F.col("n_tokens"), F.lit(0)))
+            h, n = word_hashes(batch.column("text").to_pylist(), NOT_SPACE)
+            classes, logs = words.of(h)
+            rows = pa.array(np.arange(row, row + len(n)))
+            row += len(n)
+            yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), pa.array(n), pa.array(_sums(p, classes, logs, n)), _outside(h, classes, n)], ["row", "doc_id", "n_tokens", "pll", "outside"])
+
+    scored = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, n_tokens long, pll double, outside array<long>"), "scores")
+    more = scored.select("row", F.explode("outside").alias("h")).join(outside_words(counts, words), "h").groupBy("row").agg(F.sum("more").alias("more"))
+    out = scored.drop("outside").join(more, "row", "left").select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("more", F.lit(0.0))).alias("pll"))
+    return out.withColumn("pll_per_token", F.col("pll") / F.nullif(F.col("n_tokens"), F.lit(0)))

@@ -317,6 +317,30 @@ def test_lm_scores_match_a_plain_version_and_beat_word_counts(spark, docs, texts
     assert lm.pseudo_likelihood(none).count() == 0
 
 
+def test_lm_scores_every_word_by_its_own_count(spark, monkeypatch):
+    monkeypatch.setattr(lm, "VOCABULARY", 2)
+    rng = random.Random(4)
+    rows = [(i, "the of " + " ".join(f"w{int(rng.paretovariate(0.5)) % 500}" for _ in range(30))) for i in range(50)]
+    rows += [(7, "the of w1 w1 twice"), (7, "the of w1 w1 twice"), (7, "of another")]  # one doc_id, each row scored
+    table = frame(spark, rows).coalesce(1).cache()
+    words = lm.vocabulary(table)
+    p = lm.train(table, words)
+    n = Counter(w for _, t in rows for w in t.split())
+    key = {w: int(common.word_hashes([w], common.NOT_SPACE)[0][0]) for w in n}
+    top = sorted(n, key=lambda w: (-n[w], np.uint64(key[w]).astype(np.int64)))[:2]
+    mass = Counter()
+    for w in n:
+        mass[key[w] % lm.OUTSIDE] += 0 if w in top else n[w]
+    want = []
+    for d, t in rows:
+        h, _ = common.word_hashes([t], common.NOT_SPACE)
+        own = sum(np.log(n[w] / mass[key[w] % lm.OUTSIDE]) for w in t.split() if w not in top)
+        want.append((d, len(t.split()), lm.text_scores(p, words, [t])[1][0] - sum(words.of(h)[1]) + own))
+    got = sorted((r.doc_id, r.n_tokens, r.pll) for r in lm.pseudo_likelihood(table).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)], rel=1e-3)
+
+
 def test_lm_learns_from_both_sides(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(x for _ in range(60) for x in [("a", "b", "c"), ("d", "e", "f")][rng.randrange(2)])) for i in range(200)]
