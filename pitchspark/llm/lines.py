@@ -13,18 +13,18 @@ MIN_SITES, MIN_WORDS = 8, 3
 LOG_K, BAND = 10, 4
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    # a candidate has MIN_WORDS words; others never enter a shuffle
-    many = lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= MIN_WORDS
+    # a candidate has min_words words; others never enter a shuffle
+    many = lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= min_words
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.posexplode(lines).alias("at", "line"))
     return rows.where(many(F.col("line"))).select("doc_id", "site", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.reverse("line"), F.lit(1)).alias("g"))
 
 
-def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """h, g, first (doc_id, at): lines, as 128-bit hashes, on ``min_sites`` distinct sites, and where each first occurs."""
 
-    lines = _lines(docs)
+    lines = _lines(docs, min_words)
     spread = lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"), F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
     error = BAND * 1.04 / (1 << LOG_K) ** 0.5
     seen = spread.where(F.col("n") >= min_sites).select("h", "g", "first", F.hll_sketch_estimate("sketch").alias("sites"))
@@ -35,20 +35,20 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return seen.where(sure).select("h", "g", "first").union(near.join(exact.where(F.col("exact") >= min_sites), ["h", "g"], "left_semi").select("h", "g", "first"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows and columns of ``docs``, with text (and n_chars, where there is one) less boilerplate; n_lines, n_removed added.
 
     A site is a value of ``source``. Of a line on many sites its first occurrence (smallest doc_id, then
     place) stays, so nothing is lost; the others go. Lines are compared exactly, by 128-bit hashes; lines
-    of fewer than ``MIN_WORDS`` words stay. Only the places of removed lines travel, never the lines.
+    of fewer than ``min_words`` words stay. Only the places of removed lines travel, never the lines.
 
     A null text stays null, with one line; an empty one stays. A document that loses all its lines keeps its
     row, with an empty text. Null sources are one site. Rows that share a doc_id lose the same places.
     Existing columns n_lines and n_removed are replaced. An empty table gives an empty result.
     """
 
-    common = stored(boilerplate_lines(docs, min_sites), "boilerplate")
-    gone = _lines(docs).join(small(common), ["h", "g"]).where(F.struct("doc_id", "at") != F.col("first"))
+    common = stored(boilerplate_lines(docs, min_sites, min_words), "boilerplate")
+    gone = _lines(docs, min_words).join(small(common), ["h", "g"]).where(F.struct("doc_id", "at") != F.col("first"))
     gone = stored(gone.groupBy("doc_id").agg(F.collect_set("at").alias("_gone")).withColumnRenamed("doc_id", "_doc"), "places")
     if gone.agg(F.coalesce(F.sum(F.size("_gone") + 4), F.lit(0))).first()[0] <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
@@ -67,5 +67,5 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
-    """Rows and columns of ``docs``, texts less the lines that spread over many sites."""
-    return line_dedup(docs).select(docs.columns)
+    """Rows and columns of ``docs``, texts less the lines that spread over many sites, short ones too; blank lines stay."""
+    return line_dedup(docs, min_words=1).select(docs.columns)

@@ -132,6 +132,13 @@ def test_line_dedup(spark, docs, texts, none):
     assert lines.line_dedup(none).count() == 0
 
 
+def test_the_pipeline_drops_short_lines_of_many_sites(spark):
+    rows = [(i, f"own line number {i}\nLes.\n\nAnd ornd.\n{'Few.' if i % 12 < 7 else ''}", f"src{i % 12}") for i in range(60)]
+    out = by_id(lines.without_boilerplate(frame(spark, rows, "doc_id long, text string, source string")), "text")
+    assert out == {d: (x[2],) for d, x in brute.line_dedup(rows, lines.MIN_SITES, 1).items()}
+    assert out[0] == (rows[0][1],) and out[1] == ("own line number 1\n\nFew.",)
+
+
 def test_decontamination(spark, docs, texts, none):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     items += [(901, None), (902, "--"), (903, "one"), (904, "ONE two"), (905, LONG[:400]), (906, LONG[:400]), (907, " ".join(LONG.split()[100:111])), (908, texts[0][1])]
