@@ -16,6 +16,10 @@ from .spans import find, let
 
 CANDIDATE = r"[A-Za-z0-9+/=_-]{16,}+"
 NAMED = r"(?i)(?:key|token|secret|passw|pwd|credential|auth)[A-Za-z0-9_-]*[\"']?\s*[:=]+\s*[\"'`]?$"
+#: A value of any length and characters behind a credential's name, quoted or up to white space, and the password in a URL.
+HEAD = r"(?:(?i:key|token|secret|passw|pwd|credential|auth)[A-Za-z0-9_-]{0,64}+[\"']?\s{0,8}[:=]{1,3}\s{0,8}|[A-Za-z][A-Za-z0-9+.-]{0,31}://[^\s/:@]{0,256}:(?=[^\s/@]{1,256}@))"
+HELD = HEAD + r"(?:\"[^\"\n]+|'[^'\n]+|`[^`\n]+|(?<=://[^\s/:@]{0,256}:)[^\s/@]+|[^\s\"'`]+)"
+URL = r"://[^\s/:@]*:$"
 CUE = r"(?i)(?:key|token|secret|passw|pwd|credential|auth|bearer|api)"
 #: Words whose letter triples are the dictionary, and labelled findings that train the forest: bounds.
 DICTIONARY_WORDS, TRAINING_ROWS = 20_000, 20_000
@@ -42,14 +46,32 @@ def _coverage(value: Column, bits: str) -> Column:
             a, b, c = F.get(codes, i), F.get(codes, i + 1), F.get(codes, i + 2)
             return F.when((a >= 0) & (b >= 0) & (c >= 0), F.get(F.split(F.lit(bits), ""), (a * 26 + b) * 26 + c).cast("int")).otherwise(0)
 
-        return F.aggregate(F.transform(F.sequence(F.lit(0), F.size(codes) - 3), known), F.lit(0), lambda s, x: s + x) / (F.size(codes) - 2)
+        all_known = F.aggregate(F.transform(F.sequence(F.lit(0), F.size(codes) - 3), known), F.lit(0), lambda s, x: s + x) / (F.size(codes) - 2)
+        return F.when(F.size(codes) >= 3, all_known).otherwise(0.0)
 
     return let(F.transform(F.split(F.lower(value), ""), code), share)
 
 
+def _held(text: Column) -> Column:
+    """Spans as ``find`` gives them of the values that ``HELD`` finds, less those that are whole runs of key characters."""
+
+    def span(x: Column) -> Column:
+        head = F.regexp_extract(x["value"], "^" + HEAD.replace("(?=[^\\s/@]{1,256}@)", "") + "[\"'`]?", 0)
+        bare = ~head.rlike("[\"'`]$") & ~head.rlike(URL)
+        value = F.substring(x["value"], F.length(head) + 1, F.length(x["value"]))
+        value = F.when(bare, F.regexp_replace(value, r"[,;.)\]}]+$", "")).otherwise(value)
+        start = x["start"] + F.length(head)
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.right(F.concat(x["before"], head), F.lit(48)).alias("before"), x["after"].alias("after"))
+
+    key = "[A-Za-z0-9+/=_-]"
+    run = lambda x: x["value"].rlike(f"^{CANDIDATE}$") & ~x["before"].rlike(f"{key}$") & ~x["after"].rlike(f"^{key}")
+    return F.filter(F.transform(find(text, HELD), span), lambda x: (F.length(x["value"]) > 0) & ~run(x))
+
+
 def candidates(docs: DataFrame, bits: str) -> DataFrame:
-    """doc_id, start, end, value and FEATURES of every run of 16 or more key characters."""
-    found = docs.select(F.col("doc_id").cast("long"), F.explode(find(F.coalesce("text", F.lit("")), CANDIDATE)).alias("s")).select("doc_id", "s.*")
+    """doc_id, start, end, value and FEATURES of every run of 16 or more key characters and every value ``HELD`` finds."""
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select(F.col("doc_id").cast("long"), F.explode(F.concat(find(text, CANDIDATE), _held(text))).alias("s")).select("doc_id", "s.*")
     n = F.length("value")
     share = lambda chars: F.regexp_count("value", F.lit(chars)) / n
     flag = lambda c, pattern: F.col(c).rlike(pattern).cast("double")
@@ -74,9 +96,14 @@ def candidates(docs: DataFrame, bits: str) -> DataFrame:
     )
 
 
+def _named() -> Column:
+    """A value with digits, and not of digits only where it is short, behind a credential's name or in a URL's password."""
+    return (F.col("before").rlike(NAMED) | F.col("before").rlike(URL)) & (F.col("digits") > 0) & ((F.col("n") >= 16) | (F.col("digits") < 1))
+
+
 def labelled_findings(found: DataFrame) -> DataFrame:
     """Findings whose context settles them: assigned to a credential's name (1), or letters only in running text (0)."""
-    named = F.col("before").rlike(NAMED) & (F.col("digits") > 0)
+    named = _named()
     prose = ~F.col("before").rlike(CUE) & (F.col("assigned") == 0) & (F.col("digits") == 0) & F.col("value").rlike(r"^[A-Za-z_-]+$")
     return found.withColumn("label", F.when(named, 1.0).when(prose, 0.0)).where("label is not null")
 
@@ -95,7 +122,8 @@ def train(findings: DataFrame) -> PipelineModel | None:
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """doc_id, start, end, value_sha256, score, is_secret for every candidate in ``docs``.
 
-    A candidate is a run of 16 or more of A-Z a-z 0-9 + / = _ -. ``findings`` are labelled candidates; by default those
+    A candidate is a run of 16 or more of A-Z a-z 0-9 + / = _ -, a value of any length behind a credential's name
+    (quoted, or up to white space), or the password in a URL. ``findings`` are labelled candidates; by default those
     of ``docs`` whose context settles them. The forest sees length, character transitions, dictionary
     coverage, path and neighbouring words. Without findings of both labels it is the named assignments that
     are secrets, with scores 1 and 0.
@@ -106,7 +134,7 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None) -> DataFram
     found = stored(candidates(docs, dictionary(docs)), "candidates")
     model = train(labelled_findings(found) if findings is None else findings)
     if model is None:
-        scored = found.withColumn("score", (F.col("before").rlike(NAMED) & (F.col("digits") > 0)).cast("double"))
+        scored = found.withColumn("score", _named().cast("double"))
     else:
         scored = model.transform(found).withColumn("score", vector_to_array("probability")[1])
     return scored.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), (F.col("score") >= 0.5).alias("is_secret"))

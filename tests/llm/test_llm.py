@@ -240,6 +240,16 @@ def test_secrets_are_told_from_other_runs(spark, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def test_short_and_broken_secrets_are_found(spark):
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'words token = "{key()}" and thoroughlyreadablewords{"abcdefghij"[i % 10]}', None) for i in range(40)]
+    rows += [(100, 'x password = "hunter2-x9" y', "hunter2-x9"), (101, "x pwd: p@ss!w0rd, y", "p@ss!w0rd"), (102, "see postgres://joe:s3cr:t@db/x y", "s3cr:t")]
+    out = secrets.scan_secrets(frame(spark, [r[:2] for r in rows])).where("doc_id >= 100 and is_secret").collect()
+    text = {d: t for d, t, _ in rows}
+    assert sorted((r.doc_id, text[r.doc_id][r.start : r.end]) for r in out) == [(d, v) for d, _, v in rows if v]
+
+
 def test_secrets_on_odd_texts(docs, texts):
     import re
 
