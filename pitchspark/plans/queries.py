@@ -40,7 +40,8 @@ from ..functions.football import BOX_HALF, BOX_X, SIX_HALF, SIX_X
 from ..functions.text import FOLD_FROM, FOLD_TO, LIGATURES
 from ..operators import discovery, imports, metrics, quality, resolve, views
 from ..sources import files, tables
-from .adapters import AS_OF, MAP_METRICS, season_rows, table, with_tables, written
+from ..sources.scratch import stored as written
+from .adapters import AS_OF, MAP_METRICS, season_rows, table, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
