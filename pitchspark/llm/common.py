@@ -1,17 +1,15 @@
-"""Shared helpers: scratch tables and vectorised word hashing."""
+"""Shared helpers: tables, row numbers and vectorised word hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import dropped, scratch_dir, stored
+
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _STEP = _U(0xD6E8FEB86659FD93)
@@ -22,33 +20,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset, as in tests on one machine."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once as Parquet in the shared folder and rereads it: cuts lineage, survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Removes the files of ``stored`` tables that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Stored tables of up to so many rows of a few numbers each are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1 << 20
 
