@@ -12,9 +12,10 @@ import uuid
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
 from .common import scratch_dir, stored
 
 #: Skippable frame that holds the dictionary, first in the file.
@@ -22,6 +23,8 @@ DICT_MAGIC = 0x184D2A5D
 #: A dictionary's size, and the bytes of records at the head of an archive that it is trained on.
 DICT_BYTES, SAMPLE_BYTES = 64 << 10, 2 << 20
 MIN_REVISIT = 1000
+#: An archive is closed at so many bytes.
+ARCHIVE_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -54,37 +57,58 @@ def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
         return zstandard.ZstdCompressionDict(b"".join(samples)[-DICT_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder.removeprefix("file:"))
+#: Schemes of Hadoop's object store clients that Arrow's file systems know by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def _open(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path in it: a plain or file: path, or one with a scheme that Hadoop uses."""
+    scheme, _, rest = path.partition("://")
+    if not rest:
+        return pafs.LocalFileSystem(), path.removeprefix("file:")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, refers_to of every row; of equal payloads of ``MIN_REVISIT`` bytes the largest page_id is referred to."""
+    """page_id, url, payload, refers_to of every row; of equal payloads of ``MIN_REVISIT`` bytes the largest page_id is referred to.
+
+    Digests are grouped without the payloads. A counted small table of repeated digests is broadcast. A larger one
+    is joined to the narrow (page_id, key) rows, and the revisits found there to the pages by page_id and key, so that
+    the copies of a hot payload are spread; short pages take part in no join.
+    """
     p = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
-    p = p.withColumn("key", F.when(F.octet_length("payload") >= MIN_REVISIT, F.sha2("payload", 256)))
-    groups = p.where("key is not null").groupBy("key").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refers = F.when(F.col("first") != F.col("page_id"), F.col("first"))
-    return p.join(groups, "key", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    p = p.withColumn("key", F.when(F.octet_length("payload") >= MIN_REVISIT, F.unhex(F.sha2("payload", 256))))
+    groups = p.where("key is not null").groupBy("key").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    groups = stored(groups.where("n > 1").drop("n"), "digests")
+    columns = ["page_id", "url", "payload", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to")]
+    if groups.count() <= common.BROADCAST_ROWS:
+        return p.join(F.broadcast(groups), "key", "left").select(columns)
+    again = p.where("key is not null").select("key", "page_id").join(groups, "key").where("page_id != first").distinct()
+    long = p.where("key is not null").join(again, ["key", "page_id"], "left").select(columns)
+    return long.union(p.where("key is null").select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to")))
 
 
-def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes an archive a partition and returns path, records, bytes of each.
+MANIFEST = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
-    A task writes under a name of its own and only archives in the returned table count, so a task that runs
-    again leaves at most a file that nobody reads. Memory: the sample, then one record at a time.
+
+def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes archives of up to about ``archive_bytes``, one or more a partition, and returns path, records, bytes of each.
+
+    A task writes under names of its own and only archives in the returned table count, so a task that runs
+    again leaves at most files that nobody reads. Memory: the sample, then one record at a time.
     """
     folder = folder or f"{scratch_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
 
     def run(batches):
         fs, root = _open(folder)
-        held, size, out, packer, n = [], 0, None, None, 0
-        name = posixpath.join(root, f"part-{uuid.uuid4().hex}.warc.zst")
+        fs.create_dir(root, recursive=True)
+        held, size, n, out, name, packer = [], 0, 0, None, None, None
 
         def start():
-            nonlocal out, packer
+            nonlocal out, name, packer
             words = _dictionary(held)
-            fs.create_dir(root, recursive=True)
-            out = fs.open_output_stream(name, compression=None)
+            name = f"part-{uuid.uuid4().hex}.warc.zst"
+            out = fs.open_output_stream(posixpath.join(root, name), compression=None)
             raw = words.as_bytes()
             out.write(struct.pack("<II", DICT_MAGIC, len(raw)) + raw)
             packer = zstandard.ZstdCompressor(level=3, dict_data=words)
@@ -92,6 +116,16 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
                 out.write(packer.compress(record))
             held.clear()
 
+        def closed():
+            nonlocal size, n, out, packer
+            if held:
+                start()
+            total = out.tell()
+            out.close()
+            row = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [n], "bytes": [total]}, MANIFEST)
+            size, n, out, packer = 0, 0, None, None
+            return row
+
         for batch in batches:
             columns = [batch.column(c) for c in ("page_id", "url", "payload", "refers_to")]
             for i in range(batch.num_rows):
@@ -99,21 +133,17 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
                 n += 1
                 if packer:
                     out.write(packer.compress(record))
+                    if out.tell() >= archive_bytes:
+                        yield closed()
                     continue
                 held.append(record)
                 size += len(record)
                 if size >= SAMPLE_BYTES:
                     start()
         if n:
-            if held:
-                start()
-            total = out.tell()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"path": [name], "records": [n], "bytes": [total]}, pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
+            yield closed()
 
-    scheme = folder.split("://")[0] + "://" if "://" in folder else ""
-    manifest = revisits(pages).mapInArrow(run, "path string, records long, bytes long")
-    return stored(manifest.withColumn("path", F.concat(F.lit(scheme), "path")), "manifest")
+    return stored(revisits(pages).mapInArrow(run, "path string, records long, bytes long"), "manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -168,8 +198,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     types = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    # an archive is a task's work: rows that name them are dealt out one by one
-    return manifest.repartition(F.col("path")).mapInArrow(run, types)
+    # an archive is a task's work: numbered rows, few and narrow, are dealt out one by one into so many partitions
+    numbered = manifest.select("path", F.row_number().over(Window.orderBy("path")).alias("n"))
+    return numbered.repartitionByRange(max(1, manifest.count()), "n").select("path").mapInArrow(run, types)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:

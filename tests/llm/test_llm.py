@@ -278,6 +278,32 @@ def test_archives(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_archives_are_read_in_parallel(spark, tmp_path):
+    pages = spark.range(0, 1600, 1, 4).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html"))
+    manifest = warc.write_archives(pages, str(tmp_path), archive_bytes=1)
+    assert manifest.count() == 4
+    manifest = common.stored(manifest.union(manifest).union(manifest).union(manifest), "manifest")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and manifest.count() == 16
+    tasks = warc.read_archives(manifest).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert len(tasks) == 16 and {r.n for r in tasks} == {400}
+
+
+def test_archives_with_many_repeated_payloads(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    rows = [(i, "u", f"{i % 7}" * 1200 if i % 3 else "hot" * 500) for i in range(90)] + [(None, "u", "hot" * 500), (95, "u", None), (3, "u", "hot" * 500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    top = {}
+    for i, _, html in rows:
+        if html and i is not None:
+            top[html] = max(top.get(html, -1), i)
+    got = sorted((r.page_id or -1, r.record_type, r.refers_to or -1) for r in warc.archive_pages(pages).collect())
+    want = []
+    for i, _, html in rows:
+        again = i is not None and html is not None and i != top[html]
+        want.append((-1 if i is None else i, "revisit" if again else "response", top[html] if again else -1))
+    assert got == sorted((a or -1, b, c) for a, b, c in want)
+
+
 def test_archives_are_plain_zstandard(spark):
     import zstandard
 
