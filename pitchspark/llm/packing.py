@@ -1,8 +1,9 @@
-"""Best-fit packing (6): tokenised pieces and bulk-synchronous best fit over ranks of equal lengths."""
+"""Best-fit packing (6): tokenised pieces, and bulk-synchronous best fit in rounds of Spark jobs over runs of equal pieces and gaps."""
 
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 from functools import lru_cache
 
@@ -11,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import dropped, scratch_dir, slices, stored
 
 END_ID, MAX_TOKENS = 2, 1024
 #: Pieces of one length are ranked in so many parts at least, and in more from this many pieces a part on.
 SALTS, PIECES_A_PART = 64, 1 << 20
+#: Width of a range of sizes in a sweep; a gap takes several equal pieces a round up to this share of a sequence.
+BLOCK, SHARE = 64, 8
 
 
 def _bytes_of_chars() -> dict[str, int]:
@@ -65,61 +68,119 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id
     return numbered.mapInArrow(run, "doc_id long, doc long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, ranks, first sequence, offset): where runs of equal pieces go.
+def sweep(left: DataFrame, gaps: DataFrame, n_gaps: int, size: int, bundle: bool = True) -> DataFrame:
+    """length, first, n, k, gap, sequence, offset: one round of matches of pieces and gaps.
 
-    ``counts`` has at most ``size`` lengths. Lengths come in falling order. A sweep gives the pieces of one
-    length the smallest gaps that hold them, lower ranks first and one to a gap; gaps shrink and the sweep
-    repeats until none is left or none fits; what remains opens sequences. Gaps of one size are kept as runs
-    of sequences, so a sweep moves runs and not pieces.
+    ``left`` has runs of equal pieces (length, first rank, n), ``gaps`` runs of equal gaps (gap, first sequence, n). Both
+    are sorted by size, the largest first and gaps before pieces, in ``BLOCK``-wide ranges of sizes. In that order a
+    piece takes the nearest open gap before it, its successor; where several want one, the highest rank has it and the
+    others move on to the next: gaps open and pieces close levels of a running sum, whose totals are carried from
+    range to range, and a piece meets the gap that last opened its level. A gap takes one piece a round, or ``k`` equal
+    ones that fill 1 / ``SHARE`` of a sequence at most where they outnumber the gaps so far.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    plan, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            gap = next((g for g in range(length, size + 1) if gaps.get(g)), None)
-            if gap is None:
-                fresh = -(-left // (size // length))
-                gaps[gap := size] = [(opened, fresh)]
-                opened += fresh
-            first, n = gaps[gap].pop()
-            taken = min(n, left)
-            if taken < n:
-                gaps[gap].append((first + taken, n - taken))
-            plan.append((length, rank, taken, first, size - gap))
-            if gap > length:
-                gaps.setdefault(gap - length, []).append((first, taken))
-            rank, left = rank + taken, left - taken
-    return plan
+    k = F.greatest(F.lit(1), F.least(F.floor(F.col("n") / n_gaps), F.floor(size / SHARE / F.col("length")))) if bundle else F.lit(1)
+    pieces = left.select((k * F.col("length")).alias("size"), F.lit(0).alias("up"), F.floor(F.col("n") / k).alias("w"), F.col("first").alias("ref"), "length", k.cast("long").alias("k"))
+    opened = gaps.select(F.col("gap").alias("size"), F.lit(1).alias("up"), F.col("n").alias("w"), F.col("sequence").alias("ref"), F.lit(0).alias("length"), F.lit(1).alias("k"))
+    events = opened.unionByName(pieces).withColumns({"block": F.floor(F.col("size") / BLOCK), "step": F.when(F.col("up") == 1, F.col("w")).otherwise(-F.col("w"))})
+    order = [F.desc("size"), F.desc("up"), F.asc("ref")]
+    carry = events.groupBy("block").agg(F.sum("step").alias("step"))
+    upto = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = carry.select("block", F.coalesce(F.sum("step").over(upto), F.lit(0)).alias("carry"))
+    inside = F.sum("step").over(Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    events = events.withColumn("inside", inside).join(F.broadcast(carry), "block").withColumn("at", F.col("carry") + F.col("inside"))
+    events = events.withColumns({"low": F.least("at", F.col("at") - F.col("step")), "high": F.greatest("at", F.col("at") - F.col("step"))})
+    # levels between two neighbouring bounds of runs behave alike: a cell
+    bounds = events.agg(F.array_sort(F.array_union(F.collect_set("low"), F.collect_set("high"))).alias("bounds"))
+    place = lambda c: F.array_position("bounds", F.col(c)) - 1
+    cells = events.crossJoin(F.broadcast(bounds)).withColumn("cell", F.explode(F.sequence(place("low"), place("high") - 1)))
+    cells = cells.withColumns({"level": F.get("bounds", F.col("cell").cast("int")), "wide": F.get("bounds", (F.col("cell") + 1).cast("int")) - F.get("bounds", F.col("cell").cast("int"))})
+    cells = cells.select("cell", "level", "wide", "size", "up", "ref", "length", "k", "low", "high")
+    before = F.lag(F.struct("up", "size", "ref", "low")).over(Window.partitionBy("cell").orderBy(*order))
+    met = cells.withColumn("before", before).where("up = 0 and before.up = 1")
+    met = met.groupBy("length", "ref", "k", F.col("before.size").alias("gap"), F.col("before.ref").alias("open")).agg(
+        F.sum("wide").alias("w"),
+        F.min(F.col("high") - F.col("level") - F.col("wide")).alias("skip"),
+        F.min(F.col("before.ref") + F.col("level") - F.col("before.low")).alias("sequence"),
+    )
+    return met.select(
+        F.col("length").cast("long"), (F.col("ref") + F.col("skip") * F.col("k")).alias("first"), (F.col("w") * F.col("k")).alias("n"), "k", F.col("gap").cast("long"), F.col("open").cast("long"), "sequence", (size - F.col("gap")).cast("long").alias("offset")
+    )
+
+
+def _after(left: DataFrame, gaps: DataFrame, placed: DataFrame) -> DataFrame:
+    """kind, size, ref, n: the runs of pieces and of gaps after a round; pieces leave a run's head, gaps its tail."""
+    used = placed.groupBy("length").agg(F.sum("n").alias("used"))
+    rest = left.join(F.broadcast(used), "length", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    rest = rest.select(F.lit("piece").alias("kind"), F.col("length").alias("size"), (F.col("first") + F.col("used")).alias("ref"), (F.col("n") - F.col("used")).alias("n"))
+    filled = placed.groupBy(F.col("open").alias("sequence")).agg(F.sum(F.col("n") / F.col("k")).cast("long").alias("used"))
+    kept = gaps.join(F.broadcast(filled), "sequence", "left")
+    kept = kept.select(F.lit("gap").alias("kind"), F.col("gap").alias("size"), F.col("sequence").alias("ref"), (F.col("n") - F.coalesce("used", F.lit(0))).alias("n"))
+    fresh = placed.select(F.lit("gap").alias("kind"), (F.col("gap") - F.col("k") * F.col("length")).alias("size"), F.col("sequence").alias("ref"), (F.col("n") / F.col("k")).cast("long").alias("n"))
+    return rest.union(kept).union(fresh).where("n > 0 and size > 0")
+
+
+def best_fit(counts: DataFrame, size: int) -> DataFrame:
+    """round, length, first, n, k, gap, open, sequence, offset: where runs of equal pieces go, from length, n.
+
+    Rounds of ``sweep``: gaps shrink by what they took, and the rounds go on until no piece is left. Where no gap holds
+    a piece, as many sequences open as the rest needs at least. The state, at most ``size`` runs of pieces and some
+    runs of gaps for each, is a table that every round writes anew.
+    """
+    spark = counts.sparkSession
+    plan = f"{scratch_dir(spark)}/plan-{uuid.uuid4().hex}"
+    state = stored(counts.select(F.lit("piece").alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("ref"), "n").coalesce(1), "state")
+    opened, number, before, bundle = 0, 0, None, True
+    while True:
+        piece, gap = F.col("kind") == "piece", F.col("kind") == "gap"
+        rest = state.where(piece).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("tokens"), F.min("size").alias("least")).first()
+        if not rest.n:
+            break
+        bundle, before = rest.n != before, rest.n
+        left = state.where(piece).select(F.col("size").alias("length"), F.col("ref").alias("first"), "n")
+        gaps = state.where(gap & (F.col("size") >= rest.least)).select(F.col("size").alias("gap"), F.col("ref").alias("sequence"), "n")
+        n_gaps = gaps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not n_gaps:
+            n_gaps = -(-rest.tokens // size)
+            gaps = spark.createDataFrame([(size, opened, n_gaps)], "gap long, sequence long, n long")
+            opened += n_gaps
+        sweep(left, gaps, n_gaps, size, bundle).coalesce(1).write.parquet(f"{plan}/round={number}")
+        placed = spark.read.schema(PLAN).parquet(f"{plan}/round={number}")
+        state, last = stored(_after(left, gaps, placed).coalesce(1), "state"), state
+        dropped(last)
+        number += 1
+    dropped(state)
+    return spark.read.schema(f"{PLAN}, round int").parquet(plan) if number else spark.createDataFrame([], f"{PLAN}, round int")
+
+
+PLAN = "length long, first long, n long, k long, gap long, open long, sequence long, offset long"
 
 
 def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) for every piece of every row.
 
-    Pieces of equal length are interchangeable, so documents and gaps are range-sorted by length and ranked
-    within it. Ranks come from counts of (length, salt): no length meets in one task. The sweeps run over at
-    most ``max_tokens`` counts and give runs of ranks, which all pieces look up; the table of runs has at
-    most a few for each pair of lengths, whatever the input. Full pieces are sequences of their own, with
-    negative numbers.
+    Pieces of equal length are interchangeable, so they are ranked within their length, and the rounds of ``best_fit``
+    move runs of ranks, which all pieces look up. Ranks come from counts of (length, salt): no length meets in one
+    task. The table of runs has at most a few for each pair of lengths, whatever the input. Full pieces are sequences
+    of their own, with negative numbers.
 
-    A null or empty text is the end id alone; repeated rows are packed each; an empty table gives no rows.
-    Special tokens spelled in a text keep their ids. Other columns are ignored.
+    A null or empty text is the end id alone; repeated rows and null ids are packed each; an empty table gives no rows.
+    A very long text is cut into pieces of ``max_tokens``. Special tokens spelled in a text keep their ids. Other
+    columns are ignored.
     """
-    spark = docs.sparkSession
     every = stored(pieces(docs, tokenizer, max_tokens, end_id, with_ids), "pieces")
     full = every.where(F.col("length") == max_tokens)
     parts = max(SALTS, every.count() // PIECES_A_PART)
     cut = every.where(F.col("length") < max_tokens).withColumn("salt", F.pmod(F.xxhash64("doc", "piece"), F.lit(parts)).cast("int"))
     per = stored(cut.groupBy("length", "salt").agg(F.count("*").alias("n")), "counts")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per_length = {r.length: r.n for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.createDataFrame(best_fit(per_length, max_tokens), "length long, first long, ranks long, sequence long, offset long")
+    plan = best_fit(per.groupBy("length").agg(F.sum("n").alias("n")), max_tokens).drop("round", "gap", "open")
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc", "piece")) - 1
     ranked = cut.withColumn("own", own).join(per.select("length", "salt", before.alias("before")), ["length", "salt"])
-    placed = ranked.withColumn("rank", F.col("own") + F.col("before")).join(F.broadcast(plan), "length").where("rank >= first and rank < first + ranks")
+    placed = ranked.withColumn("rank", F.col("own") + F.col("before")).join(F.broadcast(plan), "length").where("rank >= first and rank < first + n")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    placed = placed.select(*columns, (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset", *["ids"] * with_ids)
+    sequence = F.col("sequence") + F.floor((F.col("rank") - F.col("first")) / F.col("k"))
+    offset = F.col("offset") + (F.col("rank") - F.col("first")) % F.col("k") * F.col("length")
+    placed = placed.select(*columns, sequence.alias("sequence_id"), offset.alias("offset"), *["ids"] * with_ids)
     alone = full.select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *["ids"] * with_ids)
     return placed.unionByName(alone)
 

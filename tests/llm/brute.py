@@ -128,3 +128,20 @@ def chat(rows):
         loss = "".join(x for _, r, x in ts if r == "assistant")
         out[c] = (len(ts), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in ts).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     return out
+
+
+def best_fit(counts, size):
+    """Best fit decreasing: the number of sequences, each piece in turn into the smallest gap that holds it."""
+    gaps, opened = Counter(), 0
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        while left:
+            gap = next((g for g in range(length, size + 1) if gaps[g]), None)
+            if gap is None:
+                gaps[gap := size] = fresh = -(-left // (size // length))
+                opened += fresh
+            taken = min(gaps[gap], left)
+            gaps[gap] -= taken
+            gaps[gap - length] += taken
+            left -= taken
+    return opened

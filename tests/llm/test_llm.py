@@ -194,18 +194,22 @@ def test_token_ids_are_those_of_tokenizers(tokenizer, text):
     assert packing.encoder(queries.TOKENIZER).encode(text, allowed_special="all") == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), min_size=1))
-def test_best_fit_places_every_rank_once(counts):
-    plan = packing.best_fit(counts, 64)
-    load = Counter()
-    for length, first, ranks, sequence, offset in plan:
-        for i in range(ranks):
-            assert load[sequence + i] == offset
-            load[sequence + i] += length
-    assert max(load.values()) <= 64
-    for length, n in counts.items():
-        assert sorted(r for x, f, k, *_ in plan if x == length for r in range(f, f + k)) == list(range(n))
+COUNTS = [{3: 2000, 5: 3000}, {64: 3}, {21: 100, 22: 50}, {63: 1, 1: 1, 2: 500}, {i: 1 + i * i * 7919 % 1000 for i in range(1, 64)}]
+
+
+@pytest.mark.parametrize("counts", COUNTS)
+def test_best_fit_places_every_rank_once(spark, counts):
+    plan = packing.best_fit(spark.createDataFrame(list(counts.items()), "length long, n long"), 64).orderBy("round").collect()
+    load, ranks = Counter(), {x: [] for x in counts}
+    for r in plan:
+        ranks[r.length] += range(r["first"], r["first"] + r.n)
+        for i in range(r.n):
+            sequence = r.sequence + i // r.k
+            assert load[sequence] == r.offset + i % r.k * r.length
+            load[sequence] += r.length
+    assert max(load.values()) <= 64 and sorted(load) == list(range(len(load)))
+    assert {x: sorted(r) for x, r in ranks.items()} == {x: list(range(n)) for x, n in counts.items()}
+    assert len(load) <= 1.01 * brute.best_fit(counts, 64) + 1
 
 
 def test_pii(docs, texts, none):
