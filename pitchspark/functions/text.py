@@ -141,3 +141,8 @@ def search_terms(c: Column | str) -> Column:
     terms = F.slice(F.transform(ranked, lambda s: s["x"]), 1, 2)
     whole = F.when(name != "", F.array(F.substring(name, 1, 30))).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(terms) > 0, terms).otherwise(whole)
+
+
+def row_key(*columns: Column | str) -> Column:
+    """128-bit hash of a row that tells a null from every value, and the same values in other columns apart."""
+    return F.md5(F.to_json(F.struct(*columns)).cast("binary"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..constants import FUZZY_ACCEPT, NON_MOVES, RECENT_DAYS, SAME_MOVE_DAYS
 from ..functions import club_key, normalize_name, position_group, same_person, season_of_date, surname_key
-from ..functions.text import as_date, club_tokens, is_youth_team, name_words, same_tokens, same_words, subset
+from ..functions.text import as_date, club_tokens, is_youth_team, name_words, row_key, same_tokens, same_words, subset
 from ..sources.tables import latest_rows
 
 
@@ -38,11 +38,12 @@ def only(df: DataFrame, keys: list[str], c: str, out: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(c).alias(out), F.max(c).alias("_last")).where(F.col(out) == F.col("_last")).drop("_last")
 
 
-def match_clubs(names: DataFrame, clubs: DataFrame, manual: DataFrame, accept: float = FUZZY_ACCEPT) -> DataFrame:
+def match_clubs(names: DataFrame, clubs: DataFrame, manual: DataFrame, accept: float = FUZZY_ACCEPT, scores: bool = True) -> DataFrame:
     """league_id, team, club_id, tier, score, ambiguous for each distinct (league_id, team).
 
     Tiers: manual (source_key 'league|name'), exact key, single candidate whose words contain the name's, fuzzy,
-    unmatched with the best score. Keys of several clubs of a league are no candidates.
+    unmatched with the best score. Keys of several clubs of a league are no candidates. Without ``scores`` pairs whose
+    lengths rule ``accept`` out are not compared, and what stays unmatched may show a lower score.
     """
     rows = names.select("league_id", "team").distinct().withColumns({"key": club_key("team"), "source_key": F.concat_ws("|", F.col("league_id").cast("string"), normalize_name("team"))})
     keyed = clubs.where("league_id is not null").select("league_id", club_key("name").alias("key"), "id")
@@ -54,7 +55,7 @@ def match_clubs(names: DataFrame, clubs: DataFrame, manual: DataFrame, accept: f
     block = left.select("league_id", "team", "key").join(single.select("league_id", F.col("key").alias("other"), F.col("exact_id").alias("id")), "league_id")
     words = lambda c: F.split(c, " ")
     inside = block.where((F.col("key") != "") & subset(words("key"), words("other"))).groupBy("league_id", "team").agg(F.min("id").alias("token_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-    best = fuzzy_best(block.join(inside, ["league_id", "team"], "left_anti"), ["league_id", "team"], "key", "other", "id")
+    best = fuzzy_best(block.join(inside, ["league_id", "team"], "left_anti"), ["league_id", "team"], "key", "other", "id", 0.0 if scores else accept)
     rows = rows.join(inside, ["league_id", "team"], "left").join(best, ["league_id", "team"], "left")
     good = F.col("best_score") >= accept
     tier = F.when(F.col("manual_id").isNotNull(), "manual").when(F.col("exact_id").isNotNull(), "exact").when(F.col("token_id").isNotNull(), "token").when(good, "fuzzy").otherwise("unmatched")
@@ -62,16 +63,17 @@ def match_clubs(names: DataFrame, clubs: DataFrame, manual: DataFrame, accept: f
     return rows.select("league_id", "team", club.alias("club_id"), tier.alias("tier"), F.coalesce("best_score", F.lit(0.0)).alias("score"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
-def match_players(names: DataFrame, players: DataFrame, manual: DataFrame, accept: float = FUZZY_ACCEPT) -> DataFrame:
+def match_players(names: DataFrame, players: DataFrame, manual: DataFrame, accept: float = FUZZY_ACCEPT, scores: bool = True) -> DataFrame:
     """player, born, club_id, source_key, player_id, tier, score for each distinct (player, born, club_id, source_key).
 
     ``source_key`` may be null: then the normalised name is the key of manual mappings. Tiers: manual; the only
     player of that name; the only one of it born that year; or at that club; the only one of that year, initial and
     surname; of that year and surname; the only squad-mate whose words contain the name's or the other way round;
     the most similar squad-mate. Birth years come from full dates alone, and squad-mates with another year are out.
+    ``scores``: as in ``match_clubs``.
     """
     keys = ["player", "born", "club_id", "source_key"]
-    rows = names.select(*keys).distinct().withColumn("row", F.xxhash64(*keys))
+    rows = names.select(*keys).distinct().withColumn("row", row_key(*keys))
     key = normalize_name("player")
     rows = rows.withColumns({"key": key, "lookup": F.coalesce(F.nullif("source_key", F.lit("")), key)})
     parts = F.split("key", " ")
@@ -94,7 +96,7 @@ def match_players(names: DataFrame, players: DataFrame, manual: DataFrame, accep
     block = left.join(squad, "club_id").where("year is null or born is null or year = born")
     words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
     inside = block.where(subset(words("key"), words("other")) | subset(words("other"), words("key"))).groupBy("row").agg(F.min("id").alias("inside_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-    best = fuzzy_best(block.join(inside, "row", "left_anti"), ["row"], "key", "other", "id")
+    best = fuzzy_best(block.join(inside, "row", "left_anti"), ["row"], "key", "other", "id", 0.0 if scores else accept)
     rows = rows.join(inside, "row", "left").join(best, "row", "left")
     tiers.append(("inside_id", "token"))
     good = F.col("best_score") >= accept
@@ -111,8 +113,8 @@ def match_report(matched: DataFrame) -> DataFrame:
 
 
 def new_id(*keys: Column | str) -> Column:
-    """A positive id from the key itself: the same in every run and task, without a global order."""
-    return F.shiftrightunsigned(F.xxhash64(*keys), 1)
+    """A positive id from the key itself, nulls included: the same in every run and task, without a global order."""
+    return F.shiftrightunsigned(F.xxhash64(F.to_json(F.struct(*keys))), 1)
 
 
 def create_missing(unmatched: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -161,7 +163,7 @@ def match_squads(squad: DataFrame, players: DataFrame) -> DataFrame:
     Tiers: live id; exact name, then the only surname key, among the club's candidates (its players, and all with a
     live id); the only surname key anywhere; the only ``same_person``. The rest is new (created or reported).
     """
-    rows = squad.withColumns({"row": F.xxhash64("club_id", "api_id", "name"), "key": normalize_name("name"), "short": surname_key("name")})
+    rows = squad.withColumns({"row": row_key("club_id", "api_id", "name"), "key": normalize_name("name"), "short": surname_key("name")})
     p = players.select("id", "api_football_id", "current_club_id", normalize_name("full_name").alias("key"), surname_key("full_name").alias("short"))
     live = p.where("api_football_id is not null")
     rows = rows.join(live.groupBy(F.col("api_football_id").alias("api_id")).agg(F.max("id").alias("api_hit")), "api_id", "left")
@@ -243,11 +245,13 @@ def extract_moves(flat: DataFrame) -> DataFrame:
 def resolve_move_players(moves: DataFrame, players: DataFrame) -> DataFrame:
     """``moves`` with player_id: by live id, else the only ``same_person`` of that surname; null where there are several."""
     by_id = players.where("api_football_id is not null").groupBy(F.col("api_football_id").alias("api_id")).agg(F.min("id").alias("live_id"))
-    rows = moves.withColumn("row", F.xxhash64(*moves.columns)).join(by_id, "api_id", "left")
-    last = lambda c: F.element_at(name_list(c), -1)
-    name_list = lambda c: F.split(normalize_name(c), " ")
-    named = players.select("id", F.col("full_name").alias("other"), last("full_name").alias("surname")).where("surname != ''")
-    pairs = rows.where("live_id is null").select("row", "name", last("name").alias("surname")).join(named, "surname").where(same_person("name", "other"))
+    rows = moves.withColumn("row", row_key(*moves.columns)).join(by_id, "api_id", "left")
+    last = lambda c: F.element_at(F.split(normalize_name(c), " "), -1)
+    named = rows.where("live_id is null").select(F.col("row").alias("id"), F.col("name").alias("full_name")).distinct()
+    pairs = person_pairs(named, players.select("id", "full_name"))
+    pairs = pairs.join(named.select(F.col("id").alias("left_id"), last("full_name").alias("surname")), "left_id")
+    pairs = pairs.join(players.select(F.col("id").alias("right_id"), last("full_name").alias("other")), "right_id").where("surname = other")
+    pairs = pairs.select(F.col("left_id").alias("row"), F.col("right_id").alias("id"))
     rows = rows.join(only(pairs, ["row"], "id", "name_id"), "row", "left")
     return rows.withColumn("player_id", F.coalesce("live_id", "name_id")).select(*moves.columns, "player_id")
 
@@ -262,7 +266,8 @@ def merge_moves(stored: DataFrame, moves: DataFrame, clubs: DataFrame, days: int
     key). All moves meet the same snapshot; of several that hit one row the earliest merges and the others are repeats.
     """
     live = moves.where("player_id is not null and (from_club_id is not null or to_club_id is not null)")
-    live = live.withColumn("move", F.xxhash64("player_id", "from_club_id", "to_club_id", "date", "type", "from_name", "to_name")).dropDuplicates(["move"])
+    ends = ["player_id", "from_club_id", "to_club_id", "date", "type", "from_name", "to_name"]
+    live = live.withColumn("move", row_key(*ends)).dropDuplicates(["move"])
     names = clubs.select(F.col("id").alias("_club"), club_key("name").alias("_key"))
     old = stored.where("transfer_date is not null")
     for side in ("from", "to"):
@@ -270,14 +275,14 @@ def merge_moves(stored: DataFrame, moves: DataFrame, clubs: DataFrame, days: int
     old = old.select("player_id", "id", "transfer_date", *[c for s in ("from", "to") for c in (F.col(f"{s}_club_id").alias(f"old_{s}"), F.coalesce(f"{s}_known", club_key(F.coalesce(f"{s}_club_name", F.lit("")))).alias(f"old_{s}_key"))])
     pairs = live.join(old, "player_id").where(F.abs(F.datediff("date", "transfer_date")) <= days)
 
-    def ends(side: str) -> tuple[Column, Column]:
+    def fits(side: str) -> tuple[Column, Column]:
         ids = F.col(f"{side}_club_id").isNotNull() & F.col(f"old_{side}").isNotNull()
         key, old_key = club_key(F.coalesce(f"{side}_name", F.lit(""))), F.col(f"old_{side}_key")
         keys = (key != "") & (old_key != "")
         same = F.when(ids, F.col(f"{side}_club_id") == F.col(f"old_{side}")).otherwise(key == old_key)
         return ~(ids | keys) | same, (ids | keys) & same
 
-    (from_ok, from_sure), (to_ok, to_sure) = ends("from"), ends("to")
+    (from_ok, from_sure), (to_ok, to_sure) = fits("from"), fits("to")
     hits = only(pairs.where(from_ok & to_ok & (from_sure | to_sure)), ["move"], "id", "id")
     matched = live.join(hits, "move")
     best = matched.groupBy("id").agg(F.min_by(F.struct("date", "type", "from_club_id", "to_club_id", "from_name", "to_name"), F.struct("date", "move")).alias("m"))
@@ -297,7 +302,7 @@ def merge_moves(stored: DataFrame, moves: DataFrame, clubs: DataFrame, days: int
     }
     rows = rows.withColumns({**{c: merged[c] for c in merged}, "change": F.when(hit, "merged").otherwise("kept")}).drop("m")
     fresh = live.join(hits.select("move"), "move", "left_anti").select(
-        F.shiftrightunsigned("move", 1).alias("id"), "player_id", "from_club_id", "to_club_id", F.col("date").alias("transfer_date"), F.lit(None).cast("double").alias("fee_eur"), season_of_date("date").alias("season"), F.col("type").alias("transfer_type"),
+        new_id(*ends).alias("id"), "player_id", "from_club_id", "to_club_id", F.col("date").alias("transfer_date"), F.lit(None).cast("double").alias("fee_eur"), season_of_date("date").alias("season"), F.col("type").alias("transfer_type"),
         F.array(F.lit(source)).alias("sources"), F.when(F.col("from_club_id").isNull(), F.col("from_name")).alias("from_club_name"), F.when(F.col("to_club_id").isNull(), F.col("to_name")).alias("to_club_name"), F.lit(True).alias("date_is_exact"), F.lit("new").alias("change"),
     )
     return rows.select(fresh.columns).unionByName(fresh)

@@ -89,8 +89,8 @@ def key_sql(norm: str) -> str:
 
 # --- column functions -------------------------------------------------------------------------------------------
 
-NAMES = "SELECT doc_id AS id, substr(text, 1, 30) AS name FROM documents"
-names = lambda s, d: base(s, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 30).alias("name"))
+NAMES = "SELECT doc_id AS id, text AS name FROM documents"
+names = lambda s, d: base(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"))
 
 
 @query("casts", with_tables("", f"""SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN CAST(floor(value) AS BIGINT) ELSE user_id END AS as_int,
@@ -363,12 +363,12 @@ def all_null_groups(s, d):
     return imports.all_null_groups(table(s, d, "season_stats"), "source", "xg")
 
 
-@query("import_shots", with_tables("shots", "SELECT s.id, s.player_id, s.club_id, m.match_id, s.played_on, s.xg, coalesce(lower(s.result) = 'goal', false) AS is_goal FROM shots s LEFT JOIN (SELECT played_on, club_id, max(id) AS match_id FROM (SELECT o_orderkey AS id, DATE '2024-01-01' + CAST(o_orderkey % 40 AS INT) AS played_on, unnest([o_orderkey % 10, (o_orderkey * 7 + 1) % 10]) AS club_id FROM orders WHERE o_orderkey % 3 = 0) GROUP BY 1, 2) m ON m.played_on = s.played_on AND m.club_id = s.club_id WHERE s.club_id <> 3 AND s.player_id % 9 <> 0"))
+@query("import_shots", with_tables("shots", "SELECT s.id, s.player_id, s.club_id, m.match_id, s.played_on, s.xg, coalesce(lower(s.result) = 'goal', false) AS is_goal FROM shots s LEFT JOIN (SELECT played_on, club_id, max(id) AS match_id FROM (SELECT o_orderkey AS id, DATE '2024-01-01' + CAST(o_orderkey % 40 AS INT) AS played_on, unnest([o_orderkey % 10, (o_orderkey * 7 + 1) % 10]) AS club_id FROM orders) GROUP BY 1, 2) m ON m.played_on = s.played_on AND m.club_id = s.club_id WHERE s.club_id <> 3 AND s.player_id % 9 <> 0"))
 def import_shots(s, d):
     raw = table(s, d, "shots").select(F.lit("L").alias("league"), F.concat(F.lit("T"), F.col("club_id").cast("string")).alias("team"), "player_id", F.lit("2024").alias("season"), F.col("played_on").cast("string").alias("date"), F.col("id").cast("string").alias("shot_id"), F.lit("5").alias("minute"), F.col("xg").cast("string").alias("xg"), "location_x", "location_y", F.lit("foot").alias("body_part"), F.lit("open").alias("situation"), "result", F.col("id").alias("ingest_order"))
     clubs = s.range(10).where("id <> 3").select(F.lit("L").alias("league"), F.concat(F.lit("T"), F.col("id").cast("string")).alias("team"), F.col("id").alias("club_id"), F.lit(1).alias("league_id"))
     people = table(s, d, "shots").select(F.col("player_id").cast("string").alias("source_player"), "club_id", "player_id").distinct().where("player_id % 9 <> 0")
-    m = base(s, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.expr("date_add(DATE'2024-01-01', CAST(o_orderkey % 40 AS INT))").alias("date"), F.lit("2024").alias("season"), (F.col("o_orderkey") % 10).alias("home_club_id"), ((F.col("o_orderkey") * 7 + 1) % 10).alias("away_club_id"))
+    m = base(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr("date_add(DATE'2024-01-01', CAST(o_orderkey % 40 AS INT))").alias("date"), F.lit("2024").alias("season"), (F.col("o_orderkey") % 10).alias("home_club_id"), ((F.col("o_orderkey") * 7 + 1) % 10).alias("away_club_id"))
     return imports.import_shots(raw, clubs, people, m)[0].select("id", "player_id", "club_id", "match_id", "played_on", "xg", "is_goal")
 
 
@@ -729,9 +729,9 @@ def shot_zones_recent(s, d):
     return views.shot_zones(table(s, d, "shots"), n=20)
 
 
-# half of the clubs and leagues have no season rows here, and clubs above 4 no live players, so that all fallbacks occur
+# season rows of about half of the clubs and leagues lose their club here, and clubs above 4 their live players, so that all fallbacks occur
 SQUAD = {
-    "st": "SELECT * FROM season_stats WHERE league_id % 2 = 0 AND club_id % 3 <> 2",
+    "st": "SELECT * REPLACE (CASE WHEN league_id % 2 = 0 AND club_id % 3 <> 2 THEN club_id END AS club_id) FROM season_stats",
     "pl": "SELECT * REPLACE (CASE WHEN current_club_id > 4 THEN NULL ELSE api_football_id END AS api_football_id) FROM players",
     "latest_club": "SELECT club_id, max(season) AS season FROM st GROUP BY club_id",
     "every": "SELECT current_club_id AS club_id, id AS player_id, 0 AS rank FROM pl WHERE current_club_id IS NOT NULL AND api_football_id IS NOT NULL UNION ALL SELECT DISTINCT club_id, player_id, 1 FROM st JOIN latest_club USING (club_id, season) UNION ALL SELECT current_club_id, id, 2 FROM pl WHERE current_club_id IS NOT NULL",
@@ -750,7 +750,7 @@ SQUAD_TABLES = "season_stats players clubs leagues countries"
 
 def squad_tables(s, d):
     p = table(s, d, "players").withColumn("api_football_id", F.when(F.coalesce(F.col("current_club_id") <= 4, F.lit(True)), F.col("api_football_id")))
-    return table(s, d, "leagues"), table(s, d, "clubs"), p, table(s, d, "season_stats").where("league_id % 2 = 0 and club_id % 3 <> 2")
+    return table(s, d, "leagues"), table(s, d, "clubs"), p, table(s, d, "season_stats").withColumn("club_id", F.expr("CASE WHEN league_id % 2 = 0 AND club_id % 3 <> 2 THEN club_id END"))
 
 
 @query("squads", with_tables(SQUAD_TABLES, "SELECT club_id, player_id, CASE rank WHEN 0 THEN 'live' WHEN 1 THEN 'season' ELSE 'registered' END AS source, CAST(row_number() OVER (PARTITION BY club_id ORDER BY market_value_eur DESC NULLS LAST, full_name, player_id) AS INT) AS place FROM (SELECT e.*, min(rank) OVER (PARTITION BY club_id) AS best FROM every e JOIN ofl USING (club_id)) e JOIN pl p ON p.id = e.player_id WHERE rank = best", SQUAD))
@@ -917,40 +917,12 @@ def worklist_status(s, d):
 
 # --- entity resolution ------------------------------------------------------------------------------------------
 
-NOBODY = "source_key string, target_id long"
-
-
-def _club_names(s, d):
-    """Teams spelled like clubs, like parts of their names, or with a typing error."""
-    spelled = F.when(F.col("k") == 0, F.concat("s_name", F.lit(" FC"))).when(F.col("k") == 1, F.concat(F.substring("s_name", 10, 20), F.lit("."))).when(F.col("k") == 2, F.concat(F.lit("x"), F.substring("s_name", 1, 30))).otherwise(F.col("s_name"))
-    return base(s, d, "supplier").withColumn("k", F.col("s_suppkey") % 4).select(F.col("s_nationkey").alias("league_id"), spelled.alias("team"), "s_suppkey")
-
-
-@query("match_clubs", f"""WITH n AS (SELECT s_suppkey, s_nationkey AS league_id, CASE s_suppkey % 4 WHEN 0 THEN concat(s_name, ' FC') WHEN 1 THEN concat(substr(s_name, 10, 20), '.') WHEN 2 THEN concat('x', substr(s_name, 1, 30)) ELSE s_name END AS team FROM supplier)
-    SELECT league_id, team, s_suppkey AS club_id, CASE s_suppkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'token' WHEN 2 THEN 'fuzzy' ELSE 'exact' END AS tier FROM n""")
-def match_clubs(s, d):
-    return resolve.match_clubs(_club_names(s, d), table(s, d, "clubs"), s.createDataFrame([], NOBODY)).select("league_id", "team", "club_id", "tier")
-
-
-@query("match_players")
-def match_players(s, d):
-    n = table(s, d, "players").select(F.expr("concat(upper(substr(full_name, 1, 1)), substr(full_name, CASE WHEN id % 4 = 3 THEN 3 ELSE 2 END))").alias("player"), F.expr("CASE WHEN id % 3 <> 1 THEN year(birth_date) END").alias("born"), F.expr("CASE WHEN id % 5 <> 2 THEN current_club_id END").alias("club_id"), F.lit(None).cast("string").alias("source_key"))
-    return resolve.match_players(n, table(s, d, "players"), s.createDataFrame([], NOBODY))
-
-
-@query("fuzzy_best")
-def fuzzy_best(s, d):
-    n = _club_names(s, d).select("league_id", club_key("team").alias("key")).distinct()
-    block = n.join(table(s, d, "clubs").select("league_id", "id", club_key("name").alias("other")), "league_id")
-    return resolve.fuzzy_best(block, ["league_id", "key"], "key", "other", "id", 0.5)
-
-
-MISSING = "SELECT p_name AS player, p_size AS born, p_partkey % 10 AS club_id FROM part WHERE p_partkey % 3 = 0"
+MISSING = "SELECT p_name AS player, p_size AS born, p_partkey % 10 AS club_id FROM part"
 
 
 @query("create_missing", f"SELECT any_value({norm_sql('player')}) AS name_key, born AS birth_year, min(club_id) AS current_club_id, count(DISTINCT club_id) AS clubs FROM ({MISSING}) GROUP BY {norm_sql('player')}, born")
 def create_missing(s, d):
-    rows = base(s, d, "part").where("p_partkey % 3 = 0").select(F.col("p_name").alias("player"), F.col("p_size").alias("born"), (F.col("p_partkey") % 10).alias("club_id"), F.lit("MF").alias("position"))
+    rows = base(s, d, "part").select(F.col("p_name").alias("player"), F.col("p_size").alias("born"), (F.col("p_partkey") % 10).alias("club_id"), F.lit("MF").alias("position"))
     new, ids = resolve.create_missing(rows)
     return new.join(ids.groupBy(F.col("player_id").alias("id")).agg(F.count_distinct("club_id").alias("clubs")), "id").select(normalize_name("full_name").alias("name_key"), "birth_year", "current_club_id", "clubs")
 
@@ -965,16 +937,10 @@ _word = lambda e: "concat(" + ", ".join(f"chr(CAST(97 + ({e}{m}) % {n} AS INT))"
 _last = lambda e: f"concat('s', {_word(e)})"
 FIRST, LAST = _word("(p_partkey % 40)"), _last("(p_partkey % 701)")
 PERSON = f"SELECT p_partkey AS id, CONCAT({FIRST}, ' ', {LAST}) AS full_name, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 10 END AS current_club_id, CASE WHEN p_partkey % 4 = 1 THEN 9000000 + p_partkey END AS api_football_id FROM {{part}}"
-SQUADS = f"SELECT p_partkey % 10 AS club_id, CASE WHEN p_partkey % 4 = 1 AND p_partkey % 3 = 0 THEN 9000000 + p_partkey ELSE 7000000 + p_partkey END AS api_id, CASE p_partkey % 4 WHEN 2 THEN CONCAT({LAST}, ' ', {FIRST}) WHEN 3 THEN CONCAT(SUBSTRING({FIRST}, 1, 1), '. ', {LAST}) ELSE CONCAT({FIRST}, ' ', {LAST}) END AS name, 'Defender' AS position FROM {{part}} WHERE p_partkey % 6 <> 5"
 _sql = lambda s, d, q: s.sql(q, part=base(s, d, "part"))
 _duck = lambda q: q.replace("{part}", "part")
 
 
-@query("match_squads")
-def match_squads(s, d):
-    return resolve.match_squads(_sql(s, d, SQUADS), _sql(s, d, PERSON))
-
-
 LEFT = "p_partkey % 10 AS club_id, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey END AS player_id FROM {part} WHERE p_partkey % 3 = 0 AND p_partkey % 10 <> 7 OR p_partkey % 90 = 7"
 
 
@@ -983,15 +949,6 @@ def mark_departures(s, d):
     return resolve.mark_departures(_sql(s, d, PERSON), _sql(s, d, f"SELECT {LEFT}"))
 
 
-@query("match_club_listing", "SELECT s_suppkey AS club_id, CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 4 <> 3 THEN s_suppkey + 5000 END AS team_id FROM supplier")
-def match_club_listing(s, d):
-    sup = base(s, d, "supplier")
-    team = F.expr("concat(CASE WHEN s_suppkey % 2 = 0 THEN 'FC ' ELSE 'Royal ' END, s_name, CASE WHEN s_suppkey % 4 = 3 THEN ' U19' ELSE '' END)")
-    listing = sup.select((F.col("s_suppkey") + 5000).alias("team_id"), F.replace(team, F.lit("Supplier#"), F.lit("T")).alias("team"))
-    clubs = sup.select(F.col("s_suppkey").alias("id"), F.replace("s_name", F.lit("Supplier#"), F.lit("T")).alias("name"))
-    return resolve.match_club_listing(clubs, listing, sup.where("s_suppkey % 5 = 0").select((F.col("s_suppkey") + 5000).alias("team_id")))
-
-
 FLAT = "SELECT o_custkey AS api_id, CONCAT('An', CAST(o_custkey AS STRING), ' Player') AS name, CAST(CAST(o_orderdate AS DATE) AS STRING) AS date, CASE o_orderpriority WHEN '1-URGENT' THEN 'Raise' WHEN '2-HIGH' THEN 'Loan' ELSE 'Free' END AS type, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 4 END AS out_team, CASE WHEN o_orderkey % 6 <> 0 THEN CONCAT('club', CAST(o_orderkey % 4 AS STRING)) END AS out_name, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey * 3 + 1) % 4 ELSE 77 END AS in_team, CASE WHEN o_orderkey % 5 <> 0 THEN CONCAT('club', CAST((o_orderkey * 3 + 1) % 4 AS STRING)) ELSE CONCAT('Player An', CAST(o_custkey AS STRING)) END AS in_name FROM {orders}"
 
 
@@ -1000,14 +957,18 @@ def extract_moves(s, d):
     return resolve.extract_moves(s.sql(FLAT, orders=base(s, d, "orders"))).select("api_id", "date", "from_team", "to_team")
 
 
-@query("resolve_move_players", f"WITH p AS ({_duck(PERSON)}), m AS (SELECT p_partkey AS id, 9000000 + p_partkey AS api_id, CONCAT(SUBSTRING({FIRST}, 1, 1), '. ', {LAST}) AS name FROM part WHERE p_partkey % 2 = 1), h AS (SELECT m.id, min(p.id) AS lo, max(p.id) AS hi FROM m JOIN p ON split_part(p.full_name, ' ', 2) = split_part(m.name, ' ', 2) AND (substr(p.full_name, 1, 1) = substr(m.name, 1, 1) OR substr(m.name, 1, 1) = 's') GROUP BY m.id) SELECT m.api_id, m.name, coalesce(p.id, CASE WHEN lo = hi THEN lo END) AS player_id FROM m LEFT JOIN p ON p.api_football_id = m.api_id LEFT JOIN h ON h.id = m.id")
+@query("resolve_move_players", f"WITH p AS ({_duck(PERSON)}), m AS (SELECT p_partkey AS id, 9000000 + p_partkey AS api_id, CONCAT(SUBSTRING({FIRST}, 1, 1), '. ', {LAST}) AS name FROM part), h AS (SELECT m.id, min(p.id) AS lo, max(p.id) AS hi FROM m JOIN p ON split_part(p.full_name, ' ', 2) = split_part(m.name, ' ', 2) AND (substr(p.full_name, 1, 1) = substr(m.name, 1, 1) OR substr(m.name, 1, 1) = 's') GROUP BY m.id) SELECT m.api_id, m.name, coalesce(p.id, CASE WHEN lo = hi THEN lo END) AS player_id FROM m LEFT JOIN p ON p.api_football_id = m.api_id LEFT JOIN h ON h.id = m.id")
 def resolve_move_players(s, d):
-    moves = _sql(s, d, f"SELECT 9000000 + p_partkey AS api_id, CONCAT(SUBSTRING({FIRST}, 1, 1), '. ', {LAST}) AS name FROM {{part}} WHERE p_partkey % 2 = 1")
+    moves = _sql(s, d, f"SELECT 9000000 + p_partkey AS api_id, CONCAT(SUBSTRING({FIRST}, 1, 1), '. ', {LAST}) AS name FROM {{part}}")
     return resolve.resolve_move_players(moves, _sql(s, d, PERSON))
 
 
 STORED = "SELECT o_orderkey AS id, o_custkey AS player_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 END AS from_club_id, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey + 1) % 4 END AS to_club_id, CAST(o_orderdate AS DATE) AS transfer_date, o_totalprice AS fee_eur, '97/98' AS season, CAST(NULL AS STRING) AS transfer_type, CAST(NULL AS STRING) AS from_club_name, CAST(NULL AS STRING) AS to_club_name, false AS date_is_exact FROM {orders} WHERE o_orderkey % 2 = 0"
-MOVES = "SELECT o_custkey AS player_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 4 END AS from_club_id, (o_orderkey + 1) % 4 AS to_club_id, CAST(o_orderdate AS DATE) AS date, 'Loan' AS type, CAST(NULL AS STRING) AS from_name, CAST(NULL AS STRING) AS to_name FROM {orders} WHERE o_orderkey % 2 = 1"
+MOVES = (
+    "SELECT o_custkey AS player_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 4 END AS from_club_id, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 9 <> 0 THEN (o_orderkey + 1) % 4 END AS to_club_id, CAST(o_orderdate AS DATE) AS date, 'Loan' AS type, CAST(NULL AS STRING) AS from_name, CAST(NULL AS STRING) AS to_name FROM {orders} WHERE o_orderkey % 2 = 1 "
+    # the other half of a move with one end: the same player, day and type with the ends swapped
+    "UNION ALL SELECT o_custkey, CAST(NULL AS BIGINT), o_orderkey % 4, CAST(o_orderdate AS DATE), 'Loan', NULL, NULL FROM {orders} WHERE o_orderkey % 2 = 1 AND o_orderkey % 9 = 0"
+)
 _far = lambda q: q.replace("{orders}", "orders")
 
 
@@ -1021,7 +982,7 @@ def merge_moves(s, d):
     return resolve.merge_moves(stored, s.sql(MOVES, orders=o), table(s, d, "clubs")).select("player_id", "transfer_date", "fee_eur", "change")
 
 
-RICH = f"SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 1 THEN CONCAT({_last('((p_partkey - 1) % 701)')}, ' ', {_word('((p_partkey - 1) % 40)')}) ELSE CONCAT({FIRST}, ' ', {LAST}) END AS full_name, CASE WHEN p_partkey % 3 = 0 THEN 'Defender' ELSE 'Attack' END AS position, p_partkey % 10 AS current_club_id, CASE WHEN p_partkey % 10 <> 1 THEN p_partkey END AS transfermarkt_id, CASE WHEN p_partkey % 10 = 1 THEN 9000000 + p_partkey END AS api_football_id, CAST(NULL AS STRING) AS image_url FROM {{part}} WHERE p_partkey % 10 < 7"
+RICH = f"SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 1 THEN CONCAT({_last('((p_partkey - 1) % 701)')}, ' ', {_word('((p_partkey - 1) % 40)')}) ELSE CONCAT({FIRST}, ' ', {LAST}) END AS full_name, CASE WHEN p_partkey % 3 = 0 THEN 'Defender' ELSE 'Attack' END AS position, p_partkey % 10 AS current_club_id, CASE WHEN p_partkey % 10 <> 1 THEN p_partkey END AS transfermarkt_id, CASE WHEN p_partkey % 10 = 1 THEN 9000000 + p_partkey END AS api_football_id, CAST(NULL AS STRING) AS image_url FROM {{part}}"
 
 
 @query("merge_duplicates_live", f"WITH r AS ({_duck(RICH)}) SELECT k.id AS keeper_id, t.id AS thin_id FROM r t JOIN r k ON k.id = t.id - 1 WHERE t.id % 10 = 1")

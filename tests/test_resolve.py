@@ -108,6 +108,24 @@ def test_one_move_of_two_sources_is_merged(spark):
     assert (got[2, "new"].season, got[2, "new"].sources) == ("2023-24", ["api-football"])
 
 
+def test_moves_with_one_end_each_are_two(spark):
+    clubs = spark.createDataFrame([(5, "Ajax")], "id int, name string")
+    old = spark.createDataFrame([], STORED)
+    new = spark.createDataFrame([(1, 5, None, DAY(2024, 8, 1), "Free", None, None), (1, None, 5, DAY(2024, 8, 1), "Free", None, None), (1, None, 5, DAY(2024, 8, 1), "Free", None, None)], MOVES)
+    out = resolve.merge_moves(old, new, clubs)
+    assert rows(out, "from_club_id", "to_club_id", "change") == [(5, None, "new"), (None, 5, "new")]
+    assert out.select("id").distinct().count() == 2
+
+
+def test_rows_that_differ_in_nulls_keep_their_matches(spark):
+    players = spark.createDataFrame([(1, "Ana Onlya", DAY(2000, 1, 1), 7), (2, "Bea Twina", DAY(2001, 1, 1), 7), (3, "Bea Twina", DAY(2002, 1, 1), 8)], "id int, full_name string, birth_date date, current_club_id int")
+    names = spark.createDataFrame([("Bea Twinb", 7, None, None), ("Bea Twinb", None, 7, None)], "player string, born int, club_id int, source_key string")
+    got = {(r.born, r.club_id): (r.player_id, r.tier) for r in resolve.match_players(names, players, manual(spark)).collect()}
+    assert got == {(7, None): (None, "unmatched"), (None, 7): (2, "fuzzy")}
+    quick = resolve.match_players(names, players, manual(spark), scores=False)
+    assert {(r.born, r.club_id): (r.player_id, r.tier) for r in quick.collect()} == got
+
+
 PEOPLE = "id int, full_name string, position string, birth_year int, birth_date date, current_club_id int, transfermarkt_id long, api_football_id long, image_url string"
 
 
