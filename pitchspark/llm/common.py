@@ -29,6 +29,22 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: What tells rows apart, whose doc_id may be null or repeated: the id and a hash of the text. Rows that agree in both are alike.
+ROW = ["_doc", "_text"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns of ``ROW``."""
+    return docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")})
+
+
+def on_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Joins by ``ROW``, null ids included; the columns of ``ROW`` are those of ``left``."""
+    right = right.withColumnsRenamed({c: f"_r{c}" for c in ROW})
+    same = F.col("_doc").eqNullSafe(F.col("_r_doc")) & F.col("_text").eqNullSafe(F.col("_r_text"))
+    return left.join(right, same, how).drop("_r_doc", "_r_text")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> _U(30))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, count_words, gram_hashes, slices, small, stored, word_hashes
+from .common import ALNUM, ROW, count_words, gram_hashes, keyed, on_row, slices, small, stored, word_hashes
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -25,7 +25,7 @@ def _winnow(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spans(df: DataFrame, window: int, k: int, shorter: list[int] | None) -> DataFrame:
-    """id, len, start, print, spans: a row for each run of windows of ``window`` words with one fingerprint.
+    """The columns beside ``text``, len, start, print, spans: a row for each run of windows of ``window`` words with one fingerprint.
 
     ``spans`` holds the hashes of those windows in order. Texts of fewer words, and every length in
     ``shorter``, have a row a window whose fingerprint is its own hash. ``shorter`` None: items, which
@@ -59,30 +59,32 @@ def _spans(df: DataFrame, window: int, k: int, shorter: list[int] | None) -> Dat
             offsets = np.cumsum([0] + [len(s) for s in spans]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id").take(pa.array(join(ids), pa.int64())),
+                    *(batch.column(c).take(pa.array(join(ids), pa.int64())) for c in keys),
                     pa.array(join(lens), pa.int32()),
                     pa.array(join(starts), pa.int64()),
                     pa.array(join(prints).view(np.int64), pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(join(spans).view(np.int64), pa.int64())),
                 ],
-                ["id", "len", "start", "print", "spans"],
+                [*keys, "len", "start", "print", "spans"],
             )
 
-    return df.mapInArrow(run, "id long, len int, start long, print long, spans array<long>")
+    keys = [c for c in df.columns if c != "text"]
+    return df.mapInArrow(run, ", ".join(f"{c} long" for c in keys) + ", len int, start long, print long, spans array<long>")
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words of every row."""
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """_doc, _text, n_words of every row."""
 
     def run(batches):
         for batch in (s for b in batches for s in slices(b)):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count_words(batch.column("text").to_pylist(), ALNUM))], ["doc_id", "n_words"])
+            n_words = pa.array(count_words(batch.column("text").to_pylist(), ALNUM))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ROW), n_words], [*ROW, "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long")
+    return rows.mapInArrow(run, "_doc long, _text long, n_words long")
 
 
 def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, start, len, span) of every occurrence of an item's window, and (item_id, len, span) of the items.
+    """(_doc, _text, start, len, span) of every occurrence of an item's window, and (item_id, len, span) of the items.
 
     Winnowing keeps the smallest hash of ``k`` words in each window of ``window`` words, so any shared span of
     ``window`` words shares a fingerprint. Items of fewer words are looked up whole.
@@ -91,12 +93,12 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 10, k: i
     shorter = sorted(r.len for r in bench.where(F.col("len") < window).select("len").distinct().collect())
     # fingerprints are 12 bytes each: broadcast where their number allows, else the join shuffles
     prints = small(stored(bench.select("len", "print").distinct(), "prints"))
-    rows = _spans(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), window, k, shorter)
-    near = rows.join(prints, ["len", "print"], "left_semi").select("id", "len", "start", F.posexplode("spans").alias("at", "span"))
+    rows = _spans(keyed(docs).select(*ROW, "text"), window, k, shorter)
+    near = rows.join(prints, ["len", "print"], "left_semi").select(*ROW, "len", "start", F.posexplode("spans").alias("at", "span"))
     known = bench.select(F.col("id").alias("item_id"), "len", F.explode("spans").alias("span")).distinct()
     known = stored(known, "windows")
     spans = small(stored(known.select("len", "span").distinct(), "spans"))
-    hits = near.join(spans, ["len", "span"], "left_semi").select(F.col("id").alias("doc_id"), (F.col("start") + F.col("at")).alias("start"), "len", "span")
+    hits = near.join(spans, ["len", "span"], "left_semi").select(*ROW, (F.col("start") + F.col("at")).alias("start"), "len", "span")
     return stored(hits, "hits"), known
 
 
@@ -105,21 +107,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
 
     Words are runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z. A word inside
     any occurrence of ``window`` consecutive words of an item, or of a whole shorter item, is hit.
-    Null or empty texts have no words; items without words occur nowhere. Rows that repeat a doc_id are
-    taken as one text's repeats: they share counts of their union. An empty benchmark hits nothing.
-    Other columns are ignored.
+    Null or empty texts have no words; items without words occur nowhere. Very long texts are read in parts of one row.
+    Rows that share a doc_id, or have none, are judged each by its text; repeated rows get the same result each. An
+    empty benchmark hits nothing; an empty table gives an empty result. Other columns are ignored.
     """
     hits, known = contaminated_spans(docs, items, window, k)
-    ends = hits.select("doc_id", "start", (F.col("start") + F.col("len")).alias("end")).groupBy("doc_id", "start").agg(F.max("end").alias("end"))
-    before = F.max("end").over(Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    ends = hits.select(*ROW, "start", (F.col("start") + F.col("len")).alias("end")).groupBy(*ROW, "start").agg(F.max("end").alias("end"))
+    before = F.max("end").over(Window.partitionBy(*ROW).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.col("start"))))
-    covered = ends.withColumn("fresh", fresh).groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"))
-    found = hits.select("doc_id", "len", "span").distinct().join(known, ["len", "span"]).select("doc_id", "item_id").distinct()
-    found = found.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("item_id").cast("string"))), ",").alias("items"))
-    out = _word_counts(docs).join(covered, "doc_id", "left").join(found, "doc_id", "left")
+    covered = ends.withColumn("fresh", fresh).groupBy(*ROW).agg(F.sum("fresh").alias("n_hit"))
+    found = hits.select(*ROW, "len", "span").distinct().join(known, ["len", "span"]).select(*ROW, "item_id").distinct()
+    found = found.groupBy(*ROW).agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("item_id").cast("string"))), ",").alias("items"))
+    out = on_row(on_row(_word_counts(keyed(docs).select(*ROW, "text")), covered, "left"), found, "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
-        "doc_id",
+        F.col("_doc").alias("doc_id"),
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -129,6 +131,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """Rows of ``docs`` without those that hold a benchmark window; columns are unchanged."""
+    """Rows of ``docs`` without those that hold a benchmark window; columns are unchanged. Odd rows: as in ``decontaminate``."""
     hits, _ = contaminated_spans(docs, items, window, k)
-    return docs.join(small(stored(hits.select("doc_id").distinct(), "leaks")), "doc_id", "left_anti").select(docs.columns)
+    return on_row(keyed(docs), small(stored(hits.select(*ROW).distinct(), "leaks")), "left_anti").select(docs.columns)

@@ -5,57 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small, stored
+from .common import BROADCAST_ROWS, ROW, keyed, on_row, small, stored
 
 #: A line of at least so many words on at least so many distinct sites is boilerplate.
-MIN_SITES, MIN_WORDS = 8, 3
+MIN_SITES, MIN_WORDS = 8, 1
 #: log2 of a sketch's registers; estimates within so many standard errors of the threshold are counted exactly.
 LOG_K, BAND = 10, 4
+_SPACE = r"\x20\x09-\x0D"
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    # a candidate has min_words words; others never enter a shuffle
-    many = lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= min_words
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.posexplode(lines).alias("at", "line"))
-    return rows.where(many(F.col("line"))).select("doc_id", "site", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.reverse("line"), F.lit(1)).alias("g"))
+def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """_doc, _text, site, lines: of each row its 128-bit line hashes (h, g) in order, null under ``min_words`` words."""
+    # anchored and possessive: linear in the longest of lines
+    worded = f"^[{_SPACE}]*+" + f"[^{_SPACE}]++[{_SPACE}]++" * (min_words - 1) + f"[^{_SPACE}]"
+    hashed = lambda x: F.when(x.rlike(worded), F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g")))
+    lines = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), hashed)
+    return keyed(docs).select(*ROW, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), lines.alias("lines"))
 
 
-def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """h, g, first (doc_id, at): lines, as 128-bit hashes, on ``min_sites`` distinct sites, and where each first occurs."""
-
-    lines = _lines(docs, min_words)
-    spread = lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"), F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
+def boilerplate_lines(hashed: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """h, g, first (_doc, _text, at): lines on ``min_sites`` distinct sites, and where each first occurs."""
+    lines = hashed.select(*ROW, "site", F.posexplode("lines").alias("at", "x")).where("x is not null").select(*ROW, "site", "at", "x.h", "x.g")
+    spread = lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"), F.min(F.struct(*ROW, "at")).alias("first"), F.count("*").alias("n"))
     error = BAND * 1.04 / (1 << LOG_K) ** 0.5
     seen = spread.where(F.col("n") >= min_sites).select("h", "g", "first", F.hll_sketch_estimate("sketch").alias("sites"))
     seen = stored(seen.where(F.col("sites") >= min_sites * (1 - error) - 1), "spread")
     sure = F.col("sites") > min_sites * (1 + error) + 1
     near = seen.where(~sure)
-    exact = lines.join(near.select("h", "g"), ["h", "g"], "left_semi").select("h", "g", "site").distinct().groupBy("h", "g").agg(F.count("*").alias("exact"))
+    exact = lines.join(small(near.select("h", "g")), ["h", "g"], "left_semi").select("h", "g", "site").distinct().groupBy("h", "g").agg(F.count("*").alias("exact"))
     return seen.where(sure).select("h", "g", "first").union(near.join(exact.where(F.col("exact") >= min_sites), ["h", "g"], "left_semi").select("h", "g", "first"))
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows and columns of ``docs``, with text (and n_chars, where there is one) less boilerplate; n_lines, n_removed added.
 
-    A site is a value of ``source``. Of a line on many sites its first occurrence (smallest doc_id, then
-    place) stays, so nothing is lost; the others go. Lines are compared exactly, by 128-bit hashes; lines
-    of fewer than ``min_words`` words stay. Only the places of removed lines travel, never the lines.
+    A site is a value of ``source``. Of a line on many sites its first occurrence (smallest doc_id, nulls
+    first, then hash of the text, then place) stays, so nothing is lost; the others go. Lines are compared exactly, by
+    128-bit hashes; lines of fewer than ``min_words`` words stay, so blank ones do. Texts are split and hashed once;
+    only hashes and the places of removed lines travel, never the lines.
 
     A null text stays null, with one line; an empty one stays. A document that loses all its lines keeps its
-    row, with an empty text. Null sources are one site. Rows that share a doc_id lose the same places.
-    Existing columns n_lines and n_removed are replaced. An empty table gives an empty result.
+    row, with an empty text. A very long text is split within its row. Null sources are one site. Rows that share a
+    doc_id, or have none, keep their own lines; rows that repeat id and text are alike, and all of them hold a first
+    occurrence or none does. Existing columns n_lines and n_removed are replaced. An empty table gives an empty result.
     """
-
-    common = stored(boilerplate_lines(docs, min_sites, min_words), "boilerplate")
-    gone = _lines(docs, min_words).join(small(common), ["h", "g"]).where(F.struct("doc_id", "at") != F.col("first"))
-    gone = stored(gone.groupBy("doc_id").agg(F.collect_set("at").alias("_gone")).withColumnRenamed("doc_id", "_doc"), "places")
-    if gone.agg(F.coalesce(F.sum(F.size("_gone") + 4), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+    hashed = stored(hashed_lines(docs, min_words), "lines")
+    common = stored(boilerplate_lines(hashed, min_sites), "boilerplate")
+    at = hashed.select(*ROW, F.posexplode("lines").alias("at", "x")).where("x is not null").select(*ROW, "at", "x.h", "x.g")
+    gone = at.join(small(common), ["h", "g"]).where(~F.struct(*ROW, "at").eqNullSafe(F.col("first")))
+    gone = stored(gone.groupBy(*ROW).agg(F.collect_set("at").alias("_gone")), "places")
+    if gone.agg(F.coalesce(F.sum(F.size("_gone") + 5), F.lit(0))).first()[0] <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     lines = F.split("text", "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
     left = F.element_at(F.transform(F.array(lines), lambda own: F.transform(places, lambda i: F.get(own, i))), 1)
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    out = on_row(keyed(docs), gone, "left")
     n_lines = F.coalesce(F.size(lines), F.lit(1)).cast("long")
     n_removed = F.when(F.col("text").isNull() | F.col("_gone").isNull(), 0).otherwise(F.size(lines) - F.size(places)).cast("long")
     text = F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))
@@ -67,5 +71,5 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN
 
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
-    """Rows and columns of ``docs``, texts less the lines that spread over many sites, short ones too; blank lines stay."""
-    return line_dedup(docs, min_words=1).select(docs.columns)
+    """Rows and columns of ``docs``, texts less the lines that spread over many sites. Odd rows: as in ``line_dedup``."""
+    return line_dedup(docs).select(docs.columns)

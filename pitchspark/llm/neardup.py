@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, dropped, mix, shingle_set, slices, small, stored, word_hashes
+from .common import NOT_SPACE, ROW, dropped, keyed, mix, on_row, shingle_set, slices, small, stored, word_hashes
 
 ROUNDS, BUCKETS, MANTISSA = 16, 16, 10
 ROWS = 6
@@ -47,7 +47,7 @@ def _sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal shingle sets, null for empty ones), sig (registers)."""
+    """The row's key, n_shingles, set_key (equal for equal shingle sets, null for empty ones), sig (registers)."""
     import hashlib
 
     def run(batches):
@@ -55,24 +55,27 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             sets = _sets(batch.column("text").to_pylist(), k)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    *(batch.column(c) for c in ROW),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.md5(s.tobytes()).hexdigest() if len(s) else None for s in sets], pa.string()),
                     _lists(list(_registers(sets)), pa.int16()),
                 ],
-                ["doc_id", "n_shingles", "set_key", "sig"],
+                [*ROW, "n_shingles", "set_key", "sig"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key string, sig array<short>")
+    return keyed(docs).select(*ROW, "text").mapInArrow(run, "_doc long, _text long, n_shingles long, set_key string, sig array<short>")
 
 
-def _shingles(docs: DataFrame, k: int) -> DataFrame:
+def _shingles(ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """id, shingles of the texts that stand for the classes ``ids``; several rows where their row is repeated."""
+
     def run(batches):
         for batch in (s for b in batches for s in slices(b)):
             sets = _sets(batch.column("text").to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists([s.view(np.int64) for s in sets], pa.int64())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists([s.view(np.int64) for s in sets], pa.int64())], ["id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    wanted = stored(reps.select("id", *ROW).join(small(ids), "id", "left_semi"), "wanted")
+    return on_row(keyed(docs).select(*ROW, "text"), small(wanted), "inner").select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -95,21 +98,16 @@ def components(edges: DataFrame) -> DataFrame:
         dropped(last)
 
 
-def _of(ids: DataFrame, table: DataFrame) -> DataFrame:
-    """The rows of ``table`` whose doc_id is among ``ids`` (id), one a doc_id."""
-    return table.join(small(ids).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-
 def _ends(pairs: DataFrame) -> DataFrame:
     return stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
 
 
-def _linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (u, v) whose full sets reach the similarity; the register estimate only spares hopeless ones."""
-    side = lambda df, c, name: df.select(F.col("doc_id").alias(c), F.col(name).alias(f"{name}_{c}"))
+    side = lambda df, c, name: df.select(F.col("id").alias(c), F.col(name).alias(f"{name}_{c}"))
     pairs = stored(pairs, "pairs")
     ids = _ends(pairs)
-    own = _of(ids, sigs.select("doc_id", "sig"))
+    own = reps.select("id", "sig").join(small(ids), "id", "left_semi")
     near = pairs.join(side(own, "u", "sig"), "u").join(side(own, "v", "sig"), "v")
     same = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: F.when((a == b) & (a != EMPTY), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     used = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: F.when((a != EMPTY) | (b != EMPTY), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
@@ -118,7 +116,7 @@ def _linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent:
     estimate = (F.col("same") / F.greatest("used", F.lit(1)) - COLLISION) / (1 - COLLISION)
     near = stored(near.where(estimate >= j - 5 * F.sqrt(j * (1 - j) / F.greatest("used", F.lit(1)))).select("u", "v"), "near")
     likely = _ends(near)
-    shingles = _shingles(_of(likely, docs), k)
+    shingles = _shingles(likely, reps, docs, k)
     full = near.join(side(shingles, "u", "shingles"), "u").join(side(shingles, "v", "shingles"), "v")
     full = full.select("u", "v", F.size(F.array_intersect("shingles_u", "shingles_v")).cast("long").alias("common"), (F.size("shingles_u") + F.size("shingles_v")).cast("long").alias("total"))
     out = stored(full.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("u", "v"), "links")
@@ -126,7 +124,7 @@ def _linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent:
     return out
 
 
-def _prefix_pairs(open_ids: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _prefix_pairs(open_ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs of different components among ``open_ids`` (id, component) that can reach the similarity, by prefix filter.
 
     Shingles are ordered rarest first. Sets of that similarity share one of the first n - ceil(percent * n / 100) + 1 of
@@ -134,8 +132,8 @@ def _prefix_pairs(open_ids: DataFrame, docs: DataFrame, k: int, percent: int) ->
     share: a text with many shingles of its own meets nobody. Of a shingle's holders those outside its largest
     component meet the rest. Exact: no pair of the similarity is missed.
     """
-    sets = _shingles(_of(stored(open_ids.select("id"), "ids"), docs), k).select(F.col("doc_id").alias("id"), F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
-    sets = stored(sets, "tokens")
+    sets = _shingles(stored(open_ids.select("id"), "ids"), reps, docs, k).dropDuplicates(["id"])
+    sets = stored(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("t")), "tokens")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
     ranked = sets.join(sets.groupBy("t").agg(F.count("*").alias("df")), "t").withColumn("rank", rank)
     first = ranked.where((F.col("df") > 1) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("id", "n", "t", (F.col("n") - F.col("rank") + 1).alias("left"))
@@ -152,28 +150,19 @@ def _prefix_pairs(open_ids: DataFrame, docs: DataFrame, k: int, percent: int) ->
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
-
-    Words are runs outside ASCII white space after lower-casing A-Z. Texts with equal sets are one class.
-    Class representatives meet in bands of ``ROWS`` registers. In each bucket all are compared with its head, and
-    links contract components. Texts that still share a bucket with another component are joined by an exact prefix
-    filter. Pairs inside a component are never listed, so crowds of copies stay linear. Estimates prune at five
-    standard deviations, full sets decide. A pair at exactly the similarity meets in no band with probability
-    under 3e-6.
-
-    Null or empty texts: n_shingles 0, own component, kept. Repeated rows with one doc_id share a component.
-    A null doc_id gives a null component and kept = true when alone in its class. Other columns are ignored;
-    an empty table gives an empty result.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The row's key, n_shingles, low (smallest doc_id of its component) and head (the key of the row that stays)."""
     sigs = stored(signatures(docs, k), "signatures")
-    classes = stored(sigs.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sigs.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"])
+    rep = F.min(F.struct(*ROW)).alias("rep")
+    classes = sigs.where("set_key is not null").groupBy("set_key").agg(rep, F.min("_doc").alias("low"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    own = classes.select("set_key", "id", F.col("rep._doc").alias("_doc"), F.col("rep._text").alias("_text"))
+    reps = sigs.join(own.withColumnRenamed("_doc", "rep_doc"), ["set_key", "_text"]).where(F.col("_doc").eqNullSafe(F.col("rep_doc")))
+    reps = stored(reps.dropDuplicates(["set_key", "_text"]).select("id", *ROW, "sig"), "representatives")
     n_bands = BUCKETS * ROUNDS // ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.struct(i.alias("i"), F.slice("sig", i * ROWS + 1, F.lit(ROWS)).alias("r")))
     bands = F.transform(F.filter(bands, lambda b: F.array_max(b["r"]) != EMPTY), lambda b: F.xxhash64(b["i"], b["r"]))
-    members = reps.select(F.col("doc_id").alias("id"), F.explode(bands).alias("bucket"))
+    members = reps.select("id", F.explode(bands).alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(members.join(shared, "bucket"), "shared")
     # a bucket's head is its member with most company: of edited copies the one nearest to all
@@ -182,7 +171,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = stored(shared.join(heads, "bucket").select("bucket", "id", "head"), "members")
     dropped(shared)
     pairs = members.where("id != head").select(F.least("head", "id").alias("u"), F.greatest("head", "id").alias("v")).distinct()
-    links = _linked(pairs, sigs, docs, k, percent)
+    links = _linked(pairs, reps, docs, k, percent)
     labels = components(links)
     named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     # the head was compared with all: a bucket is open where the others are in several components
@@ -190,18 +179,49 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     open_buckets = others.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("bucket")
     open_ids = stored(others.join(open_buckets, "bucket").select("id", "component").distinct(), "open")
     if not open_ids.isEmpty():
-        more = _linked(_prefix_pairs(open_ids, docs, k, percent), sigs, docs, k, percent)
+        more = _linked(_prefix_pairs(open_ids, reps, docs, k, percent), reps, docs, k, percent)
         last, labels = labels, components(links.union(more))
         dropped(last, more)
     dropped(members, links, open_ids)
-    of_class = classes.join(labels, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    keys = stored(sigs.select("doc_id", "n_shingles", "set_key"), "keys")
-    dropped(sigs)
-    out = keys.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = classes.join(labels, "id").select("set_key", "component", "rep", "low")
+    of_component = linked.groupBy("component").agg(F.min("low").alias("all_low"), F.min("rep").alias("head"))
+    of_class = classes.join(linked.select("set_key", "component").join(of_component, "component"), "set_key", "left")
+    of_class = of_class.select("set_key", F.coalesce("head", "rep").alias("head"), F.when(F.col("head").isNull(), F.col("low")).otherwise(F.col("all_low")).alias("low"))
+    keys = stored(sigs.select(*ROW, "n_shingles", "set_key"), "keys")
+    dropped(sigs, reps)
+    return keys.join(of_class, "set_key", "left").select(*ROW, "n_shingles", "low", "head")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+
+    Words are runs outside ASCII white space after lower-casing A-Z. Texts with equal sets are one class.
+    Class representatives meet in bands of ``ROWS`` registers. In each bucket all are compared with its head, and
+    links contract components. Texts that still share a bucket with another component are joined by an exact prefix
+    filter. Pairs inside a component are never listed, so crowds of copies stay linear. Estimates prune at five
+    standard deviations, full sets decide. A pair at exactly the similarity meets in no band with probability
+    under 3e-6.
+
+    Null or empty texts: n_shingles 0, own component, kept. Very long texts are hashed in parts, their sets whole.
+    Rows that share a doc_id, or have none, are compared each by its text; a null doc_id is passed over where its
+    component has others, and is kept where it has none. Repeated rows share a component. Other columns are ignored; an
+    empty table gives an empty result.
+    """
+    rows = _judged(docs, k, percent).select(F.col("_doc").alias("doc_id"), "n_shingles", F.coalesce("low", "_doc").alias("component_id"))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` with one document of each group left: the smallest doc_id; its columns are unchanged."""
-    gone = stored(near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    """Rows of ``docs`` with one document of each group left: the smallest doc_id (nulls first), then hash of the text.
+
+    Its columns are unchanged. Of rows that repeat id and text one stays. Null or empty texts all stay. Other odd rows:
+    as in ``near_duplicates``.
+    """
+    rows = stored(_judged(docs, k, percent), "judged")
+    gone = rows.where("head is not null").where(~F.struct(*ROW).eqNullSafe(F.col("head"))).select(*ROW).distinct()
+    left = on_row(keyed(docs), small(stored(gone, "gone")), "left_anti")
+    twice = stored(rows.where(F.struct(*ROW).eqNullSafe(F.col("head"))).groupBy(*ROW).agg(F.count("*").alias("n")).where("n > 1").select(*ROW), "twice")
+    if not twice.isEmpty():
+        once = on_row(left, small(twice), "left_semi").dropDuplicates(ROW)
+        left = on_row(left, small(twice), "left_anti").unionByName(once)
+    return left.select(docs.columns)

@@ -131,16 +131,17 @@ def best_fit(counts: DataFrame, size: int) -> DataFrame:
     state = stored(counts.select(F.lit("piece").alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("ref"), "n").coalesce(1), "state")
     opened, number, before, bundle = 0, 0, None, True
     while True:
-        piece, gap = F.col("kind") == "piece", F.col("kind") == "gap"
-        rest = state.where(piece).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("tokens"), F.min("size").alias("least")).first()
-        if not rest.n:
+        sizes = state.groupBy("kind", "size").agg(F.sum("n").alias("n")).collect()  # at most a row a kind and size
+        lengths = {r["size"]: r.n for r in sizes if r.kind == "piece"}
+        if not lengths:
             break
-        bundle, before = rest.n != before, rest.n
-        left = state.where(piece).select(F.col("size").alias("length"), F.col("ref").alias("first"), "n")
-        gaps = state.where(gap & (F.col("size") >= rest.least)).select(F.col("size").alias("gap"), F.col("ref").alias("sequence"), "n")
-        n_gaps = gaps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        n, least = sum(lengths.values()), min(lengths)
+        bundle, before = n != before, n
+        left = state.where("kind = 'piece'").select(F.col("size").alias("length"), F.col("ref").alias("first"), "n")
+        gaps = state.where((F.col("kind") == "gap") & (F.col("size") >= least)).select(F.col("size").alias("gap"), F.col("ref").alias("sequence"), "n")
+        n_gaps = sum(r.n for r in sizes if r.kind == "gap" and r["size"] >= least)
         if not n_gaps:
-            n_gaps = -(-rest.tokens // size)
+            n_gaps = -(-sum(x * m for x, m in lengths.items()) // size)
             gaps = spark.createDataFrame([(size, opened, n_gaps)], "gap long, sequence long, n long")
             opened += n_gaps
         sweep(left, gaps, n_gaps, size, bundle).coalesce(1).write.parquet(f"{plan}/round={number}")

@@ -5,26 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import ROW, keyed, on_row, small, stored
+from .spans import let as _let
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A sketch bin is a leading bit and so many bits after it: relative error under 1/16.
 BIN_BITS = 4
-#: A (language, source) group with fewer documents takes the sketch of its language, then that of all.
-MIN_GROUP = 200
+#: A group's quartiles are averaged with its language's, and a language's with those of all, as if these were so many documents.
+PRIOR = 200
 #: Tukey fences: quartile + SPREAD * interquartile range + slack (in thousandths a word or line); lower fences likewise.
 SPREAD = 3
 UPPER_SLACK = {"symbols": 150, "dup_lines": 400, "word_length": 1500}
 LOWER_SLACK = {"word_length": 1500}
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once a row."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _repeat_words(words: Column) -> Column:
     """Words inside windows of ``WINDOW`` words that occur twice or more (windows compared by 64-bit hashes)."""
     n = F.size(words) - (WINDOW - 1)
@@ -49,20 +45,23 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` read here (doc_id, lang, source) and its base measures, from the whole texts."""
+    """doc_id, lang, source and the row's key, and the base measures of ``docs``, from the whole texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     bare = lambda chars: F.length(F.translate(text, chars, ""))
-    return docs.select(
+    return keyed(docs).select(
         "doc_id",
         "lang",
         "source",
+        *ROW,
         _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("r"))).alias("w"),
         bare(" \t\n\x0b\x0c\r").cast("long").alias("word_chars"),
         (F.length(text) - bare(SYMBOLS)).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias("l"),
-    ).select("doc_id", "lang", "source", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.d").alias("n_dup_lines"), F.col("w.r").alias("n_repeat_words"), F.col("l.n").cast("long").alias("n_lines"))
+    ).select(
+        "doc_id", "lang", "source", *ROW, F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.d").alias("n_dup_lines"), F.col("w.r").alias("n_repeat_words"), F.col("l.n").cast("long").alias("n_lines")
+    )
 
 
 def _bin(v: Column) -> Column:
@@ -78,54 +77,70 @@ def sketches(passed: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "feature", "bin").agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, by: list[str], least: int) -> DataFrame:
-    """by, feature, q1, q3 of the groups with ``least`` documents or more. A sketch has some hundred bins."""
+def _quartiles(sketch: DataFrame, by: list[str], name: str) -> DataFrame:
+    """by, feature, name (n, q1, q3) of each group. A sketch has some hundred bins."""
 
     merged = sketch.groupBy(*by, "feature", "bin").agg(F.sum("n").alias("n"))
     run = merged.withColumn("upto", F.sum("n").over(Window.partitionBy(*by, "feature").orderBy("bin"))).withColumn("total", F.sum("n").over(Window.partitionBy(*by, "feature")))
     at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bin")))
-    return run.where(F.col("total") >= least).groupBy(*by, "feature").agg(at(1).alias("q1"), at(3).alias("q3"))
+    return run.groupBy(*by, "feature").agg(F.struct(F.max("total").alias("n"), at(1).alias("q1"), at(3).alias("q3")).alias(name))
 
 
-def _fences(quartiles: DataFrame, by: list[str], name: str) -> DataFrame:
-    spread = SPREAD * (F.col("q3") - F.col("q1"))
-    upper = F.col("q3") + spread + F.element_at(F.create_map(*[F.lit(x) for kv in UPPER_SLACK.items() for x in kv]), F.col("feature"))
-    lower = F.col("q1") - spread - F.element_at(F.create_map(*[F.lit(x) for kv in ({f: 1 << 60 for f in UPPER_SLACK} | LOWER_SLACK).items() for x in kv]), F.col("feature"))
-    return quartiles.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct(lower.cast("long").alias("low"), upper.cast("long").alias("high"))))).alias(name))
+def fences(sketch: DataFrame) -> DataFrame:
+    """lang, source, fences: by feature the lowest and highest value of each group's kept documents.
 
+    A group's quartiles are its own, averaged with those of its language, and these with those of all, by the number of
+    documents and ``PRIOR``: the weight of the others falls smoothly as a group grows.
+    """
+    own = _quartiles(sketch, ["lang", "source"], "own").alias("o")
+    of_lang = _quartiles(sketch, ["lang"], "of_lang").alias("l")
+    every = F.broadcast(_quartiles(sketch, [], "of_all")).alias("a")  # a row a feature
+    rows = own.join(of_lang, F.expr("o.lang <=> l.lang and o.feature = l.feature")).join(every, F.expr("o.feature = a.feature"))
 
-def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every row.
+    def near(q: str) -> str:
+        wide = f"((of_lang.n * of_lang.{q} + {PRIOR} * of_all.{q}) div (of_lang.n + {PRIOR}))"
+        return f"((own.n * own.{q} + {PRIOR} * {wide}) div (own.n + {PRIOR}))"
 
-    Documents that pass the base rules feed one sketch a (language, source) and feature: symbols a word,
-    repeated lines a line, characters a word, in thousandths. A document is kept when all its features lie
-    within the fences of its group, read by one join. Groups under ``min_group`` documents take the merged
-    sketch of their language, then that of all documents.
+    rows = rows.select("o.lang", "o.source", "o.feature", F.expr(near("q1")).alias("q1"), F.expr(near("q3")).alias("q3"))
+    spread = SPREAD * (F.col("q3") - F.col("q1"))
+    slack = lambda by: F.element_at(F.create_map(*[F.lit(x) for kv in by.items() for x in kv]), F.col("feature"))
+    upper = F.col("q3") + spread + slack(UPPER_SLACK)
+    lower = F.col("q1") - spread - slack({f: 1 << 60 for f in UPPER_SLACK} | LOWER_SLACK)
+    bounds = F.struct("feature", F.struct(lower.cast("long").alias("low"), upper.cast("long").alias("high")))
+    return rows.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(bounds)).alias("fences"))
 
-    Null or empty texts have no words and fail. Null languages and sources are groups of their own.
-    Repeated rows are judged each. An empty table gives an empty result. Other columns are ignored.
-    """
+
+def judged(docs: DataFrame) -> DataFrame:
+    """The measures of every row, with base_failed and kept."""
     per = lambda a, b: (F.col(a) * 1000 / F.greatest(F.col(b), F.lit(1))).cast("long")
     m = measures(docs).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
     m = m.withColumns({"symbols": per("n_symbols", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "word_length": per("word_chars", "n_words")})
-
     m = stored(m, "measures")
     sketch = stored(sketches(m.where("not base_failed")), "sketches")
-    own = _fences(_quartiles(sketch, ["lang", "source"], min_group), ["lang", "source"], "own")
-    of_lang = _fences(_quartiles(sketch, ["lang"], min_group), ["lang"], "of_lang")
-    of_all = _fences(_quartiles(sketch, [], 0), [], "of_all")
-    groups = sketch.select("lang", "source").distinct()
-    groups = groups.alias("g").join(own.alias("o"), F.expr("g.lang <=> o.lang and g.source <=> o.source"), "left").join(of_lang.alias("l"), F.expr("g.lang <=> l.lang"), "left").crossJoin(F.broadcast(of_all))
-    groups = groups.select("g.lang", "g.source", F.coalesce("own", "of_lang", "of_all").alias("fences"))
     inside = F.lit(True)
     for f in UPPER_SLACK:
         inside = inside & F.col(f).between(F.col("fences")[f]["low"], F.col("fences")[f]["high"])
-    out = m.alias("m").join(groups.alias("g"), F.expr("m.lang <=> g.lang and m.source <=> g.source and not m.base_failed"), "left")
+    groups = small(stored(fences(sketch), "fences")).alias("g")
+    out = m.alias("m").join(groups, F.expr("m.lang <=> g.lang and m.source <=> g.source and not m.base_failed"), "left")
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return out.select("m.*", kept.alias("kept"))
+
+
+def quality_rules(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every row.
+
+    Documents that pass the base rules feed one sketch a (language, source) and feature: symbols a word,
+    repeated lines a line, characters a word, in thousandths. A document is kept when all its features lie
+    within the ``fences`` of its group, read by one join.
+
+    Null or empty texts have no words and fail. Null languages and sources are groups of their own, null ids documents
+    like others. Very long texts are measured within their row. Repeated rows are judged each. An empty table gives an
+    empty result. Other columns are ignored.
+    """
+    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that the rules keep; columns are unchanged. Rows that share a doc_id stay if one of them is kept."""
-    bad = quality_rules(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
-    return docs.join(small(stored(bad, "rejected")), "doc_id", "left_anti").select(docs.columns)
+    """Rows of ``docs`` that the rules keep; columns are unchanged. Each row stands for itself, with a null or repeated doc_id too."""
+    bad = judged(docs).where("not kept").select(*ROW).distinct()
+    return on_row(keyed(docs), small(stored(bad, "rejected")), "left_anti").select(docs.columns)

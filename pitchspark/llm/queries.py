@@ -88,13 +88,18 @@ def _op5() -> str:
     upper = "CASE feature " + " ".join(f"WHEN '{f}' THEN {v}" for f, v in quality.UPPER_SLACK.items()) + " END"
     lower = "CASE feature " + " ".join(f"WHEN '{f}' THEN {quality.LOWER_SLACK.get(f, 1 << 60)}" for f in quality.UPPER_SLACK) + " END"
 
-    def fences(name: str, by: str, least: int) -> str:
+    def quartiles(name: str, by: str) -> str:
         keys = f"{by}, feature" if by else "feature"
         return (
-            f"{name} AS (SELECT {keys}, q1 - {quality.SPREAD} * (q3 - q1) - {lower} AS low, q3 + {quality.SPREAD} * (q3 - q1) + {upper} AS high FROM (SELECT {keys}, min(bin) FILTER (upto * 4 >= total) AS q1, min(bin) FILTER (upto * 4 >= total * 3) AS q3 "
-            f"FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total FROM (SELECT {keys}, bin, sum(n) AS n FROM sk GROUP BY ALL)) WHERE total >= {least} GROUP BY ALL))"
+            f"{name} AS (SELECT {keys}, max(total) AS n, min(bin) FILTER (upto * 4 >= total) AS q1, min(bin) FILTER (upto * 4 >= total * 3) AS q3 "
+            f"FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY {keys} ORDER BY bin) AS BIGINT) AS upto, CAST(sum(n) OVER (PARTITION BY {keys}) AS BIGINT) AS total "
+            f"FROM (SELECT {keys}, bin, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL)"
         )
 
+    def near(q: str) -> str:
+        wide = f"((l.n * l.{q} + {quality.PRIOR} * a.{q}) // (l.n + {quality.PRIOR}))"
+        return f"((o.n * o.{q} + {quality.PRIOR} * {wide}) // (o.n + {quality.PRIOR}))"
+
     rows = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{f}' AS feature, CAST({x} AS BIGINT) AS v FROM m WHERE NOT base_failed" for f, x in _FEATURES.items())
     shift = f"greatest(length(bin(v)) - {quality.BIN_BITS + 1}, 0)"
     return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -104,8 +109,10 @@ c AS (SELECT doc_id, sum(least(8, gap)) AS n_repeat FROM (SELECT doc_id, coalesc
 b AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
 m AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b), v AS MATERIALIZED ({rows}),
 sk AS (SELECT lang, source, feature, (v >> {shift}) << {shift} AS bin, count(*) AS n FROM v GROUP BY ALL),
-{fences("own", "lang, source", quality.MIN_GROUP)}, {fences("ofl", "lang", quality.MIN_GROUP)}, {fences("ofa", "", 0)},
-out AS (SELECT doc_id, count(*) FILTER (v.v < coalesce(own.low, ofl.low, ofa.low) OR v.v > coalesce(own.high, ofl.high, ofa.high)) AS bad FROM v LEFT JOIN own ON own.lang IS NOT DISTINCT FROM v.lang AND own.source IS NOT DISTINCT FROM v.source AND own.feature = v.feature LEFT JOIN ofl ON ofl.lang IS NOT DISTINCT FROM v.lang AND ofl.feature = v.feature JOIN ofa ON ofa.feature = v.feature GROUP BY doc_id)
+{quartiles("own", "lang, source")}, {quartiles("ofl", "lang")}, {quartiles("ofa", "")},
+q AS (SELECT o.lang, o.source, o.feature, {near("q1")} AS q1, {near("q3")} AS q3 FROM own o JOIN ofl l ON l.lang IS NOT DISTINCT FROM o.lang AND l.feature = o.feature JOIN ofa a ON a.feature = o.feature),
+fence AS (SELECT lang, source, feature, q1 - {quality.SPREAD} * (q3 - q1) - {lower} AS low, q3 + {quality.SPREAD} * (q3 - q1) + {upper} AS high FROM q),
+out AS (SELECT doc_id, count(*) FILTER (v.v < f.low OR v.v > f.high) AS bad FROM v JOIN fence f ON f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source AND f.feature = v.feature GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(bad, 0) = 0 AS kept FROM m LEFT JOIN out USING (doc_id)"""
 
 

@@ -107,7 +107,7 @@ def test_components(spark):
 
 
 def test_quality_rules(docs, texts, none):
-    out = by_id(quality.quality_rules(docs, min_group=10), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    out = by_id(quality.quality_rules(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     assert {d: x[:-1] for d, x in out.items()} == {d: brute.quality(t) for d, t in texts}
     assert not any(kept and failed for *_, failed, kept in out.values())
     assert quality.quality_rules(none).count() == 0 and quality.keep_good(docs).columns == docs.columns
@@ -125,13 +125,68 @@ def test_line_dedup(spark, docs, texts, none):
     shared = "these words stand on many sites"
     rows += [(500_000 + i, f"own line number {i}\n{shared}\nOf.\n{shared}", f"src{i % 12}") for i in range(60)]
     more = frame(spark, rows, "doc_id long, text string, source string")
-    for least in (3, 8):
-        out = by_id(lines.line_dedup(more, least), "n_lines", "n_removed", "text")
-        assert out == brute.line_dedup(rows, least, lines.MIN_WORDS)
+    for least, words in ((3, 3), (8, 1)):
+        out = by_id(lines.line_dedup(more, least, words), "n_lines", "n_removed", "text")
+        assert out == brute.line_dedup(rows, least, words)
     assert lines.without_boilerplate(docs).columns == docs.columns
     assert lines.line_dedup(none).count() == 0
 
 
+ROWS = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, n_removed int"
+
+
+def odd_rows(*texts):
+    """Rows with null and repeated ids, one of them whole, and columns that an operator adds."""
+    return [(d, t, None, s, len(t or ""), 7, 8) for d, t, s in texts]
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    common = "shared by many sites"
+    rows = [(i, f"line {i} alone\n{common}", f"s{i % 10}") for i in range(40)]
+    rows += [(5, "first line here\nno boilerplate at all", "s1"), (None, f"{common}\nnull id", "s2"), (None, f"other null id\n{common}", "s3"), (7, rows[7][1], rows[7][2])]
+    out = lines.line_dedup(frame(spark, odd_rows(*rows), ROWS).repartition(3))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_lines", "n_removed"]
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in out.collect()), key=repr)
+    first = [(d, t) for d, t, _ in got if common in t]
+    assert len(first) == 1 and first[0][0] is None  # nulls first, so one of the two rows without an id holds it
+    lost = [t.replace(common, "", 1) for _, t, _ in rows if common in t]
+    want = [(d, t if (d, t) == first[0] else t.replace(f"\n{common}", "").replace(f"{common}\n", ""), int(common in t and (d, t) != first[0])) for d, t, _ in rows]
+    assert len(lost) == 43 and got == sorted(want, key=repr)
+
+
+def test_decontamination_of_rows_that_share_an_id(spark):
+    item = " ".join(f"b{i}" for i in range(12))
+    rows = odd_rows((1, "clean text", None), (1, f"x {item} y", None), (None, f"{item} z", None), (None, "clean too", None), (2, f"x {item} y", None), (2, f"x {item} y", None))
+    table, items = frame(spark, rows, ROWS), frame(spark, [(1, item)], "item_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit) for r in decontam.decontaminate(table, items).collect()), key=repr)
+    assert got == sorted([(1, 2, 0), (1, 14, 12), (None, 13, 12), (None, 2, 0), (2, 14, 12), (2, 14, 12)], key=repr)
+    assert sorted(r.text for r in decontam.drop_contaminated(table, items).collect()) == ["clean text", "clean too"]
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = odd_rows((1, a, None), (1, b, None), (1, b, None), (2, f"{a} more", None), (None, f"{b} more", None), (None, "own words of a text without an id", None), (3, None, None), (3, None, None))
+    table = frame(spark, rows, ROWS)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(table).collect()), key=repr)
+    want = [(1, 56, 1, True)] * 3 + [(2, 57, 1, False), (None, 57, 1, False), (None, 4, None, True), (3, 0, 3, True), (3, 0, 3, True)]
+    assert got == sorted(want, key=repr)
+    left = sorted(((r.doc_id, r.text) for r in neardup.dedup(table).collect()), key=repr)
+    assert left == sorted([(1, a), (None, f"{b} more"), (None, "own words of a text without an id"), (3, None), (3, None)], key=repr)
+
+
+def test_quality_of_rows_that_share_an_id(spark):
+    good = " ".join(f"word{i}" for i in range(30))
+    rows = odd_rows((1, good, "s"), (1, "too short", "s"), (None, "short", None), (None, good, None), (2, good, "s"), (2, good, "s"))
+    assert sorted(((r.doc_id, r.text) for r in quality.keep_good(frame(spark, rows, ROWS)).collect()), key=repr) == sorted([(1, good), (None, good), (2, good), (2, good)], key=repr)
+
+
+def test_a_small_group_has_fences_near_its_languages(spark):
+    rows = [("en", "a", "symbols", 10, 3000), ("en", "b", "symbols", 400, 5), ("en", "c", "symbols", 400, 3000)]
+    sketch = frame(spark, [(*r,) for r in rows], "lang string, source string, feature string, bin long, n long")
+    high = {r.source: r.fences["symbols"].high - quality.UPPER_SLACK["symbols"] for r in quality.fences(sketch).collect()}
+    assert high["a"] < high["b"] < high["c"]
+
+
 def test_the_pipeline_drops_short_lines_of_many_sites(spark):
     rows = [(i, f"own line number {i}\nLes.\n\nAnd ornd.\n{'Few.' if i % 12 < 7 else ''}", f"src{i % 12}") for i in range(60)]
     out = by_id(lines.without_boilerplate(frame(spark, rows, "doc_id long, text string, source string")), "text")
