@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -14,26 +15,35 @@ from pyspark.sql import functions as F
 from .common import stored
 from .spans import find, let
 
-CANDIDATE = r"[A-Za-z0-9+/=_-]{16,}+"
-NAMED = r"(?i)(?:key|token|secret|passw|pwd|credential|auth)[A-Za-z0-9_-]*[\"']?\s*[:=]+\s*[\"'`]?$"
+KEY = "[A-Za-z0-9+/=_-]"
+#: A whole private key block, or a run of 16 key characters with further parts behind dots.
+CANDIDATE = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|{KEY}{{16,}}+(?:\.[A-Za-z0-9_-]{{8,}}+)*+"
+)
 #: A value of any length and characters behind a credential's name, quoted or up to white space, and the password in a URL.
-HEAD = r"(?:(?i:key|token|secret|passw|pwd|credential|auth)[A-Za-z0-9_-]{0,64}+[\"']?\s{0,8}[:=]{1,3}\s{0,8}|[A-Za-z][A-Za-z0-9+.-]{0,31}://[^\s/:@]{0,256}:(?=[^\s/@]{1,256}@))"
+HEAD = (
+    r"(?:(?i:key|token|secret|passw|pwd|credential|auth)[A-Za-z0-9_-]{0,64}+[\"']?\s{0,8}[:=]{1,3}\s{0,8}"
+    r"|[A-Za-z][A-Za-z0-9+.-]{0,31}://[^\s/:@]{0,256}:(?=[^\s/@]{1,256}@))"
+)
 HELD = HEAD + r"(?:\"[^\"\n]+|'[^'\n]+|`[^`\n]+|(?<=://[^\s/:@]{0,256}:)[^\s/@]+|[^\s\"'`]+)"
 URL = r"://[^\s/:@]*:$"
 CUE = r"(?i)(?:key|token|secret|passw|pwd|credential|auth|bearer|api)"
-#: Words whose letter triples are the dictionary, and labelled findings that train the forest: bounds.
-DICTIONARY_WORDS, TRAINING_ROWS = 20_000, 20_000
-TREES, DEPTH, SEED = 20, 6, 7
-FEATURES = ["n", "transitions", "digits", "uppers", "distinct", "coverage", "slashes", "in_url", "cue", "assigned", "quoted"]
+#: Words beside digests and numbers that are no secrets.
+HARMLESS = r"(?i)(?:commit|revision|sha-?\d*|md5|checksum|digest|hash|etag|uuid|guid|version|build|isbn|order|serial)"
+#: Texts that findings are planted in (a bound), trees and their depth.
+PLANTED_ROWS, TREES, DEPTH, SEED = 600, 20, 8, 7
+FEATURES = ["n", "transitions", "digits", "uppers", "distinct", "coverage", "slashes", "joints", "in_url", "in_path", "cue", "harmless", "assigned", "quoted"]
 
 
 def dictionary(docs: DataFrame) -> str:
-    """A bit for each of 26**3 letter triples: whether a frequent word of the corpus holds it."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("w")).where(F.length("w").between(3, 12))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS)
-    triples = top.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring(F.col("w"), i, F.lit(3)))).alias("t")).distinct()
-    have = {r.t for r in triples.collect()}
-    letters = string.ascii_lowercase
+    """A bit for each of 26**3 letter triples: whether it is at least as frequent in the words of all texts as by chance."""
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("w")).where(F.length("w") >= 3)
+    counts = words.groupBy("w").agg(F.count("*").alias("n"))
+    triple = F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring(F.col("w"), i, F.lit(3)))
+    rows = counts.select("n", F.explode(triple).alias("t")).groupBy("t").agg(F.sum("n").alias("n")).collect()
+    letters, total = string.ascii_lowercase, sum(r.n for r in rows)
+    have = {r.t for r in rows if r.n * len(letters) ** 3 >= total}
     return "".join("1" if a + b + c in have else "0" for a in letters for b in letters for c in letters)
 
 
@@ -63,25 +73,23 @@ def _held(text: Column) -> Column:
         start = x["start"] + F.length(head)
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.right(F.concat(x["before"], head), F.lit(48)).alias("before"), x["after"].alias("after"))
 
-    key = "[A-Za-z0-9+/=_-]"
-    run = lambda x: x["value"].rlike(f"^{CANDIDATE}$") & ~x["before"].rlike(f"{key}$") & ~x["after"].rlike(f"^{key}")
+    run = lambda x: x["value"].rlike(f"^(?:{CANDIDATE})$") & ~x["before"].rlike(f"{KEY}$") & ~x["after"].rlike(f"^{KEY}")
     return F.filter(F.transform(find(text, HELD), span), lambda x: (F.length(x["value"]) > 0) & ~run(x))
 
 
-def candidates(docs: DataFrame, bits: str) -> DataFrame:
-    """doc_id, start, end, value and FEATURES of every run of 16 or more key characters and every value ``HELD`` finds."""
+def candidates(docs: DataFrame, bits: str, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``keys``, start, end, value and FEATURES of every span that ``CANDIDATE`` or ``HELD`` finds."""
     text = F.coalesce("text", F.lit(""))
-    found = docs.select(F.col("doc_id").cast("long"), F.explode(F.concat(find(text, CANDIDATE), _held(text))).alias("s")).select("doc_id", "s.*")
+    found = docs.select(*keys, F.explode(F.concat(find(text, CANDIDATE), _held(text))).alias("s")).select(*keys, "s.*")
     n = F.length("value")
     share = lambda chars: F.regexp_count("value", F.lit(chars)) / n
     flag = lambda c, pattern: F.col(c).rlike(pattern).cast("double")
     transitions = F.regexp_count("value", F.lit(r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])")) / n
     return found.select(
-        "doc_id",
+        *keys,
         "start",
         "end",
         "value",
-        "before",
         n.cast("double").alias("n"),
         transitions.alias("transitions"),
         share("[0-9]").alias("digits"),
@@ -89,52 +97,98 @@ def candidates(docs: DataFrame, bits: str) -> DataFrame:
         (F.size(F.array_distinct(F.split("value", ""))) / n).alias("distinct"),
         _coverage(F.col("value"), bits).alias("coverage"),
         share("/").alias("slashes"),
+        share("[_.-]").alias("joints"),
         flag("before", r"://\S*$").alias("in_url"),
+        (flag("before", r"[/\\\\]$") + flag("after", r"^(?:[/\\\\]|\.[a-z]{1,4}\b)")).alias("in_path"),
         flag("before", CUE).alias("cue"),
+        (flag("before", HARMLESS + r"\W{0,4}(?:\S*\s)?\W*$")).alias("harmless"),
         flag("before", r"[:=]\s*[\"'`]?$").alias("assigned"),
         flag("before", r"[\"'`]$").alias("quoted"),
     )
 
 
-def _named() -> Column:
-    """A value with digits, and not of digits only where it is short, behind a credential's name or in a URL's password."""
-    return (F.col("before").rlike(NAMED) | F.col("before").rlike(URL)) & (F.col("digits") > 0) & ((F.col("n") >= 16) | (F.col("digits") < 1))
+#: How findings are planted: fixed words of a kind before its values.
+NAMED = ['token = "', 'api_key: "', "secret=", "Authorization: Bearer ", 'password = "', "auth_token: "]
+PLAIN = ["", '"', "(", "value ", "= ", "is: "]
+DIGESTS = ["commit ", "sha1 ", "md5: ", "checksum = ", 'etag="', "revision "]
+STAND_INS = ["your_token_here", "changeme_changeme", "xxxxxxxxxxxxxxxx", "example_key_value", "replace_with_own_secret"]
+PREFIXES = ["sk_live_", "ghp_", "AKIA", "xoxb-", "glpat-"]
 
 
-def labelled_findings(found: DataFrame) -> DataFrame:
-    """Findings whose context settles them: assigned to a credential's name (1), or letters only in running text (0)."""
-    named = _named()
-    prose = ~F.col("before").rlike(CUE) & (F.col("assigned") == 0) & (F.col("digits") == 0) & F.col("value").rlike(r"^[A-Za-z_-]+$")
-    return found.withColumn("label", F.when(named, 1.0).when(prose, 0.0)).where("label is not null")
+def planted(docs: DataFrame, rows: int = PLANTED_ROWS, seed: int = SEED) -> DataFrame:
+    """text, value, label, named: values of known kinds planted among words of about ``rows`` of ``docs``, a row each.
 
-
-def train(findings: DataFrame) -> PipelineModel | None:
-    """The forest, from at most ``TRAINING_ROWS`` labelled findings a label (smallest hashes); None when a label is missing."""
-    rows = findings.select(*FEATURES, "label", F.xxhash64("doc_id", "start", "value").alias("h"))
-    picked = [rows.where(F.col("label") == x).orderBy("h").limit(TRAINING_ROWS) for x in (0.0, 1.0)]
-    sample = stored(picked[0].union(picked[1]), "findings")
-    if sample.select("label").distinct().count() < 2:
-        return None
+    Labels come from how a value was made, never from what stands around it. Secrets (1): hexadecimal and base-64
+    strings, keys with a prefix, dotted tokens and passwords, half of them without a credential's name. Others (0):
+    identifiers, long words, paths and addresses made of the text's own words, digests, identifiers and numbers behind
+    their names, and stand-ins, of which some stand behind a credential's name.
+    """
+    h = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed))
+    some = docs.where(F.pmod(h, F.lit(max(1, docs.count() // rows))) == 0).select(h.alias("h"), "text").orderBy("h").limit(rows)
+    spare = F.array(*map(F.lit, "some words stand here where texts have none of their own to plant".split()))
+    words = F.filter(F.concat(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z]+"), spare), lambda w: F.length(w) > 2)
+    some = some.select("h", words.alias("w")).withColumn("w", F.slice("w", F.pmod("h", F.size("w") - 11).cast("int") + 1, F.lit(12)))
+    some = some.select("h", "w", F.explode(F.sequence(F.lit(0), F.lit(16))).alias("kind"))
+    some = some.withColumn("r", F.sha2(F.concat_ws(":", "h", "kind", F.lit(seed)).cast("binary"), 512))
+    some = some.withColumns({"b": F.base64(F.unhex("r")), "pick": F.pmod(F.xxhash64("r"), F.lit(1 << 20)).cast("int")})
+    some = some.withColumn("a", F.regexp_replace("b", "[^A-Za-z0-9]", ""))
+    one = lambda values: F.get(F.array(*map(F.lit, values)), F.pmod("pick", F.lit(len(values))))
+    cut = lambda c, at, n: F.substring(F.col(c), F.lit(at), F.lit(n) if isinstance(n, int) else n)
+    own = F.slice("w", 1, F.col("pick") % 3 + 3)
+    digits = F.translate("r", "abcdef", "012345")
+    values = [
+        cut("r", 1, 40), cut("r", 9, 32), cut("b", 1, F.col("pick") % 40 + 24), F.concat(one(PREFIXES), cut("a", 1, 24)),
+        F.concat(F.lit("eyJ"), cut("a", 1, 17), F.lit("."), cut("a", 20, 30), F.lit("."), cut("b", 50, 27)), F.upper(cut("r", 1, 40)),
+        F.concat(cut("a", 1, F.col("pick") % 7 + 4), one(list("!@#%&*?")), cut("a", 30, 3)),
+        F.lower(F.array_join(own, "_")), F.array_join(F.transform(own, lambda x: F.initcap(x)), ""), F.lower(F.array_join(own, "")), F.array_join(own, "/"),
+        F.lower(F.array_join(F.slice("w", 1, 4), "-")), cut("r", 1, 40), cut("r", 9, 32),
+        F.concat_ws("-", cut("r", 1, 8), cut("r", 9, 4), cut("r", 13, 4), cut("r", 17, 4), cut("r", 21, 12)), F.substring(digits, F.lit(1), F.col("pick") % 5 + 16), one(STAND_INS),
+    ]
+    some = some.withColumn("value", F.get(F.array(*values), F.col("kind")))
+    named = F.when(F.col("kind") == 6, True).when(F.col("kind") < 6, F.col("pick") % 16 < 8).when(F.col("kind") == 16, F.col("pick") % 16 < 12).otherwise((F.col("pick") % 16 < 3) & ~F.col("kind").isin(12, 13, 14))
+    head = F.when(named, one(NAMED)).when(F.col("kind").isin(12, 13, 14), one(DIGESTS)).when(F.col("kind") == 11, F.concat(F.lit("https://"), F.lower(F.element_at("w", 6)), F.lit(".com/"))).otherwise(one(PLAIN))
+    tail = F.when(head.endswith('"'), F.lit('"')).when(head.endswith("("), F.lit(")")).otherwise(F.lit(""))
+    side = lambda at: F.array_join(F.slice("w", at, F.lit(3)), " ")
+    text = F.concat(side(F.lit(7)), F.lit(" "), head, F.col("value"), tail, F.lit(" "), side(F.lit(10)))
+    return some.select(text.alias("text"), "value", (F.col("kind") < 7).cast("double").alias("label"), named.alias("named"))
+
+
+def labelled_findings(findings: DataFrame, bits: str) -> DataFrame:
+    """The candidates that are the labelled ``value`` of their text, with label and FEATURES."""
+    found = candidates(findings.withColumnRenamed("value", "labelled"), bits, ("labelled", "label", *[c for c in ("named",) if c in findings.columns]))
+    return found.where("value = labelled").drop("labelled")
+
+
+def train(findings: DataFrame) -> PipelineModel:
+    """The forest over ``FEATURES`` of labelled findings."""
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="x"), forest]).fit(sample)
+    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="x"), forest]).fit(findings)
+
+
+def scored(model: PipelineModel, found: DataFrame) -> DataFrame:
+    """``found`` with its score, the forest's share of votes for a secret."""
+    return model.transform(found).withColumn("score", vector_to_array("probability")[1])
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """doc_id, start, end, value_sha256, score, is_secret for every candidate in ``docs``.
 
-    A candidate is a run of 16 or more of A-Z a-z 0-9 + / = _ -, a value of any length behind a credential's name
-    (quoted, or up to white space), or the password in a URL. ``findings`` are labelled candidates; by default those
-    of ``docs`` whose context settles them. The forest sees length, character transitions, dictionary
-    coverage, path and neighbouring words. Without findings of both labels it is the named assignments that
-    are secrets, with scores 1 and 0.
+    A candidate is a private key block, a run of 16 or more of A-Z a-z 0-9 + / = _ - with further parts behind dots, a
+    value of any length behind a credential's name (quoted, or up to white space), or the password in a URL.
+    ``findings`` are labelled texts (text, value, label 0 or 1); by default ``planted`` ones. The forest sees length,
+    character transitions, dictionary coverage, path and neighbouring words; the dictionary is all words of ``docs``.
 
-    Null or empty texts have no candidates. Repeated rows repeat theirs. An empty table gives an empty
-    result. Other columns are ignored. Offsets are code points, end exclusive.
+    Null or empty texts have no candidates; very long ones are searched within their row. Null ids stay null; repeated
+    rows repeat theirs. An empty table gives an empty result. Other columns are ignored. Offsets are code points, end
+    exclusive.
     """
-    found = stored(candidates(docs, dictionary(docs)), "candidates")
-    model = train(labelled_findings(found) if findings is None else findings)
-    if model is None:
-        scored = found.withColumn("score", _named().cast("double"))
+    bits = dictionary(docs)
+    found = stored(candidates(docs.select(F.col("doc_id").cast("long"), "text"), bits), "candidates")
+    known = stored(labelled_findings(planted(docs) if findings is None else findings, bits), "findings")
+    if found.isEmpty():
+        rows = found.withColumn("score", F.lit(0.0))
+    elif known.select("label").distinct().count() < 2:
+        raise ValueError("findings of both labels are needed")
     else:
-        scored = model.transform(found).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), (F.col("score") >= 0.5).alias("is_secret"))
+        rows = scored(train(known), found)
+    return rows.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), (F.col("score") >= 0.5).alias("is_secret"))
