@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +12,12 @@ from .common import stored
 from .spans import find, let
 
 BASE = ["email", "ip", "card", "phone"]
-ADDED = ["email_masked", "phone_local", "ssn", "iban"]
+ADDED = ["email_masked", "phone_local", "ssn", "iban", "name", "address", "card_like", "ip_like", "phone_like"]
 KINDS = BASE + ADDED
+#: Kinds whose labelers are weighed together: base spans show what sure ones look like, near misses what others do.
+FAMILIES = {"email_masked": "email", "phone_local": "phone", "phone_like": "phone", "card_like": "card", "ip_like": "ip"}
+#: Near misses: what a base kind's pattern finds and its test fails.
+NEAR = {"card_like": "card", "ip_like": "ip", "phone_like": "phone"}
 # Runs are entered at their start, or where the last match ended: what the plain patterns find, in linear time.
 # A card's digits are at least 14: shorter ones would fail, and no part of them could pass.
 PATTERNS = {
@@ -25,9 +29,14 @@ PATTERNS = {
     "phone_local": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "name": r"(?<=\b(?:Mr|Mrs|Ms|Dr|Prof|Dear|Name|name|Contact|Frau|Herr|Señora?|Madame|Monsieur)[.:]{0,1} )\p{Lu}\p{Ll}{1,30}+(?: \p{Lu}\p{Ll}{1,30}+){0,2}+",
+    "address": r"(?<![A-Za-z0-9])[0-9]{1,5}(?: \p{Lu}\p{Ll}{1,30}){1,3}?(?<= (?:Street|St|Road|Rd|Avenue|Ave|Lane|Drive|Square|Court|Way))\b",
 }
 #: Characters that a text must hold for a kind's pattern to run.
-NEEDS = {"email": "@", "phone": r"\+", "email_masked": r"(?i)[\[(]at[\])]"}
+NEEDS = {
+    "email": "@", "phone": r"\+", "email_masked": r"(?i)[\[(]at[\])]", "address": r"[0-9] \p{Lu}",
+    "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Dear|Name|name|Contact|Frau|Herr|Señora?|Madame|Monsieur)[.:]? \p{Lu}",
+}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 CUES = {
     "email": "mail|contact|write|address",
@@ -38,7 +47,10 @@ CUES = {
     "phone_local": "phone|tel|call|fax|mobile|contact",
     "ssn": "ssn|social|security|tax",
     "iban": "iban|account|bank|transfer",
+    "name": "name|contact|dear|signed|born|lives|mail|call",
+    "address": "address|lives?|live at|home|deliver|ship|visit",
 }
+CUES |= {near: CUES[kind] for near, kind in NEAR.items()}
 AGAINST = "version|order|invoice|serial|isbn|build|figure|table"
 DOMAINS = ["com", "org", "net", "edu", "gov", "io", "co", "uk", "de", "fr", "es", "it", "nl", "eu", "info", "biz", "us", "ca", "au", "ch", "at"]
 COUNTRIES = ["DE", "FR", "ES", "GB", "IT", "NL", "BE", "AT", "CH", "IE", "PT", "LU", "DK", "SE", "NO", "FI", "PL", "CZ"]
@@ -69,6 +81,18 @@ def _passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _mod97(value: Column) -> Column:
+    """Whether an IBAN's check digits fit: letters are numbers from 10 on, the first four characters come last."""
+    bare = F.replace(value, F.lit(" "))
+    turned = F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.left(bare, F.lit(4)))
+
+    def step(rest: Column, c: Column) -> Column:
+        n = F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+        return (rest * F.when(n > 9, 100).otherwise(10) + n) % 97
+
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step) == 1
+
+
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
@@ -77,35 +101,71 @@ def _votes(kind: str, s: Column) -> Column:
     """What the labelers say of a candidate: 1 personal, -1 not, 0 nothing."""
     value, d = s["value"], _digits(s["value"])
     last = F.lower(F.regexp_extract(value, r"([A-Za-z]+)$", 1))
+    like = NEAR.get(kind, kind)
+    never = F.lit(False)
     form, gazetteer = {
         "email": (_vote(F.length(value) <= 254, F.lit(True)), _vote(last.isin(DOMAINS), last == "")),
-        "ip": (_vote(_passes("ip", value), F.lit(True)), _vote(F.lit(False), value.rlike(r"^(?:0|127|255)\."))),
-        "card": (_vote(F.lit(True), F.lit(False)), _vote(d.rlike("^[3-6]"), F.lit(True))),
-        "phone": (_vote(F.lit(True), F.lit(False)), _vote(d.rlike("^[1-9]"), F.lit(True))),
+        "ip": (_vote(_passes("ip", value), F.lit(True)), _vote(never, value.rlike(r"^(?:0|127|255)\."))),
+        "card": (_vote(F.lit(kind == "card"), F.lit(True)), _vote(d.rlike("^[3-6]"), F.lit(True))),
+        "phone": (_vote(F.lit(kind == "phone"), ~F.length(d).between(7, 15)), _vote(d.rlike("^[1-9]"), F.lit(True))),
         "email_masked": (_vote(last != "", F.lit(True)), _vote(last.isin(DOMAINS), last == "")),
-        "phone_local": (_vote(d.rlike("^[2-9][0-9]{2}[2-9]"), F.lit(True)), _vote(F.lit(False), d.rlike("^(.)\\1+$"))),
+        "phone_local": (_vote(d.rlike("^[2-9][0-9]{2}[2-9]"), F.lit(True)), _vote(never, d.rlike("^(.)\\1+$"))),
         "ssn": (_vote(~d.rlike("^(?:000|666|9)|^...00|0000$"), F.lit(True)), F.lit(0)),
-        "iban": (_vote(F.length(F.replace(value, F.lit(" "))).between(15, 34), F.lit(True)), _vote(F.left(value, F.lit(2)).isin(COUNTRIES), F.lit(True))),
-    }[kind]
+        "iban": (_vote(_mod97(value), F.lit(True)), _vote(F.left(value, F.lit(2)).isin(COUNTRIES), F.lit(True))),
+        "name": (_vote(value.contains(" "), never), F.lit(0)),
+        "address": (_vote(value.rlike(r"^[1-9]"), F.lit(True)), F.lit(0)),
+    }[like]
     context = _vote(s["before"].rlike(rf"(?i)\b(?:{CUES[kind]})"), s["before"].rlike(rf"(?i)\b(?:{AGAINST})\b"))
     edges = _vote(s["before"].rlike(r"(?:^|[\s\"'(<>:,;=])$") & s["after"].rlike(r"^(?:$|[\s\"')<>:,;.!?])"), s["before"].rlike("[A-Za-z0-9]$") | s["after"].rlike("^[A-Za-z0-9]"))
     return F.array(form.cast("int"), gazetteer.cast("int"), context.cast("int"), edges.cast("int"))
 
 
+def _shape(value: Column) -> Column:
+    """What the classifier sees of the span itself: classes of its length and of its share of digits."""
+    size = F.length(value)
+    return F.array(F.least(F.floor(size / 8), F.lit(4)).cast("int"), F.floor(F.regexp_count(value, F.lit("[0-9]")) * 3 / F.greatest(size, F.lit(1))).cast("int"))
+
+
 def tagged(docs: DataFrame) -> DataFrame:
     """doc_id, base, more: the base spans, and the further candidates that overlap none of them, with their votes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
 
+    def span(kind: str, s: Column) -> Column:
+        rank = F.lit(KINDS.index(kind)).alias("kind")
+        word = F.when(F.lit(kind in LEARNED), s["value"]).alias("word")
+        return F.struct(s["start"].alias("start"), rank, s["end"].alias("end"), F.length(s["value"]).alias("n"), _votes(kind, s).alias("votes"), _shape(s["value"]).alias("shape"), word)
+
+    searched = [k for k in KINDS if k not in NEAR]
+    matches = docs.select(F.col("doc_id").cast("long"), *[F.when(text.rlike(NEEDS.get(k, "[0-9]")), find(text, PATTERNS[k])).otherwise(none).alias(k) for k in searched])
+
     def spans(kind: str) -> Column:
-        rank = KINDS.index(kind)
-        found = F.when(text.rlike(NEEDS.get(kind, "[0-9]")), find(text, PATTERNS[kind])).otherwise(none)
-        kept = F.filter(found, lambda s: _passes(kind, s["value"])) if kind in ("ip", "card", "phone") else found
-        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("kind"), s["end"].alias("end"), F.length(s["value"]).alias("n"), _votes(kind, s).alias("votes")))
+        like = NEAR.get(kind, kind)
+        own = F.col(like)
+        if like in NEAR.values():
+            own = F.filter(own, lambda s: _passes(like, s["value"]) == (kind == like))
+        return F.transform(own, lambda s: span(kind, s))
 
-    found = docs.select(F.col("doc_id").cast("long"), F.sort_array(F.concat(*map(spans, BASE))).alias("base"), F.sort_array(F.concat(*map(spans, ADDED))).alias("more"))
+    found = matches.select("doc_id", F.sort_array(F.concat(*map(spans, BASE))).alias("base"), F.sort_array(F.concat(*map(spans, ADDED))).alias("more"))
     apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.withColumn("more", apart)
+    # of candidates that overlap the first stays
+    first = F.filter("more", lambda m, i: (i == 0) | ~F.exists(F.slice("more", 1, i), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return found.withColumn("more", apart).withColumn("more", first)
+
+
+#: Kinds whose gazetteer is learned: a span that is found in so many documents is known.
+LEARNED, KNOWN_DOCS = ("name", "address"), 2
+
+
+def with_gazetteer(found: DataFrame) -> DataFrame:
+    """``found`` with votes for names and addresses that other documents hold too; rows of ``found`` are numbered by ``row``."""
+    words = found.select("row", F.explode("more").alias("m")).where("m.word is not null").select("row", F.col("m.kind").alias("kind"), F.col("m.word").alias("word")).distinct()
+    known = words.groupBy("kind", "word").agg(F.count("*").alias("n")).where(F.col("n") >= KNOWN_DOCS).select("kind", "word")
+    hits = words.join(known, ["kind", "word"]).groupBy("row").agg(F.collect_set(F.struct("kind", "word")).alias("known"))
+    out = found.join(hits, "row", "left")
+    votes = lambda m: F.when(F.array_contains("known", F.struct(m["kind"].alias("kind"), m["word"].alias("word"))), F.transform(m["votes"], lambda v, i: F.when(i == 1, 1).otherwise(v))).otherwise(m["votes"])
+    voted = F.transform("more", lambda m: m.withField("votes", votes(m)))
+    return out.withColumn("more", F.when(F.col("known").isNotNull(), voted).otherwise(F.col("more"))).drop("known")
 
 
 def reliabilities(votes: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -125,50 +185,68 @@ def reliabilities(votes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return p
 
 
-def _features(kind: Column, votes: Column) -> list[Column]:
-    return [(F.get(votes, F.lit(j)) == v).cast("double") for j in range(len(VOTES)) for v in (-1, 1)] + [(kind == k).cast("double") for k in range(len(KINDS))]
+#: One feature for each vote of each labeler on each kind, as labelers err differently on each, for the kind, and for the span's shape.
+N_FEATURES = len(KINDS) * (3 * len(VOTES) + 1) + 9
+
+
+def _active(kind: Column, votes: Column, shape: Column) -> Column:
+    """The numbers of a span's features; all others are 0."""
+    cast = [((kind * len(VOTES) + j) * 3 + F.get(votes, F.lit(j)) + 1).cast("int") for j in range(len(VOTES))]
+    rest = 3 * len(VOTES) * len(KINDS)
+    return F.array(*cast, (kind + rest).cast("int"), F.get(shape, F.lit(0)) + rest + len(KINDS), F.get(shape, F.lit(1)) + rest + len(KINDS) + 5)
 
 
 def train(candidates: DataFrame) -> tuple[float, list[float]] | None:
-    """Intercept and weights of the span classifier from (kind, votes) of all candidates.
+    """Intercept and weights of the span classifier from (kind, votes, shape) of all candidates.
 
-    Counted by kind and votes there are at most 8 * 3**4 patterns: ``reliabilities`` labels them on the driver, and they
-    train a logistic regression, each weighted by how often it occurs and by how likely either label is.
+    Counted by these there are at most 13 * 3**4 * 20 patterns, whatever the input: ``reliabilities`` labels the votes of
+    each family of kinds on the driver, and the patterns train a logistic regression, each weighted by how often it
+    occurs and by how likely either label is.
     """
-    counts = stored(candidates.groupBy("kind", "votes").agg(F.count("*").alias("n")), "patterns")
-    rows = counts.orderBy("kind", "votes").collect()
+    counts = stored(candidates.groupBy("kind", "votes", "shape").agg(F.count("*").alias("n")), "patterns")
+    rows = counts.groupBy("kind", "votes").agg(F.sum("n").alias("n")).orderBy("kind", "votes").collect()
     if not rows:
         return None
-    p = reliabilities(np.array([r.votes for r in rows]), np.array([float(r.n) for r in rows]))
+    family = [FAMILIES.get(KINDS[r.kind], KINDS[r.kind]) for r in rows]
+    p = np.zeros(len(rows))
+    for name in set(family):
+        own = np.array([f == name for f in family])
+        p[own] = reliabilities(np.array([r.votes for r in rows])[own], np.array([float(r.n) for r in rows])[own])
     name = lambda kind, votes: ":".join(map(str, [kind, *votes]))
     known = F.create_map(*[F.lit(x) for r, q in zip(rows, p, strict=True) for x in (name(r.kind, r.votes), float(q))])
     q = known[F.concat_ws(":", F.col("kind").cast("string"), F.col("votes").cast("array<string>"))]
     either = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("n") * q).alias("w")), F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - q)).alias("w"))))
-    names = [f"f{i}" for i in range(2 * len(VOTES) + len(KINDS))]
-    data = counts.select(either.alias("e"), *[f.alias(x) for f, x in zip(_features(F.col("kind"), F.col("votes")), names, strict=True)]).select("e.*", *names)
-    model = LogisticRegression(regParam=0.01, weightCol="w").fit(VectorAssembler(inputCols=names, outputCol="features").transform(data))
+    active = _active(F.col("kind"), F.col("votes"), F.col("shape"))
+    one_hot = F.transform(F.sequence(F.lit(0), F.lit(N_FEATURES - 1)), lambda i: F.array_contains(active, i).cast("double"))
+    data = counts.select(either.alias("e"), array_to_vector(one_hot).alias("features")).select("e.*", "features")
+    model = LogisticRegression(regParam=0.001, weightCol="w").fit(data)
     return float(model.intercept), [float(x) for x in model.coefficients]
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of ``docs``.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans for every row of ``docs``.
 
-    Base spans (email, ip, card, phone) always stay. Masked e-mails, local phone numbers, social security
-    numbers and IBANs that overlap none are candidates: regex, gazetteer and context labelers vote on base
-    spans and candidates alike, expectation-maximisation weighs them, and a classifier trained on the result
-    admits candidates. Offsets are code points, end exclusive.
+    Base spans (email, ip, card, phone) always stay. Candidates that overlap none are masked e-mails, local phone
+    numbers, social security numbers, IBANs, names behind a form of address, street addresses, and near misses of base
+    kinds: regex, gazetteer and context labelers vote on base spans and candidates alike, expectation-maximisation
+    weighs them family by family, and a classifier trained on the result admits candidates. The gazetteer of names and
+    addresses is learned: what several documents hold. Offsets are code points, end exclusive.
 
-    A null or empty text has no spans: counts 0 and the hash of the empty string. Repeated rows are scanned
-    each. An empty table gives an empty result. Other columns are ignored.
+    A null or empty text has no spans: counts 0 and the hash of the empty string. Very long texts are searched within
+    their row. Null ids stay null; repeated rows are scanned each. An empty table gives an empty result. Other columns
+    are ignored.
     """
-    found = stored(tagged(docs), "spans")
-    model = train(found.select(F.explode(F.concat("base", "more")).alias("s")).select("s.kind", "s.votes"))
+    found = stored(tagged(docs).withColumn("row", F.monotonically_increasing_id()), "spans")
+    found = with_gazetteer(found)
+    model = train(found.select(F.explode(F.concat("base", "more")).alias("s")).select("s.kind", "s.votes", "s.shape"))
     if model is None:
         admitted = F.col("more")
     else:
-        score = lambda m: sum((w * f for w, f in zip(model[1], _features(m["kind"], m["votes"]), strict=True)), F.lit(model[0]))
+        weights = F.array(*map(F.lit, model[1]))
+        score = lambda m: F.aggregate(_active(m["kind"], m["votes"], m["shape"]), F.lit(model[0]), lambda total, i: total + F.get(weights, i))
         admitted = F.filter("more", lambda m: score(m) >= float(np.log(ACCEPT / (1 - ACCEPT))))
     names = F.array(*map(F.lit, KINDS))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, BASE), F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.sort_array(F.concat(F.col("base"), admitted))).alias("spans"))
+    every = found.withColumn("every", F.sort_array(F.concat(F.col("base"), admitted)))
+    return every.select("doc_id", *map(count, BASE), F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("every")).alias("spans"), F.size("every").cast("long").alias("n_spans"))

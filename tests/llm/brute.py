@@ -145,3 +145,29 @@ def best_fit(counts, size):
             gaps[gap - length] += taken
             left -= taken
     return opened
+
+
+def weak_labels(votes, counts, rounds):
+    """Dawid and Skene's model of independent labelers for two truths, voter by voter, with the operator's start and pseudo-counts."""
+    n_voters = len(votes[0])
+    p = [min(0.95, max(0.05, 0.5 + sum(v) / (2.2 * n_voters))) for v in votes]
+    for _ in range(rounds):
+        prior = sum(c * q for c, q in zip(counts, p)) / sum(counts)
+        rates = []
+        for j in range(n_voters):
+            by_truth = []
+            for truth in (1, 0):
+                seen = {-1: 0.1, 0: 0.5, 1: 0.1}
+                seen[1 if truth else -1] = 0.5
+                for v, c, q in zip(votes, counts, p):
+                    seen[v[j]] += c * (q if truth else 1 - q)
+                by_truth.append({v: x / sum(seen.values()) for v, x in seen.items()})
+            rates.append(by_truth)
+        out = []
+        for v in votes:
+            yes, no = prior, 1 - prior
+            for j in range(n_voters):
+                yes, no = yes * rates[j][0][v[j]], no * rates[j][1][v[j]]
+            out.append(min(1 - 1e-6, max(1e-6, yes / (yes + no))))
+        p = out
+    return p

@@ -285,6 +285,49 @@ def test_pii_admits_what_the_labelers_support(spark):
     assert not any(spans[200 + i] for i in range(10))
 
 
+def test_reliabilities_match_a_plain_version():
+    rng = random.Random(8)
+    votes = sorted({tuple(rng.choice([-1, 0, 1]) for _ in range(4)) for _ in range(40)})
+    counts = [rng.randrange(1, 500) for _ in votes]
+    got = pii.reliabilities(np.array(votes), np.array(counts, float))
+    assert got == pytest.approx(brute.weak_labels(votes, counts, pii.EM_ROUNDS), abs=1e-4)
+
+
+def test_added_spans_against_the_truth(spark):
+    """Personal spans among look-alikes: near misses of cards and addresses, version numbers, words behind no form of address."""
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    rows, truth = [], set()
+
+    def add(before, value, after, kind):
+        d = len(rows)
+        rows.append((d, f"{before}{value}{after}"))
+        if kind:
+            truth.add((d, f"{kind}:{len(before)}:{len(before) + len(value)}"))
+
+    for i in range(40):
+        add("Mail me: ", f"a{i}@host.com", " or so.", "email")
+        add("call phone ", f"+1 (743) 555-38{i:02}", ".", "phone")
+        add("contact mail: ", f"joe{i} [at] host [dot] com", " today", "email_masked")
+        add("pay by card ", next(v for v in iter(lambda: "4" + digits(15), None) if brute.luhn(v)), ".", "card")
+        add("invoice ", next(v for v in iter(lambda: "7" + digits(15), None) if not brute.luhn(v)), ".", None)
+        add("version ", f"{rng.randrange(300, 900)}.1.2.3", ".", None)
+        add("signed, Dr. ", f"Ana Kov{'abcdefghij'[i % 10]}", " wrote.", "name")
+        add("lives at ", f"{i + 1} Oak Street", ", here", "address")
+        add("serial ", f"x{digits(4)} Oak", " Tree.", None)
+    out = pii.find_pii(frame(spark, rows)).collect()
+    found = {(r.doc_id, s) for r in out for s in r.spans.split(",") if s}
+    assert {r.doc_id: r.n_spans for r in out} == {d: sum(x == d for x, _ in found) for d, _ in rows}
+    added = lambda spans: {(d, s) for d, s in spans if s.split(":")[0] in pii.ADDED}
+    hit = len(added(found) & added(truth))
+    assert hit >= 0.9 * len(added(truth)) and hit >= 0.9 * len(added(found)), (len(added(truth)), len(added(found)), hit)
+
+
+def test_iban_check_digits(spark):
+    rows = frame(spark, [(1, "GB82 WEST 1234 5698 7654 32"), (2, "GB83 WEST 1234 5698 7654 32"), (3, "DE89370400440532013000")])
+    assert by_id(rows.select("doc_id", pii._mod97(F.col("text")).alias("ok")), "ok") == {1: (True,), 2: (False,), 3: (True,)}
+
+
 def test_held_out_secrets_without_a_name(spark):
     """Planted in other documents with another seed: the forest against the naming expression alone."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
