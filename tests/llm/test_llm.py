@@ -457,20 +457,21 @@ def test_chat_round_trip(spark, turns):
     assert by_id(out, "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == brute.chat(rows)
 
 
-def test_lm_scores_match_a_plain_version_and_beat_word_counts(spark, docs, texts, none):
+def test_lm_scores_match_a_plain_version(spark, docs, texts, none):
     words = lm.vocabulary(docs)
     p = lm.train(docs, words)
     picked = [t for _, t in texts[:40]] + [None, "", "one", "zzz unseen words"]
     n, total = lm.text_scores(p, words, picked)
+    table, scale, bias, output, base = (x.astype(float) for x in p)
     for t, k, got in zip(picked, n, total, strict=True):
         h, _ = common.word_hashes([t], common.NOT_SPACE)
-        classes, logs = words.of(h)
+        rows, classes, logs = words.of(h)
         assert k == len(brute.SPACED.findall(brute.lower(t)))
         want = 0.0
         for i in range(len(h)):
-            around = [classes[i + o] if 0 <= i + o < len(h) else lm.PAD for o in lm.OFFSETS]
-            hidden = np.tanh(sum(p[0][j][c].astype(float) for j, c in enumerate(around)) + p[1])
-            z = hidden @ p[2] + p[3]
+            around = [rows[i + o] if 0 <= i + o < len(h) else lm.PAD for o in lm.OFFSETS]
+            hidden = np.tanh(sum(table[c] * scale[j] for j, c in enumerate(around)) + bias)
+            z = hidden @ output + base
             want += z[classes[i]] - np.log(np.exp(z).sum()) + logs[i]
         assert got == pytest.approx(want, rel=1e-3, abs=1e-3)
     out = by_id(lm.pseudo_likelihood(docs), "n_tokens", "pll", "pll_per_token")
@@ -478,6 +479,26 @@ def test_lm_scores_match_a_plain_version_and_beat_word_counts(spark, docs, texts
     assert lm.pseudo_likelihood(none).count() == 0
 
 
+def test_lm_beats_word_counts_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 4000")
+    held_out = [r.text for r in docs.where("doc_id % 10 = 0").collect()]
+    train = docs.where("doc_id % 10 != 0")
+    words = lm.vocabulary(train)
+    n, total = lm.text_scores(lm.train(train, words), words, held_out)
+    _, classes, logs = words.of(common.word_hashes(held_out, common.NOT_SPACE)[0])
+    by_counts = (words.class_logs[classes] + logs).sum()
+    assert (total.sum() - by_counts) / n.sum() > 0.25
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PART_WORDS", 20_000)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    a, b = (by_id(lm.pseudo_likelihood(docs.repartition(k)), "n_tokens", "pll") for k in (4, 32))
+    assert a.keys() == b.keys()
+    for d in a:
+        assert a[d][0] == b[d][0] and a[d][1] == pytest.approx(b[d][1], rel=1e-4, abs=1e-3)
+
+
 def test_lm_scores_every_word_by_its_own_count(spark, monkeypatch):
     monkeypatch.setattr(lm, "VOCABULARY", 2)
     rng = random.Random(4)
@@ -496,7 +517,7 @@ def test_lm_scores_every_word_by_its_own_count(spark, monkeypatch):
     for d, t in rows:
         h, _ = common.word_hashes([t], common.NOT_SPACE)
         own = sum(np.log(n[w] / mass[key[w] % lm.OUTSIDE]) for w in t.split() if w not in top)
-        want.append((d, len(t.split()), lm.text_scores(p, words, [t])[1][0] - sum(words.of(h)[1]) + own))
+        want.append((d, len(t.split()), lm.text_scores(p, words, [t])[1][0] - sum(words.of(h)[2]) + own))
     got = sorted((r.doc_id, r.n_tokens, r.pll) for r in lm.pseudo_likelihood(table).collect())
     assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
     assert [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)], rel=1e-3)
