@@ -204,11 +204,12 @@ def search(queries: DataFrame, players: DataFrame, clubs: DataFrame, leagues: Da
         # each query is looked up by its first gram alone: every name that holds the query has it
         keyed = part.select("query", "needle", F.substring("needle", 1, size).alias("gram"))
         wanted = keyed.select("gram").distinct()
-        posts = names.select("*", F.explode(_grams(F.col("folded"), size)).alias("gram")).join(wanted, "gram", "left_semi")
+        posts = names.select("kind", "id", "order", "folded", F.explode(_grams(F.col("folded"), size)).alias("gram")).join(wanted, "gram", "left_semi")
         found = posts.join(keyed, "gram").where(F.contains("folded", F.col("needle"))).drop("gram")
         hits = found if hits is None else hits.unionByName(found)
     first = F.when(F.startswith("folded", F.col("needle")), 0).otherwise(1)
-    return top_rows(hits, ["query", "kind"], [first, "order", "id"], n, "rank").select("query", "kind", "rank", "id", "label", "detail")
+    best = top_rows(hits, ["query", "kind"], [first, "order", "id"], n, "rank").select("query", "kind", "rank", "id")
+    return best.join(names.select("kind", "id", "label", "detail"), ["kind", "id"]).select("query", "kind", "rank", "id", "label", "detail")
 
 
 def search_players(
