@@ -171,3 +171,37 @@ def weak_labels(votes, counts, rounds):
             out.append(min(1 - 1e-6, max(1e-6, yes / (yes + no))))
         p = out
     return p
+
+
+def kept(docs, prior=200, spread=3):
+    """Whether the quality rules keep each of ``docs`` (doc_id, text, lang, source), in order."""
+    slack = {"symbols": (1 << 60, 150), "dup_lines": (1 << 60, 400), "word_length": (1500, 1500)}
+    rows = []
+    for _, text, lang, source in docs:
+        n, chars, symbols, dup, _, failed = quality(text)
+        lines = sum(bool(SPACED.search(x)) for x in (text or "").split("\n"))
+        values = {"symbols": symbols * 1000 // max(n, 1), "dup_lines": dup * 1000 // max(lines, 1), "word_length": chars * 1000 // max(n, 1)}
+        rows.append((lang, source, failed, values))
+
+    def quartiles(feature, group):
+        bins = Counter((v >> max(v.bit_length() - 5, 0)) << max(v.bit_length() - 5, 0) for lang, source, failed, values in rows if not failed and group(lang, source) for v in [values[feature]])
+        n, out = sum(bins.values()), []
+        for q in (1, 3):
+            upto = 0
+            for b in sorted(bins):
+                upto += bins[b]
+                if upto * 4 >= n * q:
+                    out.append(b)
+                    break
+        return n, out
+
+    fences = {}
+    for lang, source in {r[:2] for r in rows if not r[2]}:
+        for f in slack:
+            n, own = quartiles(f, lambda a, b: (a, b) == (lang, source))
+            m, wide = quartiles(f, lambda a, b: a == lang)
+            _, every = quartiles(f, lambda a, b: True)
+            near = [(n * o + prior * ((m * w + prior * e) // (m + prior))) // (n + prior) for o, w, e in zip(own, wide, every)]
+            gap = spread * (near[1] - near[0])
+            fences[lang, source, f] = near[0] - gap - slack[f][0], near[1] + gap + slack[f][1]
+    return [not failed and all(fences[lang, source, f][0] <= v <= fences[lang, source, f][1] for f, v in values.items()) for lang, source, failed, values in rows]
