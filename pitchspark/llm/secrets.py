@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -16,11 +17,13 @@ from .common import stored
 from .spans import find, let
 
 KEY = "[A-Za-z0-9+/=_-]"
-#: A whole private key block, or a run of 16 key characters with further parts behind dots.
+#: A run of 16 key characters with further parts behind dots, or a whole private key block. Runs are entered at their start.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,40}PRIVATE KEY-----"
-    rf"|{KEY}{{16,}}+(?:\.[A-Za-z0-9_-]{{8,}}+)*+"
+    rf"(?<!{KEY}){KEY}{{16,}}+(?:\.[A-Za-z0-9_-]{{8,}}+)*+"
+    r"|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,40}PRIVATE KEY-----"
 )
+#: What a text must hold in lower case for ``HELD`` to find anything.
+MARKS = ["key", "token", "secret", "passw", "pwd", "credential", "auth", "://"]
 #: A value of any length and characters behind a credential's name, quoted or up to white space, and the password in a URL.
 HEAD = (
     r"(?:(?i:key|token|secret|passw|pwd|credential|auth)[A-Za-z0-9_-]{0,64}+[\"']?\s{0,8}[:=]{1,3}\s{0,8}"
@@ -40,7 +43,9 @@ def dictionary(docs: DataFrame) -> str:
     """A bit for each of 26**3 letter triples: whether it is at least as frequent in the words of all texts as by chance."""
     words = docs.select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("w")).where(F.length("w") >= 3)
     counts = words.groupBy("w").agg(F.count("*").alias("n"))
-    triple = F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring(F.col("w"), i, F.lit(3)))
+    # letters first: a place in an array is found at once, one in a very long word is not
+    three = lambda own: F.transform(F.sequence(F.lit(0), F.length("w") - 3), lambda i: F.concat(*[F.get(own, i + k) for k in range(3)]))
+    triple = let(F.split("w", ""), three)
     rows = counts.select("n", F.explode(triple).alias("t")).groupBy("t").agg(F.sum("n").alias("n")).collect()
     letters, total = string.ascii_lowercase, sum(r.n for r in rows)
     have = {r.t for r in rows if r.n * len(letters) ** 3 >= total}
@@ -64,6 +69,8 @@ def _coverage(value: Column, bits: str) -> Column:
 
 def _held(text: Column) -> Column:
     """Spans as ``find`` gives them of the values that ``HELD`` finds, less those that are whole runs of key characters."""
+    marked = reduce(Column.__or__, [F.contains(F.lower(text), F.lit(m)) for m in MARKS])
+    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
 
     def span(x: Column) -> Column:
         head = F.regexp_extract(x["value"], "^" + HEAD.replace("(?=[^\\s/@]{1,256}@)", "") + "[\"'`]?", 0)
@@ -74,7 +81,8 @@ def _held(text: Column) -> Column:
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.right(F.concat(x["before"], head), F.lit(48)).alias("before"), x["after"].alias("after"))
 
     run = lambda x: x["value"].rlike(f"^(?:{CANDIDATE})$") & ~x["before"].rlike(f"{KEY}$") & ~x["after"].rlike(f"^{KEY}")
-    return F.filter(F.transform(find(text, HELD), span), lambda x: (F.length(x["value"]) > 0) & ~run(x))
+    found = F.when(marked, find(text, HELD)).otherwise(none)
+    return F.filter(F.transform(found, span), lambda x: (F.length(x["value"]) > 0) & ~run(x))
 
 
 def candidates(docs: DataFrame, bits: str, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
