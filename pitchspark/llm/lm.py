@@ -204,7 +204,7 @@ def train(docs: DataFrame, words: Words, rounds: int = ROUNDS) -> list[np.ndarra
                 flat = np.concatenate([x.ravel() for x in own]).astype(np.float64)
                 return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), float(n)))], ["i", "v", "w"])
 
-            for batch in (s for b in batches for s in slices(b)):
+            for batch in (s for b in batches for s in slices(b, 1 << 20)):
                 every = batch.column("part").to_numpy()
                 cuts = [0, *(np.flatnonzero(np.diff(every)) + 1), len(every)]
                 for a, b in zip(cuts, cuts[1:], strict=False):
@@ -218,7 +218,8 @@ def train(docs: DataFrame, words: Words, rounds: int = ROUNDS) -> list[np.ndarra
             if n:
                 yield done()
 
-        texts = hashed.where(F.col("part") % rounds == number).repartition(parts, "part").sortWithinPartitions("part", "h")
+        texts = hashed.where(F.col("part") % rounds == number)
+        texts = texts.repartitionById(parts, F.floor(F.col("part") / rounds).cast("int")).sortWithinPartitions("part", "h")
         rows = texts.mapInArrow(run, "i long, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toPandas()
         if len(rows):
             flat = rows.sort_values("i")["v"].to_numpy().astype(np.float32)
