@@ -153,12 +153,11 @@ def _prefix_pairs(open_ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int,
 def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The row's key, n_shingles, low (smallest doc_id of its component) and head (the key of the row that stays)."""
     sigs = stored(signatures(docs, k), "signatures")
-    rep = F.min(F.struct(*ROW)).alias("rep")
-    classes = sigs.where("set_key is not null").groupBy("set_key").agg(rep, F.min("_doc").alias("low"))
-    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    own = classes.select("set_key", "id", F.col("rep._doc").alias("_doc"), F.col("rep._text").alias("_text"))
-    reps = sigs.join(own.withColumnRenamed("_doc", "rep_doc"), ["set_key", "_text"]).where(F.col("_doc").eqNullSafe(F.col("rep_doc")))
-    reps = stored(reps.dropDuplicates(["set_key", "_text"]).select("id", *ROW, "sig"), "representatives")
+    # equal sets have equal registers: a task sends one row a set, however many copies it has
+    rep, sig = F.min(F.struct(*ROW)).alias("rep"), F.min_by("sig", F.struct(*ROW)).alias("sig")
+    every = sigs.where("set_key is not null").groupBy("set_key").agg(rep, F.min("_doc").alias("low"), sig)
+    every = stored(every.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes, reps = every.select("set_key", "id", "rep", "low"), every.select("id", "rep.*", "sig")
     n_bands = BUCKETS * ROUNDS // ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.struct(i.alias("i"), F.slice("sig", i * ROWS + 1, F.lit(ROWS)).alias("r")))
     bands = F.transform(F.filter(bands, lambda b: F.array_max(b["r"]) != EMPTY), lambda b: F.xxhash64(b["i"], b["r"]))
@@ -188,7 +187,7 @@ def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     of_class = classes.join(linked.select("set_key", "component").join(of_component, "component"), "set_key", "left")
     of_class = of_class.select("set_key", F.coalesce("head", "rep").alias("head"), F.when(F.col("head").isNull(), F.col("low")).otherwise(F.col("all_low")).alias("low"))
     keys = stored(sigs.select(*ROW, "n_shingles", "set_key"), "keys")
-    dropped(sigs, reps)
+    dropped(sigs)
     return keys.join(of_class, "set_key", "left").select(*ROW, "n_shingles", "low", "head")
 
 
