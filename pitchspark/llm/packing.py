@@ -68,17 +68,17 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id
     return numbered.mapInArrow(run, "doc_id long, doc long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def sweep(left: DataFrame, gaps: DataFrame, n_gaps: int, size: int, bundle: bool = True) -> DataFrame:
+def sweep(left: DataFrame, gaps: DataFrame, size: int) -> DataFrame:
     """length, first, n, k, gap, sequence, offset: one round of matches of pieces and gaps.
 
-    ``left`` has runs of equal pieces (length, first rank, n), ``gaps`` runs of equal gaps (gap, first sequence, n). Both
-    are sorted by size, the largest first and gaps before pieces, in ``BLOCK``-wide ranges of sizes. In that order a
+    ``left`` has runs of equal pieces (length, first rank, n) and what holds for the round (n_gaps, share), ``gaps`` runs
+    of equal gaps (gap, first sequence, n). Both are sorted by size, the largest first and gaps before pieces, in ``BLOCK``-wide ranges of sizes. In that order a
     piece takes the nearest open gap before it, its successor; where several want one, the highest rank has it and the
     others move on to the next: gaps open and pieces close levels of a running sum, whose totals are carried from
     range to range, and a piece meets the gap that last opened its level. A gap takes one piece a round, or ``k`` equal
-    ones that fill 1 / ``SHARE`` of a sequence at most where they outnumber the gaps so far.
+    ones that fill 1 / ``share`` of a sequence at most where they outnumber the gaps so far.
     """
-    k = F.greatest(F.lit(1), F.least(F.floor(F.col("n") / n_gaps), F.floor(size / SHARE / F.col("length")))) if bundle else F.lit(1)
+    k = F.greatest(F.lit(1), F.least(F.floor(F.col("n") / F.col("n_gaps")), F.floor(size / F.col("share") / F.col("length"))))
     pieces = left.select((k * F.col("length")).alias("size"), F.lit(0).alias("up"), F.floor(F.col("n") / k).alias("w"), F.col("first").alias("ref"), "length", k.cast("long").alias("k"))
     opened = gaps.select(F.col("gap").alias("size"), F.lit(1).alias("up"), F.col("n").alias("w"), F.col("sequence").alias("ref"), F.lit(0).alias("length"), F.lit(1).alias("k"))
     events = opened.unionByName(pieces).withColumns({"block": F.floor(F.col("size") / BLOCK), "step": F.when(F.col("up") == 1, F.col("w")).otherwise(-F.col("w"))})
@@ -137,14 +137,17 @@ def best_fit(counts: DataFrame, size: int) -> DataFrame:
             break
         n, least = sum(lengths.values()), min(lengths)
         bundle, before = n != before, n
-        left = state.where("kind = 'piece'").select(F.col("size").alias("length"), F.col("ref").alias("first"), "n")
-        gaps = state.where((F.col("kind") == "gap") & (F.col("size") >= least)).select(F.col("size").alias("gap"), F.col("ref").alias("sequence"), "n")
         n_gaps = sum(r.n for r in sizes if r.kind == "gap" and r["size"] >= least)
-        if not n_gaps:
-            n_gaps = -(-sum(x * m for x, m in lengths.items()) // size)
-            gaps = spark.createDataFrame([(size, opened, n_gaps)], "gap long, sequence long, n long")
-            opened += n_gaps
-        sweep(left, gaps, n_gaps, size, bundle).coalesce(1).write.parquet(f"{plan}/round={number}")
+        fresh = 0 if n_gaps else -(-sum(x * m for x, m in lengths.items()) // size)
+        # a table, not constants: the code that Spark generates is the same for all rounds
+        facts = f"SELECT * FROM VALUES ({least}L, {n_gaps + fresh}L, {SHARE if bundle else size + 1}L) AS t(least, n_gaps, share)"
+        facts = F.broadcast(spark.sql(facts))
+        left = state.where("kind = 'piece'").select(F.col("size").alias("length"), F.col("ref").alias("first"), "n").crossJoin(facts)
+        gaps = state.where("kind = 'gap'").crossJoin(facts).where("size >= least").select(F.col("size").alias("gap"), F.col("ref").alias("sequence"), "n")
+        if fresh:
+            gaps = spark.sql(f"SELECT * FROM VALUES ({size}L, {opened}L, {fresh}L) AS t(gap, sequence, n)")
+            opened += fresh
+        sweep(left, gaps, size).coalesce(1).write.parquet(f"{plan}/round={number}")
         placed = spark.read.schema(PLAN).parquet(f"{plan}/round={number}")
         state, last = stored(_after(left, gaps, placed).coalesce(1), "state"), state
         dropped(last)
