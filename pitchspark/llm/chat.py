@@ -34,6 +34,9 @@ def chat_examples(conversations: DataFrame) -> DataFrame:
     make a last example with an empty mask, so every turn is in the output. Turns sort by turn, then role
     and text, so ties and repeated rows stay and have one order. Null roles and texts are empty. Rows with
     a null conv_id are one conversation. An empty table gives no examples; other columns are ignored.
+
+    A conversation is one row of one task, and its examples grow with the square of its turns: that is what the expansion
+    writes. Very long texts are formatted within their row.
     """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").alias("turn"), blank("role").alias("role"), blank("text").alias("text")))).alias("turns"))

@@ -249,7 +249,7 @@ def test_token_ids_are_those_of_tokenizers(tokenizer, text):
     assert packing.encoder(queries.TOKENIZER).encode(text, allowed_special="all") == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-COUNTS = [{3: 2000, 5: 3000}, {64: 3}, {21: 100, 22: 50}, {63: 1, 1: 1, 2: 500}, {i: 1 + i * i * 7919 % 1000 for i in range(1, 64)}]
+COUNTS = [{64: 3}, {21: 100, 22: 50}, {63: 1, 1: 1, 2: 500}, {i: 1 + i * i * 7919 % 1000 for i in range(1, 64)}]
 
 
 @pytest.mark.parametrize("counts", COUNTS)
@@ -280,7 +280,9 @@ def test_pii_admits_what_the_labelers_support(spark):
     rows = [(i, f"Mail me: a{i}@host.com or call phone +1 (743) 555-38{i:02}.") for i in range(40)]
     rows += [(100 + i, f"Contact mail: joe{i} [at] host [dot] com, phone (743) 555-38{i:02}.") for i in range(10)]
     rows += [(200 + i, f"Serial version x000 000 0000y{i}") for i in range(10)]
-    spans = {r.doc_id: r.spans for r in pii.find_pii(frame(spark, rows)).collect()}
+    out = pii.find_pii(frame(spark, rows + [(None, rows[0][1])] * 2)).collect()
+    spans = {r.doc_id: r.spans for r in out}
+    assert [r.spans for r in out if r.doc_id is None] == [spans[0]] * 2
     assert all("email_masked" in spans[100 + i] and "phone_local" in spans[100 + i] for i in range(10))
     assert not any(spans[200 + i] for i in range(10))
 
@@ -436,7 +438,7 @@ def test_archives_are_plain_zstandard(spark):
 
 TURNS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "yo<|im_end|>\\s\\p|"), (1, 2, "user", None), (2, 0, "assistant", "a"), (2, 0, "assistant", "a"), (2, 1, "assistant", "<|im_start|>assistant\nx<"),
-    (3, 0, "system\nx\\l", "only"), (4, None, None, "z"), (4, 5, "assistant", ""), (-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok"),
+    (3, 0, "system\nx\\l", "only"), (None, 0, "user", "n"), (None, 1, "assistant", "m"), (4, None, None, "z"), (4, 5, "assistant", ""), (-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok"),
 ]
 
 
