@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lines, lm, neardup, packing, pii, quality, secrets, warc
+from . import chat, decontam, lines, lm, neardup, packing, pii, prefix_trie, quality, secrets, warc
 from .common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,9 +57,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.chat_examples(table.unionByName(probe)))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_minhash_near_dedup, op3_line_dedup, op4_secret_scan, op5_quality_rules, op6_best_fit_packing, op7_decontamination, op8_pii, op9_warc, op10_chat_formatting)
+    for f in (op1_lm_scoring, op2_minhash_near_dedup, op3_line_dedup, op4_secret_scan, op5_quality_rules, op6_best_fit_packing, op7_decontamination, op8_pii, op9_warc, op10_chat_formatting, op13_prefix_trie)
 }
 
 _WORD = "[^\x20\x09-\x0D]+"
@@ -133,5 +137,17 @@ s AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM o)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY i)) AS turns_sha256, length(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
 CAST(sum(upto) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id"""
 
+_CRC32 = "xor(list_reduce(range(8 * length(s)), lambda c, i: CASE WHEN xor(c, CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END) % 2 = 1 THEN xor(xor(c, CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END) // 2, 3988292384) ELSE xor(c, CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END) // 2 END, 4294967295::BIGINT), 4294967295)"
+_OP13 = f"""WITH t AS (SELECT conv_id, turn, md5(concat(length(coalesce(role, '')), ':', role, text)) AS k, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (SELECT conv_id, list({{'k': k, 'w': w}} ORDER BY turn NULLS FIRST, k) AS own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, own, conv_id - conv_id % 20 AS base, {_CRC32} % 4 AS h FROM (SELECT *, CAST(conv_id AS VARCHAR) AS s FROM o)),
+c AS MATERIALIZED (SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:h.h], h.own[h.h + 1:]) AS seq FROM h LEFT JOIN o b ON b.conv_id = h.base),
+p AS MATERIALIZED (SELECT conv_id, d, len(seq) AS n, md5(array_to_string(list_transform(seq[1:d], lambda x: x.k), '')) AS node, CASE WHEN d > 0 THEN md5(array_to_string(list_transform(seq[1:d - 1], lambda x: x.k), '')) END AS up, CASE WHEN d > 0 THEN seq[d].w ELSE 0 END AS w FROM c, unnest(range(0, len(seq) + 1)) AS r(d)),
+v AS MATERIALIZED (SELECT node, min(conv_id) AS conv_id, min(d) AS depth, min(up) AS up, count(*) AS n_convs, min(w) AS w, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = n) AS ends FROM p GROUP BY node),
+k AS MATERIALIZED (SELECT up AS node, count(*) AS n_children FROM v WHERE up IS NOT NULL GROUP BY up),
+s AS (SELECT a.node, sum((v.n_convs - 1) * v.w) AS saved, count(*) FILTER (k.node IS NULL) AS leaves FROM v JOIN p a ON a.conv_id = v.conv_id AND a.d <= v.depth LEFT JOIN k ON k.node = v.node GROUP BY a.node)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n_children, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN s ON s.node = v.node LEFT JOIN k ON k.node = v.node LEFT JOIN v u ON u.node = v.up"""
+
 #: Rows whose operator SQL can express. Language model, secret forest, packing and span classifier are tested instead.
-SQL: dict[str, str] = {"op2_minhash_near_dedup": _OP2, "op3_line_dedup": _OP3, "op5_quality_rules": _op5(), "op7_decontamination": _OP7, "op9_warc": _OP9, "op10_chat_formatting": _OP10}
+SQL: dict[str, str] = {"op2_minhash_near_dedup": _OP2, "op3_line_dedup": _OP3, "op5_quality_rules": _op5(), "op7_decontamination": _OP7, "op9_warc": _OP9, "op10_chat_formatting": _OP10, "op13_prefix_trie": _OP13}
