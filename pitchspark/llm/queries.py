@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lines, lm, neardup, packing, pii, prefix_trie, quality, secrets, warc
+from . import chat, decontam, lines, lm, neardup, packing, periodic, pii, prefix_trie, quality, secrets, warc
 from .common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,13 +57,17 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.chat_examples(table.unionByName(probe)))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(read(spark, sf_dir, "documents"), planted=True, outputs=False)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_minhash_near_dedup, op3_line_dedup, op4_secret_scan, op5_quality_rules, op6_best_fit_packing, op7_decontamination, op8_pii, op9_warc, op10_chat_formatting, op13_prefix_trie)
+    for f in (op1_lm_scoring, op2_minhash_near_dedup, op3_line_dedup, op4_secret_scan, op5_quality_rules, op6_best_fit_packing, op7_decontamination, op8_pii, op9_warc, op10_chat_formatting, op11_periodic_runs, op13_prefix_trie)
 }
 
 _WORD = "[^\x20\x09-\x0D]+"
@@ -149,5 +153,5 @@ s AS (SELECT a.node, sum((v.n_convs - 1) * v.w) AS saved, count(*) FILTER (k.nod
 SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n_children, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
 FROM v JOIN s ON s.node = v.node LEFT JOIN k ON k.node = v.node LEFT JOIN v u ON u.node = v.up"""
 
-#: Rows whose operator SQL can express. Language model, secret forest, packing and span classifier are tested instead.
+#: Rows whose operator SQL can express. Language model, secret forest, packing, span classifier, runs and graph search are tested instead.
 SQL: dict[str, str] = {"op2_minhash_near_dedup": _OP2, "op3_line_dedup": _OP3, "op5_quality_rules": _op5(), "op7_decontamination": _OP7, "op9_warc": _OP9, "op10_chat_formatting": _OP10, "op13_prefix_trie": _OP13}
