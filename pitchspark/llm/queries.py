@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lines, lm, neardup, packing, periodic, pii, prefix_trie, quality, secrets, warc
+from . import chat, decontam, graph_search, lines, lm, neardup, packing, periodic, pii, prefix_trie, quality, secrets, warc
 from .common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,13 +61,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(read(spark, sf_dir, "documents"), planted=True, outputs=False)
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_minhash_near_dedup, op3_line_dedup, op4_secret_scan, op5_quality_rules, op6_best_fit_packing, op7_decontamination, op8_pii, op9_warc, op10_chat_formatting, op11_periodic_runs, op13_prefix_trie)
+    for f in (op1_lm_scoring, op2_minhash_near_dedup, op3_line_dedup, op4_secret_scan, op5_quality_rules, op6_best_fit_packing, op7_decontamination, op8_pii, op9_warc, op10_chat_formatting, op11_periodic_runs, op12_nearest_neighbours, op13_prefix_trie)
 }
 
 _WORD = "[^\x20\x09-\x0D]+"
