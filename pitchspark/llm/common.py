@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import dropped, scratch_dir, stored
@@ -29,20 +31,29 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-#: What tells rows apart, whose doc_id may be null or repeated: the id and a hash of the text. Rows that agree in both are alike.
-ROW = ["_doc", "_text"]
+#: What tells rows apart, whose doc_id may be null or repeated: the id and 128 bits of the text. Rows that agree in all are alike.
+ROW = ["_doc", "_text", "_more"]
+
+
+def row_key() -> list[Column]:
+    """The columns of ``ROW`` for a select on documents; whatever else these hold is not in their way."""
+    return [F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"), F.xxhash64(F.lit(1), "text").alias("_more")]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns of ``ROW``."""
-    return docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")})
+    """The columns of ``ROW``, and ``_row``: the whole row of ``docs``, whose columns may have any names."""
+    return docs.select(*row_key(), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"))
 
 
 def on_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Joins by ``ROW``, null ids included; the columns of ``ROW`` are those of ``left``."""
     right = right.withColumnsRenamed({c: f"_r{c}" for c in ROW})
-    same = F.col("_doc").eqNullSafe(F.col("_r_doc")) & F.col("_text").eqNullSafe(F.col("_r_text"))
-    return left.join(right, same, how).drop("_r_doc", "_r_text")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in ROW])
+    return left.join(right, same, how).drop(*[f"_r{c}" for c in ROW])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

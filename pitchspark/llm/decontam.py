@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, ROW, count_words, gram_hashes, keyed, on_row, slices, small, stored, word_hashes
+from .common import ALNUM, ROW, count_words, gram_hashes, keyed, on_row, row_key, slices, small, stored, word_hashes
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -73,18 +73,18 @@ def _spans(df: DataFrame, window: int, k: int, shorter: list[int] | None) -> Dat
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
-    """_doc, _text, n_words of every row."""
+    """The row's key and n_words of every row."""
 
     def run(batches):
         for batch in (s for b in batches for s in slices(b)):
             n_words = pa.array(count_words(batch.column("text").to_pylist(), ALNUM))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ROW), n_words], [*ROW, "n_words"])
 
-    return rows.mapInArrow(run, "_doc long, _text long, n_words long")
+    return rows.mapInArrow(run, "_doc long, _text long, _more long, n_words long")
 
 
 def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(_doc, _text, start, len, span) of every occurrence of an item's window, and (item_id, len, span) of the items.
+    """(row's key, start, len, span) of every occurrence of an item's window, and (item_id, len, span) of the items.
 
     Winnowing keeps the smallest hash of ``k`` words in each window of ``window`` words, so any shared span of
     ``window`` words shares a fingerprint. Items of fewer words are looked up whole.
@@ -93,7 +93,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = 10, k: i
     shorter = sorted(r.len for r in bench.where(F.col("len") < window).select("len").distinct().collect())
     # fingerprints are 12 bytes each: broadcast where their number allows, else the join shuffles
     prints = small(stored(bench.select("len", "print").distinct(), "prints"))
-    rows = _spans(keyed(docs).select(*ROW, "text"), window, k, shorter)
+    rows = _spans(docs.select(*row_key(), "text"), window, k, shorter)
     near = rows.join(prints, ["len", "print"], "left_semi").select(*ROW, "len", "start", F.posexplode("spans").alias("at", "span"))
     known = bench.select(F.col("id").alias("item_id"), "len", F.explode("spans").alias("span")).distinct()
     known = stored(known, "windows")
@@ -118,7 +118,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     covered = ends.withColumn("fresh", fresh).groupBy(*ROW).agg(F.sum("fresh").alias("n_hit"))
     found = hits.select(*ROW, "len", "span").distinct().join(known, ["len", "span"]).select(*ROW, "item_id").distinct()
     found = found.groupBy(*ROW).agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("item_id").cast("string"))), ",").alias("items"))
-    out = on_row(on_row(_word_counts(keyed(docs).select(*ROW, "text")), covered, "left"), found, "left")
+    out = on_row(on_row(_word_counts(docs.select(*row_key(), "text")), covered, "left"), found, "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         F.col("_doc").alias("doc_id"),
@@ -133,4 +133,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """Rows of ``docs`` without those that hold a benchmark window; columns are unchanged. Odd rows: as in ``decontaminate``."""
     hits, _ = contaminated_spans(docs, items, window, k)
-    return on_row(keyed(docs), small(stored(hits.select(*ROW).distinct(), "leaks")), "left_anti").select(docs.columns)
+    return on_row(keyed(docs), small(stored(hits.select(*ROW).distinct(), "leaks")), "left_anti").select("_row.*")

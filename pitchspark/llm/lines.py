@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ROW, keyed, on_row, small, stored
+from .common import BROADCAST_ROWS, ROW, keyed, on_row, quoted, row_key, small, stored
 
 #: A line of at least so many words on at least so many distinct sites is boilerplate.
 MIN_SITES, MIN_WORDS = 8, 1
@@ -15,16 +15,16 @@ _SPACE = r"\x20\x09-\x0D"
 
 
 def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_doc, _text, site, lines: of each row its 128-bit line hashes (h, g) in order, null under ``min_words`` words."""
+    """The row's key, site, lines: of each row its 128-bit line hashes (h, g) in order, null under ``min_words`` words."""
     # anchored and possessive: linear in the longest of lines
     worded = f"^[{_SPACE}]*+" + f"[^{_SPACE}]++[{_SPACE}]++" * (min_words - 1) + f"[^{_SPACE}]"
     hashed = lambda x: F.when(x.rlike(worded), F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g")))
     lines = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), hashed)
-    return keyed(docs).select(*ROW, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), lines.alias("lines"))
+    return docs.select(*row_key(), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), lines.alias("lines"))
 
 
 def boilerplate_lines(hashed: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """h, g, first (_doc, _text, at): lines on ``min_sites`` distinct sites, and where each first occurs."""
+    """h, g, first (row's key, at): lines on ``min_sites`` distinct sites, and where each first occurs."""
     lines = hashed.select(*ROW, "site", F.posexplode("lines").alias("at", "x")).where("x is not null").select(*ROW, "site", "at", "x.h", "x.g")
     spread = lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"), F.min(F.struct(*ROW, "at")).alias("first"), F.count("*").alias("n"))
     error = BAND * 1.04 / (1 << LOG_K) ** 0.5
@@ -56,20 +56,23 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN
     gone = stored(gone.groupBy(*ROW).agg(F.collect_set("at").alias("_gone")), "places")
     if gone.agg(F.coalesce(F.sum(F.size("_gone") + 5), F.lit(0))).first()[0] <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    lines = F.split("text", "\n")
+    old = F.col("_row.text")
+    lines = F.split(old, "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
     left = F.element_at(F.transform(F.array(lines), lambda own: F.transform(places, lambda i: F.get(own, i))), 1)
     out = on_row(keyed(docs), gone, "left")
     n_lines = F.coalesce(F.size(lines), F.lit(1)).cast("long")
-    n_removed = F.when(F.col("text").isNull() | F.col("_gone").isNull(), 0).otherwise(F.size(lines) - F.size(places)).cast("long")
-    text = F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))
-    out = out.withColumns({"n_lines": n_lines, "n_removed": n_removed, "text": text})
+    n_removed = F.when(old.isNull() | F.col("_gone").isNull(), 0).otherwise(F.size(lines) - F.size(places)).cast("long")
+    text = F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")).otherwise(old)
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        n_chars = F.when(F.col("_gone").isNotNull(), F.length("text")).otherwise(F.col("_row.n_chars"))
+        changed["n_chars"] = n_chars.cast(docs.schema["n_chars"].dataType)
     extra = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*extra, "n_lines", "n_removed")
+    out = out.select("_row", "_gone", text.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    return out.select(*[changed.get(c, F.col(f"_row.{quoted(c)}")).alias(c) for c in extra], "n_lines", "n_removed")
 
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
     """Rows and columns of ``docs``, texts less the lines that spread over many sites. Odd rows: as in ``line_dedup``."""
-    return line_dedup(docs).select(docs.columns)
+    return line_dedup(docs).select(*map(quoted, docs.columns))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, ROW, dropped, keyed, mix, on_row, shingle_set, slices, small, stored, word_hashes
+from .common import NOT_SPACE, ROW, dropped, keyed, mix, on_row, row_key, shingle_set, slices, small, stored, word_hashes
 
 ROUNDS, BUCKETS, MANTISSA = 16, 16, 10
 ROWS = 6
@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 [*ROW, "n_shingles", "set_key", "sig"],
             )
 
-    return keyed(docs).select(*ROW, "text").mapInArrow(run, "_doc long, _text long, n_shingles long, set_key string, sig array<short>")
+    return docs.select(*row_key(), "text").mapInArrow(run, "_doc long, _text long, _more long, n_shingles long, set_key string, sig array<short>")
 
 
 def _shingles(ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -75,7 +75,7 @@ def _shingles(ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("id"), _lists([s.view(np.int64) for s in sets], pa.int64())], ["id", "shingles"])
 
     wanted = stored(reps.select("id", *ROW).join(small(ids), "id", "left_semi"), "wanted")
-    return on_row(keyed(docs).select(*ROW, "text"), small(wanted), "inner").select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return on_row(docs.select(*row_key(), "text"), small(wanted), "inner").select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,4 +223,4 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if not twice.isEmpty():
         once = on_row(left, small(twice), "left_semi").dropDuplicates(ROW)
         left = on_row(left, small(twice), "left_anti").unionByName(once)
-    return left.select(docs.columns)
+    return left.select("_row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, keyed, on_row, small, stored
+from .common import ROW, keyed, on_row, row_key, small, stored
 from .spans import let as _let
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -50,11 +50,11 @@ def measures(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     bare = lambda chars: F.length(F.translate(text, chars, ""))
-    return keyed(docs).select(
+    return docs.select(
         "doc_id",
         "lang",
         "source",
-        *ROW,
+        *row_key(),
         _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("r"))).alias("w"),
         bare(" \t\n\x0b\x0c\r").cast("long").alias("word_chars"),
         (F.length(text) - bare(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -143,4 +143,4 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that the rules keep; columns are unchanged. Each row stands for itself, with a null or repeated doc_id too."""
     bad = judged(docs).where("not kept").select(*ROW).distinct()
-    return on_row(keyed(docs), small(stored(bad, "rejected")), "left_anti").select(docs.columns)
+    return on_row(keyed(docs), small(stored(bad, "rejected")), "left_anti").select("_row.*")

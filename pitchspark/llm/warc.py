@@ -12,7 +12,7 @@ import uuid
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -69,6 +69,12 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that the session's Hadoop settings give it: a path without one is not always a local one."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
+
+
 def revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, refers_to of every row; of equal payloads of ``MIN_REVISIT`` bytes the largest page_id is referred to.
 
@@ -97,7 +103,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
     A task writes under names of its own and only archives in the returned table count, so a task that runs
     again leaves at most files that nobody reads. Memory: the sample, then one record at a time.
     """
-    folder = folder or f"{scratch_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = qualified(pages.sparkSession, folder or f"{scratch_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
 
     def run(batches):
         fs, root = _open(folder)
