@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -22,15 +23,58 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def fuzzy_best(pairs: DataFrame, by: list[str], a: str, b: str, candidate: str, accept: float = 0.0) -> DataFrame:
-    """by, best_id, best_score: the most similar candidate of each row, the lowest id of equals.
+#: Letters with a bit of their own; all others share one. Counts of a letter up to ``LEVELS`` are told apart.
+LETTERS, LEVELS = "abcdefghijklmnopqrstuvwxyz0123456789 ", 4
 
-    Candidates share a block with their row. Those whose lengths alone rule ``accept`` out are never compared.
+
+def letter_bits(c: Column | str) -> Column:
+    """n, rest, b1, b2, ...: length of a text, and bit i of b_k says whether letter i occurs k times; ``rest`` counts what occurs more often."""
+    text = F.col(c) if isinstance(c, str) else c
+    place = lambda x: F.when(F.instr(F.lit(LETTERS), x) > 0, F.instr(F.lit(LETTERS), x) - 1).otherwise(len(LETTERS))
+    codes = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), place)
+    every = F.sequence(F.lit(0), F.lit(len(LETTERS)))
+    counts = F.transform(F.array(codes), lambda own: F.transform(every, lambda i: F.size(F.filter(own, lambda x: x == i))))
+    level = lambda n, k: F.aggregate(F.transform(n, lambda x, i: F.when(x >= k, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    rest = lambda n: F.aggregate(n, F.lit(0), lambda s, x: s + F.greatest(x - LEVELS, F.lit(0)))
+    bits = F.transform(counts, lambda n: F.struct(F.length(text).alias("n"), rest(n).alias("rest"), *[level(n, k).alias(f"b{k}") for k in range(1, LEVELS + 1)]))
+    return F.get(bits, 0)
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What the ratio of two texts cannot exceed, from their ``letter_bits``: as many letters as both have match at most."""
+    shared = F.least(a["rest"], b["rest"])
+    for k in range(1, LEVELS + 1):
+        shared = shared + F.bit_count(a[f"b{k}"].bitwiseAND(b[f"b{k}"]))
+    return 2.0 * shared / (a["n"] + b["n"])
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], a: str, b: str, accept: float, where: Column | str | None = None) -> DataFrame:
+    """Pairs of ``left`` and ``right`` that share ``on`` and whose letters allow a ratio of ``accept``.
+
+    Letters are counted once a name; a pair is a few operations on longs inside the join, which hands on no other pair.
+    """
+    near = (F.col("_a.n") + F.col("_b.n") > 0) & (ratio_bound(F.col("_a"), F.col("_b")) >= accept)
+    met = left.withColumn("_a", letter_bits(a)).join(right.withColumn("_b", letter_bits(b)), list(on))
+    return (met if where is None else met.where(where)).where(near).drop("_a", "_b")
+
+
+def fuzzy_best(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[str], a: str, b: str, candidate: str, accept: float = FUZZY_ACCEPT, where: Column | str | None = None) -> DataFrame:
+    """by, best_id, best_score: the most similar candidate of each row of ``left`` that reaches ``accept``, the lowest id of equals.
+
+    ``left`` has text ``a``, ``right`` text ``b`` and ``candidate``; both share the block ``on``. Only what ``fuzzy_pairs``
+    lets through is compared letter by letter; with ``accept`` 0 that is the whole block.
     """
-    n, m = F.length(a), F.length(b)
-    near = pairs.where((F.greatest(n, m) > 0) & (2 * F.least(n, m) / (n + m) >= accept))
-    scored = near.withColumn("score", fuzzy_ratio(F.col(a), F.col(b)))
-    return scored.groupBy(*by).agg(F.max_by(F.struct(candidate, "score"), F.struct("score", -F.col(candidate))).alias("_best")).select(*by, F.col(f"_best.{candidate}").alias("best_id"), F.col("_best.score").alias("best_score"))
+    scored = fuzzy_pairs(left, right, on, a, b, accept, where).withColumn("score", fuzzy_ratio(F.col(a), F.col(b))).where(F.col("score") >= accept)
+    best = F.max_by(F.struct(candidate, "score"), F.struct("score", -F.col(candidate))).alias("_best")
+    return scored.groupBy(*by).agg(best).select(*by, F.col(f"_best.{candidate}").alias("best_id"), F.col("_best.score").alias("best_score"))
+
+
+def word_pairs(inner: DataFrame, outer: DataFrame, on: Sequence[str], a: str, b: str) -> DataFrame:
+    """Pairs that share ``on`` where the words of ``a`` are all among those of ``b``: met by the longest word of ``a``."""
+    words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    longest = F.array_max(F.transform(words(a), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    met = inner.where(F.size(words(a)) > 0).withColumn("_word", longest).join(outer.withColumn("_word", F.explode(F.array_distinct(words(b)))), [*on, "_word"])
+    return met.where(subset(words(a), words(b))).drop("_word")
 
 
 def only(df: DataFrame, keys: list[str], c: str, out: str) -> DataFrame:
@@ -38,12 +82,12 @@ def only(df: DataFrame, keys: list[str], c: str, out: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(c).alias(out), F.max(c).alias("_last")).where(F.col(out) == F.col("_last")).drop("_last")
 
 
-def match_clubs(names: DataFrame, clubs: DataFrame, manual: DataFrame, accept: float = FUZZY_ACCEPT, scores: bool = True) -> DataFrame:
+def match_clubs(names: DataFrame, clubs: DataFrame, manual: DataFrame, accept: float = FUZZY_ACCEPT, scores: bool = False) -> DataFrame:
     """league_id, team, club_id, tier, score, ambiguous for each distinct (league_id, team).
 
     Tiers: manual (source_key 'league|name'), exact key, single candidate whose words contain the name's, fuzzy,
-    unmatched with the best score. Keys of several clubs of a league are no candidates. Without ``scores`` pairs whose
-    lengths rule ``accept`` out are not compared, and what stays unmatched may show a lower score.
+    unmatched. Keys of several clubs of a league are no candidates. With ``scores`` all pairs of a league are compared, so
+    that what stays unmatched shows how near it came; without, only pairs whose letters allow ``accept``, and it shows 0.
     """
     rows = names.select("league_id", "team").distinct().withColumns({"key": club_key("team"), "source_key": F.concat_ws("|", F.col("league_id").cast("string"), normalize_name("team"))})
     keyed = clubs.where("league_id is not null").select("league_id", club_key("name").alias("key"), "id")
@@ -51,11 +95,11 @@ def match_clubs(names: DataFrame, clubs: DataFrame, manual: DataFrame, accept: f
     several = keyed.groupBy("league_id", "key").agg(F.count_distinct("id").alias("n")).where("n > 1").select("league_id", "key", F.lit(True).alias("ambiguous"))
     by_hand = manual.select("source_key", F.col("target_id").alias("manual_id"))
     rows = rows.join(by_hand, "source_key", "left").join(single, ["league_id", "key"], "left").join(several, ["league_id", "key"], "left")
-    left = rows.where("manual_id is null and exact_id is null")
-    block = left.select("league_id", "team", "key").join(single.select("league_id", F.col("key").alias("other"), F.col("exact_id").alias("id")), "league_id")
-    words = lambda c: F.split(c, " ")
-    inside = block.where((F.col("key") != "") & subset(words("key"), words("other"))).groupBy("league_id", "team").agg(F.min("id").alias("token_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-    best = fuzzy_best(block.join(inside, ["league_id", "team"], "left_anti"), ["league_id", "team"], "key", "other", "id", 0.0 if scores else accept)
+    left = rows.where("manual_id is null and exact_id is null").select("league_id", "team", "key")
+    others = single.select("league_id", F.col("key").alias("other"), F.col("exact_id").alias("id"))
+    inside = word_pairs(left, others, ["league_id"], "key", "other").groupBy("league_id", "team").agg(F.min("id").alias("token_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+    open_rows = left.join(inside, ["league_id", "team"], "left_anti")
+    best = fuzzy_best(open_rows, others, ["league_id"], ["league_id", "team"], "key", "other", "id", 0.0 if scores else accept)
     rows = rows.join(inside, ["league_id", "team"], "left").join(best, ["league_id", "team"], "left")
     good = F.col("best_score") >= accept
     tier = F.when(F.col("manual_id").isNotNull(), "manual").when(F.col("exact_id").isNotNull(), "exact").when(F.col("token_id").isNotNull(), "token").when(good, "fuzzy").otherwise("unmatched")
@@ -63,7 +107,7 @@ def match_clubs(names: DataFrame, clubs: DataFrame, manual: DataFrame, accept: f
     return rows.select("league_id", "team", club.alias("club_id"), tier.alias("tier"), F.coalesce("best_score", F.lit(0.0)).alias("score"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
-def match_players(names: DataFrame, players: DataFrame, manual: DataFrame, accept: float = FUZZY_ACCEPT, scores: bool = True) -> DataFrame:
+def match_players(names: DataFrame, players: DataFrame, manual: DataFrame, accept: float = FUZZY_ACCEPT, scores: bool = False) -> DataFrame:
     """player, born, club_id, source_key, player_id, tier, score for each distinct (player, born, club_id, source_key).
 
     ``source_key`` may be null: then the normalised name is the key of manual mappings. Tiers: manual; the only
@@ -93,10 +137,13 @@ def match_players(names: DataFrame, players: DataFrame, manual: DataFrame, accep
         tiers.append((out, tier))
     left = rows.where(F.coalesce(*[F.col(c) for c, _ in tiers]).isNull()).select("row", "key", "club_id", F.col("born").alias("year"))
     squad = known.where("club_id is not null").groupBy("club_id", "key").agg(F.min_by(F.struct("id", "born"), "id").alias("p")).select("club_id", F.col("key").alias("other"), "p.id", "p.born")
-    block = left.join(squad, "club_id").where("year is null or born is null or year = born")
-    words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
-    inside = block.where(subset(words("key"), words("other")) | subset(words("other"), words("key"))).groupBy("row").agg(F.min("id").alias("inside_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-    best = fuzzy_best(block.join(inside, "row", "left_anti"), ["row"], "key", "other", "id", 0.0 if scores else accept)
+    same_year = F.expr("year is null or born is null or year = born")
+    met = word_pairs(left, squad, ["club_id"], "key", "other").unionByName(word_pairs(squad, left, ["club_id"], "other", "key"))
+    # a name without words is inside every other: a club has one such squad-mate at most, and few rows are so called
+    for a, b in ((left.where("key = ''"), squad), (left, squad.where("other = ''"))):
+        met = met.unionByName(a.join(b, "club_id"))
+    inside = met.where(same_year).select("row", "id").distinct().groupBy("row").agg(F.min("id").alias("inside_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+    best = fuzzy_best(left.join(inside, "row", "left_anti"), squad, ["club_id"], ["row"], "key", "other", "id", 0.0 if scores else accept, same_year)
     rows = rows.join(inside, "row", "left").join(best, "row", "left")
     tiers.append(("inside_id", "token"))
     good = F.col("best_score") >= accept

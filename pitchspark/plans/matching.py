@@ -66,13 +66,18 @@ def match_report(s, d):
     return resolve.match_report(matched_clubs(s, d))
 
 
-# a name with one letter too many is nearest to the name itself: 2 * n of 2 * n + 1 letters agree
-@query("fuzzy_best", f"""WITH c AS (SELECT league_id, {key_sql(norm_sql('name'))} AS key, min(id) AS id FROM ({both(CLUBS)}) GROUP BY 1, 2)
-    SELECT league_id, 'x' || key AS key, id AS best_id, 2.0::DOUBLE * length(key) / (2 * length(key) + 1) AS best_score FROM c""")
+# a name behind letters of its own is nearest to the name itself: 2 * n of 2 * n + m letters agree. Of m = 1, the most that
+# reach the bound and one more, the last is just under it.
+@query("fuzzy_best", f"""WITH c AS (SELECT league_id, {key_sql(norm_sql('name'))} AS key, min(id) AS id FROM ({both(CLUBS)}) GROUP BY 1, 2),
+    m AS (SELECT *, unnest([1, CAST(floor(length(key) * 3 / 11) AS INT), CAST(floor(length(key) * 3 / 11) AS INT) + 1]) AS m FROM c),
+    r AS (SELECT DISTINCT league_id, repeat('=', m) || key AS key, id AS best_id, 2.0::DOUBLE * length(key) / (2 * length(key) + m) AS best_score FROM m)
+    SELECT * FROM r WHERE best_score >= 0.88""")
 def fuzzy_best(s, d):
     clubs = run(s, d, CLUBS).select("league_id", "id", club_key("name").alias("other"))
-    names = clubs.select("league_id", F.concat(F.lit("x"), "other").alias("key")).distinct()
-    return resolve.fuzzy_best(names.join(clubs, "league_id"), ["league_id", "key"], "key", "other", "id", 0.5)
+    most = F.floor(F.length("other") * 3 / 11).cast("int")
+    names = clubs.select("league_id", F.explode(F.array(F.lit(1), most, most + 1)).alias("m"), "other")
+    names = names.select("league_id", F.concat(F.expr("repeat('=', m)"), "other").alias("key")).distinct()
+    return resolve.fuzzy_best(names, clubs, ["league_id"], ["league_id", "key"], "key", "other", "id", 0.88)
 
 
 _TEAM = "CASE WHEN s_suppkey % 2 = 0 THEN 'FC ' ELSE 'Royal ' END || name || CASE WHEN s_suppkey % 8 = 3 THEN ' U19' ELSE '' END"

@@ -1,4 +1,5 @@
 import datetime
+import random
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -28,25 +29,63 @@ def test_club_tiers(spark):
 
 
 def test_fuzzy_is_the_difflib_ratio(spark):
-    pairs = [("borussia", "borusia", 3), ("borussia", "borussya", 1), ("borussia", "borusia", 2), ("a", "", 4)]
-    got = resolve.fuzzy_best(spark.createDataFrame(pairs, "a string, b string, id int"), ["a"], "a", "b", "id").collect()
-    best = max(SequenceMatcher(None, a, b).ratio() for a, b, _ in pairs)
+    left = spark.createDataFrame([(1, "borussia"), (2, "a"), (3, "")], "block int, a string")
+    right = spark.createDataFrame([(1, "borusia", 3), (1, "borussya", 1), (1, "borusia", 2), (2, "", 4), (3, "", 5)], "block int, b string, id int")
+    got = resolve.fuzzy_best(left, right, ["block"], ["a"], "a", "b", "id", 0.0).collect()
+    best = max(SequenceMatcher(None, "borussia", b).ratio() for b in ("borusia", "borussya"))
     assert {r.a: r.best_id for r in got} == {"borussia": 2, "a": 4} and max(r.best_score for r in got) == best
 
 
+def odd_name(rng, known):
+    """A new name, or a known one with some letters changed, lost, swapped or added."""
+    name = list(rng.choice(known)) if known and rng.random() < 0.5 else [rng.choice("abcdeimnorst é-Z9ß") for _ in range(rng.randrange(0, 26))]
+    for _ in range(rng.randrange(5)):
+        at = rng.randrange(len(name) + 1)
+        name[at : at + rng.randrange(2)] = rng.choice(["", "a", "xx", "é", "aaaaaa", " "])
+    return "".join(name)
+
+
+def test_the_letter_bound_loses_no_match_and_spares_most_pairs(spark):
+    rng, known = random.Random(11), []
+    for _ in range(2000):
+        known.append(odd_name(rng, known))
+    left = spark.createDataFrame([(i % 5, i, n) for i, n in enumerate(known[:1000])], "block int, row int, a string")
+    right = spark.createDataFrame([(i % 5, i, n) for i, n in enumerate(known[1000:])], "block int, id int, b string")
+    for accept in (0.88, 0.6):
+        want, n_close = {}, 0
+        for i, a in enumerate(known[:1000]):
+            for j in range(i % 5, 1000, 5):
+                m = SequenceMatcher(None, a, known[1000 + j])
+                if (a or known[1000 + j]) and m.quick_ratio() >= accept:
+                    n_close += 1
+                    score = m.ratio()
+                    if score >= accept:
+                        want[i] = max(want.get(i, (0, 0)), (score, -j))
+        got = {r.row: (r.best_score, -r.best_id) for r in resolve.fuzzy_best(left, right, ["block"], ["row"], "a", "b", "id", accept).collect()}
+        assert got == want and len(want) > 20
+        compared = resolve.fuzzy_pairs(left, right, ["block"], "a", "b", accept).count()  # what difflib sees
+        assert n_close <= compared <= 2 * n_close and compared < 1000 * 200 * (0.02 if accept > 0.8 else 0.2)
+
+
+def test_words_inside_words(spark):
+    inner = spark.createDataFrame([(1, "b a"), (1, ""), (2, "c"), (1, "a a")], "g int, a string")
+    outer = spark.createDataFrame([(1, "a b c"), (1, "b"), (2, "c d"), (1, "aa b")], "g int, b string")
+    assert rows(resolve.word_pairs(inner, outer, ["g"], "a", "b"), "a", "b") == [("a a", "a b c"), ("b a", "a b c"), ("c", "c d")]
+
+
 def test_player_tiers(spark):
     players = spark.createDataFrame(
         [(1, "Ana Only", DAY(2000, 1, 1), 10), (2, "Twin Name", DAY(1999, 1, 1), 10), (3, "Twin Name", DAY(2001, 1, 1), 11), (4, "Same Same", None, 12), (5, "Same Same", None, 13), (6, "Bert Initialson", DAY(1998, 1, 1), 14), (7, "Carl Surnamed", DAY(1997, 1, 1), 14), (8, "Maria Long Inside Name", DAY(1996, 1, 1), 15), (9, "Fuzzy Spellington", DAY(1995, 1, 1), 16)],
         "id int, full_name string, birth_date date, current_club_id int",
     )
     names = spark.createDataFrame(
-        [("ana ONLY", None, None, None), ("Twin Name", 2001, None, None), ("Same Same", None, 13, None), ("Same Same", None, 99, None), ("B. Initialson", 1998, None, None), ("Z Surnamed", 1997, None, None), ("Inside Name", None, 15, None), ("Inside Name", 1990, 15, None), ("Fuzzy Spelington", None, 16, None), ("By Hand", None, None, "id77")],
+        [("ana ONLY", None, None, None), ("Twin Name", 2001, None, None), ("Same Same", None, 13, None), ("Same Same", None, 99, None), ("B. Initialson", 1998, None, None), ("Z Surnamed", 1997, None, None), ("Inside Name", None, 15, None), ("Inside Name", 1990, 15, None), ("Fuzzy Spelington", None, 16, None), ("!!", None, 16, None), ("!!", None, 14, None), ("By Hand", None, None, "id77")],
         "player string, born int, club_id int, source_key string",
     )
     got = {(r.player, r.born, r.club_id): (r.player_id, r.tier) for r in resolve.match_players(names, players, manual(spark, ("id77", 4))).collect()}
     assert got == {
         ("ana ONLY", None, None): (1, "exact"), ("Twin Name", 2001, None): (3, "exact"), ("Same Same", None, 13): (5, "token"), ("Same Same", None, 99): (None, "unmatched"), ("B. Initialson", 1998, None): (6, "token"), ("Z Surnamed", 1997, None): (7, "token"),
-        ("Inside Name", None, 15): (8, "token"), ("Inside Name", 1990, 15): (None, "unmatched"), ("Fuzzy Spelington", None, 16): (9, "fuzzy"), ("By Hand", None, None): (4, "manual"),
+        ("Inside Name", None, 15): (8, "token"), ("Inside Name", 1990, 15): (None, "unmatched"), ("Fuzzy Spelington", None, 16): (9, "fuzzy"), ("!!", None, 16): (9, "token"), ("!!", None, 14): (None, "unmatched"), ("By Hand", None, None): (4, "manual"),
     }
 
 
@@ -122,7 +161,7 @@ def test_rows_that_differ_in_nulls_keep_their_matches(spark):
     names = spark.createDataFrame([("Bea Twinb", 7, None, None), ("Bea Twinb", None, 7, None)], "player string, born int, club_id int, source_key string")
     got = {(r.born, r.club_id): (r.player_id, r.tier) for r in resolve.match_players(names, players, manual(spark)).collect()}
     assert got == {(7, None): (None, "unmatched"), (None, 7): (2, "fuzzy")}
-    quick = resolve.match_players(names, players, manual(spark), scores=False)
+    quick = resolve.match_players(names, players, manual(spark), scores=True)
     assert {(r.born, r.club_id): (r.player_id, r.tier) for r in quick.collect()} == got
 
 
