@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import (
     COEFFICIENT_FLOOR,
@@ -20,6 +25,7 @@ from ..constants import (
     SHOT_RATIOS,
 )
 from ..functions import resolve_position_group, rounded
+from ..sources.scratch import counted, stored
 
 SEASON_ROW = ("league_id", "club_id", "goals", "assists", "xg", "xa", "key_metrics", "position")
 
@@ -82,25 +88,75 @@ def per90_values(merged: DataFrame, min_minutes: int = MIN_MINUTES) -> DataFrame
     return rows.select("player_id", *PEERS, F.explode(keeper_gate(F.col("rates"), F.col("position_group"))).alias("r")).select("player_id", *PEERS, "r.metric", "r.value")
 
 
-def peer_rank(long: DataFrame, by: tuple[str, ...] = PEERS, negative: tuple[str, ...] = NEGATIVE_METRICS) -> DataFrame:
+def _local_ranks(keys: Sequence[str]):
+    """Adds to the rows of one sorted range how many of their group's rows in it are lower, and how many are equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        new_group = np.zeros(table.num_rows, bool)
+        new_group[0] = True
+        for c in keys:
+            codes = table.column(c).chunk(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new_group[1:] |= codes[1:] != codes[:-1]
+        value = table.column("value").to_numpy()
+        new_value = new_group.copy()
+        new_value[1:] |= value[1:] != value[:-1]
+        groups, values = np.flatnonzero(new_group), np.flatnonzero(new_value)
+        at = np.cumsum(new_value) - 1
+        below = values[at] - groups[np.cumsum(new_group) - 1]
+        equal = np.diff(np.append(values, table.num_rows))[at]
+        yield from table.append_column("below", pa.array(below)).append_column("equal", pa.array(equal)).to_batches(1 << 16)
+
+    return run
+
+
+def _range_facts(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, part, and what the rows of a range need to know of all others, from a row a group and range.
+
+    ``earlier``: rows of the group in ranges before. A value at an end of a range may go on in others: ``low_*`` and
+    ``high_*`` say how many rows of the group are lower and equal.
+    """
+    group = Window.partitionBy(*keys)
+    earlier = F.coalesce(F.sum("n").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("n").over(group)
+    facts = pieces.withColumns({"earlier": earlier, "total": total, "g_low": F.min("low").over(group), "g_high": F.max("high").over(group), "g_mean": F.sum(F.col("n") * F.col("mean")).over(group) / total})
+    spread = F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("g_mean"), F.lit(2))).over(group)
+    facts = facts.withColumn("g_stdev", F.sqrt(spread / F.col("total"))).where("total >= 2")
+    end = lambda v, below, n: F.struct(F.col(v).alias("v"), below.alias("below"), n.alias("n"))
+    low, high = end("low", F.col("earlier"), F.col("n_low")), end("high", F.col("earlier") + F.col("under"), F.col("n") - F.col("under"))
+    ends = facts.select(*keys, F.explode(F.when(F.col("low") == F.col("high"), F.array(low)).otherwise(F.array(low, high))).alias("e"))
+    whole = ends.groupBy(*keys, "e.v").agg(F.min("e.below").alias("below"), F.sum("e.n").alias("equal"))
+    for side in ("low", "high"):
+        facts = facts.join(whole.select(*keys, F.col("v").alias(side), F.col("below").alias(f"{side}_below"), F.col("equal").alias(f"{side}_equal")), [*keys, side])
+    return facts.drop("n", "mean", "m2", "n_low", "under")
+
+
+def peer_rank(long: DataFrame, by: tuple[str, ...] = PEERS, negative: tuple[str, ...] = NEGATIVE_METRICS, parts: int | None = None) -> DataFrame:
     """``long`` with zscore, percentile and sample_size among the holders of the metric in its group.
 
-    Percentiles are midpoint ranks. Metrics that one player holds have none. Values are counted first: ranks
-    come from running sums over distinct values, and no group's rows meet in one task.
+    Percentiles are midpoint ranks. Metrics that one player holds have none. The rows are shuffled and sorted once, in
+    ranges of (group, metric, value, player), so a value that very many have is several ranges. Ranks within a range are
+    counted beside the rows and stored with them; what other ranges add comes from a table of one row a group and range.
+    ``parts``: ranges, by default the shuffle partitions; a task holds one range.
     """
     keys = [*by, "metric"]
-    bins = long.groupBy(*keys, "value").agg(F.count("*").alias("equal"))
-    group = Window.partitionBy(*keys)
-    below = F.coalesce(F.sum("equal").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = bins.withColumns({"below": below, "sample_size": F.sum("equal").over(group), "low": F.min("value").over(group), "high": F.max("value").over(group)})
-    bins = bins.withColumn("mean", F.sum(F.col("value") * F.col("equal")).over(group) / F.col("sample_size"))
-    bins = bins.withColumn("stdev", F.sqrt(F.sum(F.col("equal") * F.pow(F.col("value") - F.col("mean"), F.lit(2))).over(group) / F.col("sample_size"))).where("sample_size >= 2")
+    order = [*keys, "value", *[c for c in long.columns if c not in (*keys, "value")]]
+    ordered = long.repartitionByRange(parts or int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    schema = T.StructType([*long.schema.fields, *[T.StructField(c, kind) for c, kind in (("part", T.IntegerType()), ("below", T.LongType()), ("equal", T.LongType()))]])
+    rows = stored(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_local_ranks(keys), schema), "ranked")
+    n, mean, m2 = F.count("*").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("*")).alias("m2")
+    pieces = rows.groupBy(*keys, "part").agg(n, mean, m2, F.min("value").alias("low"), F.max("value").alias("high"), F.count_if(F.col("below") == 0).alias("n_low"), F.max("below").alias("under"))
+    facts = counted(stored(_range_facts(stored(pieces, "pieces"), keys), "ranges"))
+    found = rows.join(facts, [*keys, "part"], "left")
+    pick = lambda c, inside: F.when(F.col("value") == F.col("low"), F.col(f"low_{c}")).when(F.col("value") == F.col("high"), F.col(f"high_{c}")).otherwise(inside)
     less = F.col("metric").isin(*negative)
-    sign = F.when(less, -1.0).otherwise(1.0)
-    z = F.when(F.col("low") == F.col("high"), 0.0).otherwise(rounded(sign * (F.col("value") - F.col("mean")) / F.col("stdev"), 3))
-    rank = (F.col("below") + F.col("equal") / 2) / F.col("sample_size")
-    ranked = bins.select(*keys, "value", z.alias("zscore"), rounded(F.when(less, 1 - rank).otherwise(rank), 3).alias("percentile"), F.col("sample_size").cast("int").alias("sample_size"))
-    return long.join(ranked, [*keys, "value"], "left")
+    z = F.when(F.col("g_low") == F.col("g_high"), 0.0).otherwise(rounded(F.when(less, -1.0).otherwise(1.0) * (F.col("value") - F.col("g_mean")) / F.col("g_stdev"), 3))
+    rank = (pick("below", F.col("earlier") + F.col("below")) + pick("equal", F.col("equal")) / 2) / F.col("total")
+    ranked = [F.when(F.col("total").isNotNull(), z).alias("zscore"), rounded(F.when(less, 1 - rank).otherwise(rank), 3).alias("percentile"), F.col("total").cast("int").alias("sample_size")]
+    return found.select(*long.columns, *ranked)
 
 
 def role_vector(percentile: Column, group: Column, axes: tuple[str, ...] = ROLE_AXES, min_norm: float = MIN_VECTOR_NORM) -> Column:
@@ -149,11 +205,33 @@ def vectors_of(metrics: DataFrame) -> DataFrame:
     return metrics.where("embedding is not null").select("player_id", *PEERS, "embedding")
 
 
+def medians(df: DataFrame, by: str, value: str) -> DataFrame:
+    """by, n, median of the non-null values of each group, the mean of the two middle ones, exactly.
+
+    Values are first counted in classes (an eighth of a power of two), whose running sums say which class each middle value
+    is in; only the values of those classes are counted one by one, and sorted within their class.
+    """
+    v = F.col(value).cast("double")
+    size = F.floor(F.log2(F.abs(v)) * 8)
+    bucket = F.when(v > 0, size + 10_000).when(v < 0, -(size + 10_000)).otherwise(0).cast("long")
+    counts = df.where(F.col(value).isNotNull()).select(by, v.alias("v"), bucket.alias("bucket")).groupBy(by, "bucket", "v").agg(F.count("*").alias("n"))
+    classes = counts.groupBy(by, "bucket").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(by)
+    upto = F.sum("n").over(group.orderBy("bucket"))
+    classes = classes.withColumns({"total": F.sum("n").over(group), "before": upto - F.col("n")})
+    middle = F.explode(F.array(F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)))
+    wanted = classes.withColumn("at", middle).where("at >= before and at < before + n").groupBy(by, "bucket", "before", "total").agg(F.collect_list("at").alias("ats"))
+    inside = counts.join(wanted, [by, "bucket"])  # one or two classes a group
+    last = F.col("before") + F.sum("n").over(Window.partitionBy(by, "bucket").orderBy("v"))
+    found = inside.withColumn("last", last).withColumn("hits", F.size(F.filter("ats", lambda a: (a < F.col("last")) & (a >= F.col("last") - F.col("n")))))
+    return found.where("hits > 0").groupBy(by).agg(F.max("total").alias("n"), (F.sum(F.col("v") * F.col("hits")) / 2).alias("median"))
+
+
 def league_strength(leagues: DataFrame, clubs: DataFrame, players: DataFrame, min_players: int = MIN_VALUED_PLAYERS, floor: float = COEFFICIENT_FLOOR, source: str = "market-value") -> DataFrame:
     """``leagues`` with strength_coef of those with enough valued players: the median's logarithm, scaled to [floor, 1]. Others keep theirs."""
     of_club = clubs.where("league_id is not null").select(F.col("id").alias("current_club_id"), "league_id")
-    medians = players.where("market_value_eur > 0").join(of_club, "current_club_id").groupBy("league_id").agg(F.count("*").alias("n_valued"), F.percentile("market_value_eur", 0.5).alias("median"))
-    logs = medians.where(F.col("n_valued") >= min_players).select("league_id", "n_valued", F.log10("median").alias("log"))
+    middle = medians(players.where("market_value_eur > 0").join(of_club, "current_club_id"), "league_id", "market_value_eur").withColumnRenamed("n", "n_valued")
+    logs = middle.where(F.col("n_valued") >= min_players).select("league_id", "n_valued", F.log10("median").alias("log"))
     span = logs.agg(F.min("log").alias("low"), F.max("log").alias("high"))
     share = F.when(F.col("high") <= F.col("low"), 1.0).otherwise((F.col("log") - F.col("low")) / (F.col("high") - F.col("low")))
     scaled = logs.crossJoin(F.broadcast(span)).select(F.col("league_id").alias("id"), "n_valued", rounded(floor + (1 - floor) * share, 3).alias("new_coef"))

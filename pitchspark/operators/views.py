@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FORM_MATCHES, FORM_WINDOW, MAX_ARCS, MIN_QUERY, NON_MOVES, PER_KIND
 from ..functions import birth_bounds, fold, normalise_season, per_90, rounded, zone_of
+from ..sources.scratch import counted, stored
 from ..sources.tables import latest_rows, top_rows
 
 
@@ -18,9 +19,14 @@ def _named(clubs: DataFrame, key: str, out: str) -> DataFrame:
 
 
 def match_rows(appearances: DataFrame, matches: DataFrame, clubs: DataFrame, leagues: DataFrame, n: int = FORM_MATCHES) -> DataFrame:
-    """Each player's last ``n`` appearances with club, league, opponent and home flag; ``place`` runs from the oldest."""
-    rows = appearances.join(matches.select(F.col("id").alias("match_id"), "league_id", "home_club_id", "away_club_id"), "match_id")
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("player_id").orderBy(F.desc_nulls_last("played_on"), F.desc("match_id"), "club_id"))).where(F.col("_rank") <= n)
+    """Each player's last ``n`` appearances with club, league, opponent and home flag; ``place`` runs from the oldest.
+
+    Ranks come from the appearances' own columns, so all but the last ``n`` of a player go before anything is looked up; a
+    semi-join leaves out appearances without a match.
+    """
+    known = appearances.join(matches.select(F.col("id").alias("match_id")), "match_id", "left_semi")
+    last = top_rows(known.select("player_id", "match_id", "played_on", "club_id", "minutes", "goals", "assists"), ["player_id"], [F.desc_nulls_last("played_on"), F.desc("match_id"), "club_id"], n, "_rank")
+    rows = last.join(matches.select(F.col("id").alias("match_id"), "league_id", "home_club_id", "away_club_id"), "match_id")
     home = F.coalesce(F.col("home_club_id") == F.col("club_id"), F.lit(False))
     rows = rows.withColumns({"is_home": home, "opponent_id": F.when(home, F.col("away_club_id")).otherwise(F.col("home_club_id"))})
     rows = rows.join(_named(clubs, "club_id", "club_name"), "club_id", "left").join(_named(clubs, "opponent_id", "opponent_name"), "opponent_id", "left").join(_named(leagues, "league_id", "league_name"), "league_id", "left")
@@ -189,27 +195,50 @@ def search(queries: DataFrame, players: DataFrame, clubs: DataFrame, leagues: Da
     """query, kind, rank, id, label, detail: for each query the best ``n`` names of each kind that hold it, accents and case apart.
 
     Names that start with it come first; then players with a club and a high value, clubs by name, leagues by tier and
-    name. A name is met by its runs of three letters (two for shorter queries), counting distinct query texts only, and then checked.
+    name. Each distinct query text is looked up by the rarest of its runs of three letters, the whole text where it has
+    two; a text with a run that no name has finds nothing. A run that very many names have is several parts, dealt by
+    name, so that no run is one task.
     """
     q = queries.select("query", fold(F.trim("query")).alias("needle")).where(F.length("needle") >= MIN_QUERY).distinct()
     club = clubs.select(F.col("id").alias("current_club_id"), F.col("name").alias("club_name"))
     league = leagues.select(F.col("id").alias("league_id"), F.col("name").alias("league_name"))
-    p = players.join(club, "current_club_id", "left").select(F.lit("player").alias("kind"), "id", F.col("full_name").alias("label"), F.nullif(F.concat_ws(" · ", "club_name", "position"), F.lit("")).alias("detail"), F.struct(F.when(F.col("current_club_id").isNull(), 1).otherwise(0).alias("a"), F.coalesce(-F.col("market_value_eur"), F.lit(float("inf"))).alias("b"), F.lit("").alias("c")).alias("order"))
-    c = clubs.join(league, "league_id", "left").select(F.lit("club").alias("kind"), "id", F.col("name").alias("label"), F.col("league_name").alias("detail"), F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("b"), F.col("name").alias("c")).alias("order"))
-    l = leagues.select(F.lit("league").alias("kind"), "id", F.col("name").alias("label"), F.when(F.col("tier") == 1, F.col("country_code")).otherwise(F.concat("country_code", F.lit(" · "), F.col("tier").cast("string"), F.lit(". lig"))).alias("detail"), F.struct(F.col("tier").cast("int").alias("a"), F.lit(0.0).alias("b"), F.col("name").alias("c")).alias("order"))
+    order = lambda a, b, c: F.struct(a.cast("int").alias("a"), b.alias("b"), c.alias("c")).alias("order")
+    value = F.coalesce(-F.col("market_value_eur"), F.lit(float("inf")))
+    at_club, detail = F.nullif(F.concat_ws(" · ", "club_name", "position"), F.lit("")), F.concat("country_code", F.lit(" · "), F.col("tier").cast("string"), F.lit(". lig"))
+    p = players.join(club, "current_club_id", "left").select(F.lit("player").alias("kind"), "id", F.col("full_name").alias("label"), at_club.alias("detail"), order(F.when(F.col("current_club_id").isNull(), 1).otherwise(0), value, F.lit("")))
+    c = clubs.join(league, "league_id", "left").select(F.lit("club").alias("kind"), "id", F.col("name").alias("label"), F.col("league_name").alias("detail"), order(F.lit(0), F.lit(0.0), F.col("name")))
+    l = leagues.select(F.lit("league").alias("kind"), "id", F.col("name").alias("label"), F.when(F.col("tier") == 1, F.col("country_code")).otherwise(detail).alias("detail"), order(F.col("tier"), F.lit(0.0), F.col("name")))
     names = p.unionByName(c).unionByName(l).withColumn("folded", fold("label"))
-    hits = None
-    for size, short in ((3, False), (2, True)):
-        part = q.where(F.length("needle") == 2) if short else q.where(F.length("needle") >= 3)
-        # each query is looked up by its first gram alone: every name that holds the query has it
-        keyed = part.select("query", "needle", F.substring("needle", 1, size).alias("gram"))
-        wanted = keyed.select("gram").distinct()
-        posts = names.select("kind", "id", "order", "folded", F.explode(_grams(F.col("folded"), size)).alias("gram")).join(wanted, "gram", "left_semi")
-        found = posts.join(keyed, "gram").where(F.contains("folded", F.col("needle"))).drop("gram")
-        hits = found if hits is None else hits.unionByName(found)
+    pairs = gram_pairs(q.select("needle").distinct(), names.select("kind", "id", "folded"), ["kind", "id"])
+    hits = pairs.join(names.select("kind", "id", "folded", "order"), ["kind", "id"]).where(F.contains("folded", F.col("needle")))
     first = F.when(F.startswith("folded", F.col("needle")), 0).otherwise(1)
-    best = top_rows(hits, ["query", "kind"], [first, "order", "id"], n, "rank").select("query", "kind", "rank", "id")
-    return best.join(names.select("kind", "id", "label", "detail"), ["kind", "id"]).select("query", "kind", "rank", "id", "label", "detail")
+    best = top_rows(hits, ["needle", "kind"], [first, "order", "id"], n, "rank").select("needle", "kind", "rank", "id")
+    rows = best.join(names.select("kind", "id", "label", "detail"), ["kind", "id"]).join(q, "needle")
+    return rows.select("query", "kind", "rank", "id", "label", "detail")
+
+
+#: Names with one gram that a part takes, about.
+GRAM_PART = 1 << 14
+
+
+def gram_pairs(needles: DataFrame, names: DataFrame, keys: Sequence[str], size: int = 3, part: int = GRAM_PART) -> DataFrame:
+    """needle, keys: each needle with the names that have the rarest of its runs of ``size`` letters. ``names``: keys, folded.
+
+    Only runs that some needle has are kept of the names, without any other column, and counted. Needles shorter than a
+    run are runs of their own length.
+    """
+    wanted = needles.select("needle", F.explode(_grams(F.col("needle"), size)).alias("gram"))
+    runs = F.concat(*[_grams(F.col("folded"), k) for k in range(2, size + 1)])
+    posts = names.select(*keys, F.explode(F.array_distinct(runs)).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    posts = stored(posts, "posts")
+    counts = posts.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "gram", "left").groupBy("needle").agg(F.min_by(F.struct("gram", "n"), F.struct("n", "gram")).alias("g"), F.count_if(F.col("n").isNull()).alias("missing"))
+    chosen = rarest.where("missing = 0").select("needle", "g.gram", F.ceil(F.col("g.n") / part).cast("int").alias("parts"))
+    chosen = stored(chosen, "chosen")
+    parts = counted(stored(chosen.select("gram", "parts").distinct(), "parts"))
+    dealt = posts.join(parts, "gram").select(*keys, "gram", F.pmod(F.xxhash64(*keys), F.col("parts")).cast("int").alias("part"))
+    asked = chosen.select("needle", "gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(asked, ["gram", "part"]).select("needle", *keys)
 
 
 def search_players(

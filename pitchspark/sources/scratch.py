@@ -7,6 +7,7 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @cache
@@ -31,6 +32,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Stored tables of up to so many narrow rows may be broadcast.
+BROADCAST_ROWS = 1 << 20
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """A ``stored`` table, marked for broadcast where its counted size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes the files of ``stored`` tables that nothing reads any more."""
     for df in tables:
