@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import cache
@@ -41,6 +42,12 @@ def counted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark remove the broadcasts and shuffle files of frames that are gone: its cleaner waits for the driver's garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes the files of ``stored`` tables that nothing reads any more."""
     for df in tables:
