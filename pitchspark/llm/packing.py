@@ -12,11 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import released
 from .common import dropped, scratch_dir, slices, stored
 
 END_ID, MAX_TOKENS = 2, 1024
 #: Pieces of one length are ranked in so many parts at least, and in more from this many pieces a part on.
 SALTS, PIECES_A_PART = 64, 1 << 20
+#: Rounds after which the driver lets go of what finished rounds broadcast.
+RELEASE = 4
 #: Width of a range of sizes in a sweep; a gap takes several equal pieces a round up to this share of a sequence.
 BLOCK, SHARE = 64, 8
 
@@ -152,6 +155,8 @@ def best_fit(counts: DataFrame, size: int) -> DataFrame:
         state, last = stored(_after(left, gaps, placed).coalesce(1), "state"), state
         dropped(last)
         number += 1
+        if number % RELEASE == 0:
+            released(spark)
     dropped(state)
     return spark.read.schema(f"{PLAN}, round int").parquet(plan) if number else spark.createDataFrame([], f"{PLAN}, round int")
 
