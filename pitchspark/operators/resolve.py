@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import FUZZY_ACCEPT, NON_MOVES, RECENT_DAYS, SAME_MOVE_DAYS
 from ..functions import club_key, normalize_name, position_group, same_person, season_of_date, surname_key
 from ..functions.text import as_date, club_tokens, is_youth_team, name_words, row_key, same_tokens, same_words, subset
+from ..sources.scratch import stored
 from ..sources.tables import latest_rows
 
 
@@ -164,44 +165,105 @@ def new_id(*keys: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.to_json(F.struct(*keys))), 1)
 
 
-def create_missing(unmatched: DataFrame) -> tuple[DataFrame, DataFrame]:
+ID_BITS = 63
+
+
+def with_ids(rows: DataFrame, keys: Sequence[str], out: str = "id", taken: DataFrame | None = None, bits: int = ID_BITS) -> DataFrame:
+    """``rows`` with an id of their ``keys``: that of ``new_id``, unless other keys, or ``taken`` (id), have it.
+
+    Distinct keys of one id are found by one count. They are ranked by key: the first keeps the id where it isn't taken, the
+    others are numbered anew, with the round in the hash, until none is left. Among 10**9 keys one pair or none is
+    expected, so that a round more is a few rows.
+    """
+    text = F.to_json(F.struct(*keys))
+    number = lambda i: F.shiftrightunsigned(F.xxhash64(*([F.lit(i)] if i else []), "_key"), 64 - bits)
+    keyed = rows.withColumn("_key", text)
+    every = stored(keyed.select("_key").distinct().withColumn("_id", number(0)), "ids")
+    used = every.select("_id").limit(0) if taken is None else taken.select(F.col(taken.columns[0]).alias("_id"))
+
+    def clashing(ids: DataFrame) -> DataFrame:
+        several = ids.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id")
+        return stored(ids.join(several.union(ids.join(used, "_id", "left_semi").select("_id")).distinct(), "_id", "left_semi"), "clashes")
+
+    given, open_ids, i = every, clashing(every), 0
+    while not open_ids.isEmpty():
+        i += 1
+        if i > 64:
+            raise ValueError(f"{bits} bits are too few for the ids")
+        rank = F.row_number().over(Window.partitionBy("_id").orderBy("_key"))  # the rows of a clash
+        ranked = open_ids.withColumn("rank", rank).join(used.select("_id", F.lit(True).alias("gone")).distinct(), "_id", "left")
+        again = ranked.where("rank > 1 or gone").select("_key", number(i).alias("_new"))
+        given = stored(given.join(again, "_key", "left").select("_key", F.coalesce("_new", "_id").alias("_id")), "ids")
+        open_ids = clashing(given)
+    if not i:
+        return keyed.withColumn(out, number(0)).drop("_key")
+    return keyed.join(given, "_key").withColumn(out, F.col("_id")).drop("_key", "_id")
+
+
+def create_missing(unmatched: DataFrame, taken: DataFrame | None = None, bits: int = ID_BITS) -> tuple[DataFrame, DataFrame]:
     """(new thin players, their rows' ids): one player a normalised name and birth year, at however many clubs.
 
     ``unmatched``: player, born, club_id, position. A new player takes name, position and club of the lowest club's row.
+    Ids: ``with_ids``; two players never share one, nor have one that is ``taken``.
     """
-    rows = unmatched.withColumn("name_key", normalize_name("player"))
-    rows = rows.withColumn("id", new_id("name_key", "born"))
+    rows = with_ids(unmatched.withColumn("name_key", normalize_name("player")), ["name_key", "born"], "id", taken, bits)
     first = F.min_by(F.struct("player", "position", "club_id"), F.struct("club_id", "player"))
     new = rows.groupBy("id", F.col("born").alias("birth_year")).agg(first.alias("f")).select("id", F.col("f.player").alias("full_name"), "birth_year", "f.position", F.col("f.club_id").alias("current_club_id"))
     return new, rows.select("player", "born", "club_id", F.col("id").alias("player_id")).distinct()
 
 
-def create_missing_clubs(unmatched: DataFrame) -> DataFrame:
-    """id, name, league_id: one new club a league and team."""
-    return unmatched.where("league_id is not null").select("league_id", F.col("team").alias("name")).distinct().select(new_id("league_id", "name").alias("id"), "name", "league_id")
+def create_missing_clubs(unmatched: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """id, name, league_id: one new club a league and team. Ids: ``with_ids``."""
+    new = unmatched.where("league_id is not null").select("league_id", F.col("team").alias("name")).distinct()
+    return with_ids(new, ["league_id", "name"], "id", taken).select("id", "name", "league_id")
 
 
-def _rarest(df: DataFrame, frequency: DataFrame, key: str, words: str) -> DataFrame:
-    """key, token: of each row's real words the rarest among both sides."""
-    tokens = df.select(key, F.explode(F.filter(words, lambda x: F.length(x) > 1)).alias("token"))
-    return tokens.join(frequency, "token").groupBy(key).agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+def _name(c: Column | str) -> Column:
+    """The words of a name in one order: names of one class are one person's spelling, whatever their order."""
+    return F.array_join(F.array_sort(name_words(c)), " ")
 
 
-def person_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_id, right_id of all ``same_person`` pairs. Sides: id, full_name.
+def class_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_name, right_name of all ``same_person`` pairs of distinct classes (name).
 
     The real words of one side contain the other's, so the rarest word of the smaller side is among the larger's:
-    each side's rarest word is looked up in all words of the other. Given names never meet each other.
+    each side's rarest word is looked up in all words of the other. Words are counted over classes, not rows.
+    """
+    words = lambda df: df.select("name", F.explode(F.filter(F.split("name", " "), lambda x: F.length(x) > 1)).alias("token"))
+    lw, rw = words(left), words(right)
+    frequency = lw.union(rw).groupBy("token").agg(F.count("*").alias("n"))
+    rarest = lambda df: df.join(frequency, "token").groupBy("name").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    as_left, as_right = (lambda df: df.withColumnRenamed("name", "left_name")), (lambda df: df.withColumnRenamed("name", "right_name"))
+    met = as_left(rarest(lw)).join(as_right(rw), "token").select("left_name", "right_name").union(as_left(lw).join(as_right(rarest(rw)), "token").select("left_name", "right_name"))
+    return met.distinct().where(same_words(F.split("left_name", " "), F.split("right_name", " ")))
+
+
+def person_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_id, right_id of all ``same_person`` pairs. Sides: id, full_name. Pairs of name classes are found first, then their rows."""
+    l, r = (df.select(F.col("id").alias(f"{side}_id"), _name("full_name").alias(f"{side}_name")) for side, df in (("left", left), ("right", right)))
+    pairs = class_pairs(l.select(F.col("left_name").alias("name")).distinct(), r.select(F.col("right_name").alias("name")).distinct())
+    return pairs.join(l, "left_name").join(r, "right_name").select("left_id", "right_id").distinct()
+
+
+def person_matches(left: DataFrame, right: DataFrame, same: str | None = None) -> DataFrame:
+    """id, n, low, high of the ``same_person`` rows of ``right`` for each row of ``left`` that has some.
+
+    Sides: id, full_name, and ``same``: n_same, low_same and high_same are of those that agree with the row in it. Classes
+    of names meet, each with its number of rows, lowest and highest id, and rows look up their class: of any number of
+    namesakes no pair is formed.
     """
-    l, r = (df.select("id", name_words("full_name").alias("words")) for df in (left, right))
-    of = lambda df: df.select("id", F.explode(F.filter("words", lambda x: F.length(x) > 1)).alias("token"))
-    frequency = of(l).union(of(r)).groupBy("token").agg(F.count("*").alias("n"))
-    lid, rid = of(l).withColumnRenamed("id", "left_id"), of(r).withColumnRenamed("id", "right_id")
-    rare_l = _rarest(l, frequency, "id", "words").withColumnRenamed("id", "left_id")
-    rare_r = _rarest(r, frequency, "id", "words").withColumnRenamed("id", "right_id")
-    pairs = rare_l.join(rid, "token").select("left_id", "right_id").union(lid.join(rare_r, "token").select("left_id", "right_id")).distinct()
-    both = pairs.join(l.select(F.col("id").alias("left_id"), F.col("words").alias("lw")), "left_id").join(r.select(F.col("id").alias("right_id"), F.col("words").alias("rw")), "right_id")
-    return both.where(same_words(F.col("lw"), F.col("rw"))).select("left_id", "right_id")
+    extra = [same] if same else []
+    l = left.select("id", _name("full_name").alias("name"), *extra)
+    r = right.select("id", _name("full_name").alias("name"), *extra).groupBy("name", *extra).agg(F.count_distinct("id").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    names = lambda df: df.select("name").distinct()
+    pairs = class_pairs(names(l), names(r))
+    met = names(l).withColumnRenamed("name", "left_name").join(pairs, "left_name").join(r.withColumnRenamed("name", "right_name"), "right_name")
+    sums = [F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")]
+    out = l.join(met.groupBy(F.col("left_name").alias("name")).agg(*sums), "name")
+    if same:
+        own = met.where(F.col(same).isNotNull()).groupBy(F.col("left_name").alias("name"), same).agg(*[F.sum("n").alias("n_same"), F.min("low").alias("low_same"), F.max("high").alias("high_same")])
+        out = out.join(own, ["name", same], "left").withColumn("n_same", F.coalesce("n_same", F.lit(0)))
+    return out.drop("name", *extra)
 
 
 def match_squads(squad: DataFrame, players: DataFrame) -> DataFrame:
@@ -227,7 +289,8 @@ def match_squads(squad: DataFrame, players: DataFrame) -> DataFrame:
     rows = rows.join(only(p.dropna(subset=["short"]), ["short"], "id", "global_hit"), "short", "left")
     hits = ["api_hit", "key_hit", "short_hit", "global_hit"]
     left = rows.where(F.coalesce(*hits).isNull()).select(F.col("row").alias("id"), F.col("name").alias("full_name"))
-    person = only(person_pairs(left, players.select("id", "full_name")), ["left_id"], "right_id", "person_hit").withColumnRenamed("left_id", "row")
+    found = person_matches(left.distinct(), players.select("id", "full_name"))
+    person = found.where("low = high").select(F.col("id").alias("row"), F.col("low").alias("person_hit"))
     rows = rows.join(person, "row", "left")
     tier = F.lit("new")
     for c in reversed([*hits, "person_hit"]):
@@ -294,12 +357,9 @@ def resolve_move_players(moves: DataFrame, players: DataFrame) -> DataFrame:
     by_id = players.where("api_football_id is not null").groupBy(F.col("api_football_id").alias("api_id")).agg(F.min("id").alias("live_id"))
     rows = moves.withColumn("row", row_key(*moves.columns)).join(by_id, "api_id", "left")
     last = lambda c: F.element_at(F.split(normalize_name(c), " "), -1)
-    named = rows.where("live_id is null").select(F.col("row").alias("id"), F.col("name").alias("full_name")).distinct()
-    pairs = person_pairs(named, players.select("id", "full_name"))
-    pairs = pairs.join(named.select(F.col("id").alias("left_id"), last("full_name").alias("surname")), "left_id")
-    pairs = pairs.join(players.select(F.col("id").alias("right_id"), last("full_name").alias("other")), "right_id").where("surname = other")
-    pairs = pairs.select(F.col("left_id").alias("row"), F.col("right_id").alias("id"))
-    rows = rows.join(only(pairs, ["row"], "id", "name_id"), "row", "left")
+    named = rows.where("live_id is null").select(F.col("row").alias("id"), F.col("name").alias("full_name")).distinct().withColumn("surname", last("full_name"))
+    found = person_matches(named, players.select("id", "full_name", last("full_name").alias("surname")), "surname")
+    rows = rows.join(found.where("low_same = high_same").select(F.col("id").alias("row"), F.col("low_same").alias("name_id")), "row", "left")
     return rows.withColumn("player_id", F.coalesce("live_id", "name_id")).select(*moves.columns, "player_id")
 
 
@@ -364,13 +424,10 @@ def merge_duplicates_live(players: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     thin = players.where("transfermarkt_id is null and api_football_id is not null")
     rich = players.where("transfermarkt_id is not null")
-    group = lambda df, out: df.select(F.col("id").alias(out), position_group("position").alias(f"{out}_group"))
-    pairs = person_pairs(thin.select("id", "full_name"), rich.select("id", "full_name"))
-    pairs = pairs.join(group(thin, "left_id"), "left_id").join(group(rich, "right_id"), "right_id")
-    same = F.col("left_id_group") == F.col("right_id_group")
-    found = pairs.groupBy("left_id").agg(F.count("*").alias("n"), F.min("right_id").alias("one"), F.count_if(same).alias("n_same"), F.min(F.when(same, F.col("right_id"))).alias("one_same"), F.max("left_id_group").alias("g"))
-    keeper = F.when(F.col("n") == 1, F.col("one")).when(F.col("g").isNotNull() & (F.col("n_same") == 1), F.col("one_same"))
-    found = found.select(F.col("left_id").alias("thin_id"), keeper.alias("keeper_id"))
+    side = lambda df: df.select("id", "full_name", position_group("position").alias("own_group"))
+    found = person_matches(side(thin), side(rich), "own_group").withColumnRenamed("id", "thin_id")
+    keeper = F.when(F.col("n") == 1, F.col("low")).when(F.col("n_same") == 1, F.col("low_same"))
+    found = found.select("thin_id", keeper.alias("keeper_id"))
     first = found.where("keeper_id is not null").groupBy("keeper_id").agg(F.min("thin_id").alias("thin_id"))
     verdicts = found.select("thin_id").join(first, "thin_id", "left").select("thin_id", "keeper_id", F.when(F.col("keeper_id").isNotNull(), "merged").otherwise("ambiguous").alias("verdict"))
     gone = verdicts.where("keeper_id is not null")

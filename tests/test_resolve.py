@@ -2,8 +2,10 @@ import datetime
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
+from pitchspark.functions import same_person
 from pitchspark.operators import resolve
 
 DAY = datetime.date
@@ -207,3 +209,53 @@ def test_person_pairs_do_not_depend_on_partitions(spark):
     want = {(i, 100 + i) for i in range(0, 60, 2)}
     for n in (1, 5):
         assert {tuple(r) for r in resolve.person_pairs(names.repartition(n), other.orderBy(F.rand(n))).collect()} == want
+
+
+def test_namesakes_form_no_pairs(spark):
+    """Crowds of one name, of one word and of turned words: counts and verdicts as of all pairs, from pairs of classes alone."""
+    left = [(i, "Joao Silva" if i % 2 else "Silva Joao", "Silva" if i % 2 else "Joao") for i in range(600)] + [(1000, "Silva", "Silva"), (1001, "J. Silva", "Silva"), (1002, "Rare Bird", "Bird"), (1003, "Nobody", None), (1004, None, None)]
+    right = [(i, "Joao Silva", "Silva") for i in range(3000)] + [(5000, "Bird Rare", "Rare"), (5001, "Silva", None), (5002, "", "")]
+    schema = "id int, full_name string, surname string"
+    l, r = spark.createDataFrame(left, schema).repartition(3), spark.createDataFrame(right, schema).repartition(5)
+    got = {x.id: (x.n, x.low, x.high, x.n_same, x.low_same) for x in resolve.person_matches(l, r, "surname").collect()}
+    crowd = lambda surname: (3001, 0, 5001, 3000 if surname == "Silva" else 0, 0 if surname == "Silva" else None)
+    assert got == {i: crowd(s) for i, _, s in left[:600]} | {1000: crowd("Silva"), 1001: (3000, 0, 2999, 3000, 0), 1002: (1, 5000, 5000, 0, None)}
+    names = lambda df: df.select(resolve._name("full_name").alias("name")).where("name is not null").distinct()
+    assert resolve.class_pairs(names(l), names(r)).count() == 6  # of 1.8 million pairs of rows
+
+
+def test_matches_are_those_of_pairs(spark):
+    rng = random.Random(3)
+    made = lambda n, at: [(at + i, " ".join(rng.choice(["ana", "bo", "c", "d.", "eve", "fox", "b"]) for _ in range(rng.randrange(4))), rng.choice(["x", "y", None])) for i in range(n)]
+    left, right = made(80, 0), made(80, 100)
+    l, r = (spark.createDataFrame(x, "id int, full_name string, own string") for x in (left, right))
+    pairs = l.select(F.col("id").alias("a"), F.col("full_name").alias("an"), F.col("own").alias("ao")).crossJoin(r.select(F.col("id").alias("b"), F.col("full_name").alias("bn"), F.col("own").alias("bo")))
+    pairs = [(x.a, x.b, x.ao == x.bo and x.ao is not None) for x in pairs.where(same_person("an", "bn")).collect()]
+    assert {(x.left_id, x.right_id) for x in resolve.person_pairs(l, r).collect()} == {p[:2] for p in pairs} and len(pairs) > 50
+    want = {}
+    for a, b, same in pairs:
+        want.setdefault(a, []).append((b, same))
+    got = {x.id: (x.n, x.low, x.high, x.n_same, x.low_same, x.high_same) for x in resolve.person_matches(l, r, "own").collect()}
+    ends = lambda bs: (min(bs), max(bs)) if bs else (None, None)
+    assert got == {a: (len(bs), *ends([b for b, _ in bs]), sum(s for _, s in bs), *ends([b for b, s in bs if s])) for a, bs in want.items()}
+
+
+def test_ids_are_never_shared(spark):
+    rows_ = spark.createDataFrame([(f"name {i % 40}", i % 40 if i % 3 else None, i) for i in range(240)], "a string, b int, c int")
+    keys = {(x.a, x.b) for x in rows_.collect()}
+    free = {(x.a, x.b): x.id for x in resolve.with_ids(rows_, ["a", "b"]).collect()}
+    assert len(set(free.values())) == len(keys) and all(i > 0 for i in free.values())
+    taken = spark.createDataFrame([(i,) for i in range(0, 256, 2)], "id long")
+    for bits, used in ((8, None), (9, taken)):  # so few bits that many keys clash
+        out = resolve.with_ids(rows_.repartition(3), ["a", "b"], taken=used, bits=bits).collect()
+        ids = {}
+        for x in out:
+            ids.setdefault((x.a, x.b), set()).add(x.id)
+        assert len(out) == 240 and set(ids) == keys and all(len(i) == 1 for i in ids.values())
+        assert len(set.union(*ids.values())) == len(keys) and not (used is not None and set.union(*ids.values()) & set(range(0, 256, 2)))
+        again = {(x.a, x.b): x.id for x in resolve.with_ids(rows_.orderBy(F.rand(2)), ["a", "b"], taken=used, bits=bits).collect()}
+        assert all(ids[k] == {v} for k, v in again.items())  # the same in every run
+    with pytest.raises(ValueError, match="too few"):
+        resolve.with_ids(rows_, ["a", "b"], bits=2)
+    new, own = resolve.create_missing(spark.createDataFrame([(f"P{i}", 2000, 1, None) for i in range(30)], "player string, born int, club_id int, position string"), bits=6)
+    assert new.select("id").distinct().count() == new.count() == 30 and own.select("player_id").distinct().count() == 30
