@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..constants import INTEGRITY_RULES, NULL_RULES
 from ..functions import club_key
 from ..operators import imports, quality, resolve
 from ..sources import files, tables
-from ..sources.scratch import scratch_dir
-from .adapters import AS_OF, table
+from ..sources.scratch import dropped, scratch_dir, stored
+from .adapters import AS_OF, table, with_tables
 from .queries import FIRST, LAST, PERSON, SQL, _word, base, key_sql, norm_sql, query
 
 MANUAL = "source_key string, target_id long"
@@ -232,6 +233,42 @@ def enforce(s, d):
     return s.createDataFrame([(refusal,)], "refusal string")
 
 
+FACTS = {"player_season_stats": "season_stats", "player_match_stats": "appearances", "matches": "matches", "shots": "shots", "players": "players", "clubs": "clubs"}
+
+
+_WRITTEN = with_tables(" ".join(FACTS.values()), " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in FACTS.values()))
+
+
+# the reports of a load job that counts while it writes are those that scan the tables afterwards
+@query("load_checks", f"""SELECT 'rows' AS report, table_name, CAST(NULL AS VARCHAR) AS rule, CAST(n AS DOUBLE) AS found, false AS violated FROM ({_WRITTEN})
+    UNION ALL SELECT 'nulls', table_name, rule, ratio, violated FROM ({SQL['null_ratios']})
+    UNION ALL SELECT 'rules', table_name, rule, CAST(violations AS DOUBLE), violated FROM ({SQL['integrity']}) WHERE rule NOT IN ('date differs from the match', 'last run failed')""")
+def load_checks(s, d):
+    checks = quality.LoadChecks(AS_OF, [r for r in NULL_RULES if r[0] != "player_season_stats"], [r for r in INTEGRITY_RULES if r[0] != "players"])
+    for name, t in FACTS.items():
+        dropped(stored(checks.watch(name, table(s, d, t), t), t))
+    report = lambda df, name, rule, found, violated: df.select(F.lit(name).alias("report"), "table_name", rule.alias("rule"), found.cast("double").alias("found"), violated.alias("violated"))
+    out = report(checks.row_counts(s), "rows", F.lit(None).cast("string"), F.col("n"), F.lit(False))
+    for name, df, found in (("nulls", checks.null_ratios(s), "ratio"), ("rules", checks.integrity(s), "violations")):
+        out = out.unionByName(report(df, name, F.col("rule"), F.col(found), F.col("violated")))
+    return out
+
+
+_SEASONS = "SELECT player_id, club_id, source, season, max(minutes) AS minutes FROM season_stats WHERE club_id IS NOT NULL GROUP BY ALL"
+
+
+@query("merge_partitions", with_tables("season_stats", f"""SELECT player_id, club_id, source, season, CASE WHEN season = '1999' AND player_id % 2 = 0 THEN minutes + 1 ELSE minutes END AS minutes FROM ({_SEASONS})
+    UNION ALL SELECT player_id + 10000000, club_id, source, season, minutes + 1 FROM ({_SEASONS}) WHERE season = '1999' AND player_id % 2 = 1"""))
+def merge_partitions(s, d):
+    rows = table(s, d, "season_stats").where("club_id is not null").groupBy("player_id", "club_id", "source", "season").agg(F.max("minutes").alias("minutes"))
+    path = _folder(s, "seasons")
+    rows.repartition("season").write.partitionBy("season").parquet(path)
+    own = s.read.schema(rows.schema).parquet(path)
+    new = own.where("season = '1999'").withColumns({"minutes": F.col("minutes") + 1, "player_id": F.when(F.col("player_id") % 2 == 1, F.col("player_id") + 10_000_000).otherwise(F.col("player_id"))})
+    tables.merge_partitions(s, path, new, ["player_id", "club_id", "source", "season"], ["season"], ["minutes"])
+    return s.read.schema(rows.schema).parquet(path)
+
+
 @query("unresolved_countries", "SELECT DISTINCT concat('Land ', p_brand) AS unresolved FROM part WHERE p_size % 3 = 0")
 def unresolved_countries(s, d):
     spelled = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Land "), "p_brand")).otherwise(F.lit("ASIA"))

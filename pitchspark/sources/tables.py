@@ -6,10 +6,13 @@ import contextlib
 import datetime
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import dropped, stored
+
 
 def replace_slice(existing: DataFrame, new: DataFrame, scope: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``existing`` without the rows whose ``keys`` are in ``scope``, plus ``new``. An empty scope deletes nothing."""
@@ -56,6 +59,33 @@ def insert_ignore(existing: DataFrame, new: DataFrame, keys: Sequence[str], orde
     return existing.unionByName(fresh.select(existing.columns))
 
 
+def merge_partitions(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partitions: Sequence[str], update: Sequence[str] | None = None, order: str | None = None) -> int:
+    """Merges ``new`` into the table at ``path`` and returns how many partitions were rewritten; all others keep their files.
+
+    Its ``partitions`` are among ``keys``, so a key's rows, old or new, are in one partition. The partitions that
+    ``new`` has, of which the driver lists as many as a directory listing would, are a filter on the stored table: only
+    those are read, merged (``upsert`` with ``update`` columns, else ``insert_ignore`` by ``order``), kept in the
+    scratch folder, and written over what they were read from. A run that breaks off before that write leaves the table as
+    it was; one that breaks off in it is made good by running again.
+    """
+    if not set(partitions) <= set(keys):
+        raise ValueError("a key must say which partition it is in")
+    if update is None and order is None:
+        raise ValueError("update columns, or an order of new rows, are needed")
+    new = stored(new, "new")
+    touched = [tuple(r) for r in new.select(*partitions).distinct().collect()]
+    if not touched:
+        return 0
+    table = spark.read.parquet(path)
+    own = lambda values: reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(partitions, values, strict=True)])
+    old = table.where(reduce(Column.__or__, map(own, touched)))
+    merged = upsert(old, new, keys, update, order) if update is not None else insert_ignore(old, new, keys, order)
+    merged = stored(merged, "merged")
+    write_slice(merged, path, partitions)
+    dropped(new, merged)
+    return len(touched)
+
+
 RUNS_SCHEMA = "source string, started_at timestamp, finished_at timestamp, status string, rows_written long, notes string"
 
 

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pitchspark.operators import imports
+from pitchspark.operators import imports, quality
 from pitchspark.sources import files, tables
 
 
@@ -60,6 +60,51 @@ def test_upsert_protects_curated_columns(spark):
     assert rows(tables.insert_ignore(old, new, ["id"], "o")) == [(1, "A", 0.9), (2, "B", None), (3, "C", 0.2)]
 
 
+def files_of(path):
+    return {str(p.relative_to(path)): (p.stat().st_mtime_ns, p.read_bytes()) for p in path.rglob("*.parquet")}
+
+
+def test_merging_rewrites_touched_partitions_alone(spark, tmp_path):
+    old = [(i, f"s{i % 6}", i, "curated") for i in range(60)] + [(100, None, 1, "curated")]
+    new = [(i, "s2", 500 + i, "new") for i in range(0, 40, 2)] + [(100, None, 7, "new"), (101, "s9", 8, "new")]
+    schema = "id int, season string, minutes int, note string"
+    frames = [spark.createDataFrame(x, schema) for x in (old, new)]
+    for update, order in ((["minutes"], None), (None, "minutes")):
+        path = tmp_path / f"t{order}"
+        frames[0].repartition(2, "season").write.partitionBy("season").parquet(str(path))
+        before = files_of(path)
+        fresh = frames[1]
+        assert tables.merge_partitions(spark, str(path), fresh, ["id", "season"], ["season"], update, order) == 3
+        after = files_of(path)
+        kept = [f for f in before if "season=s2" not in f and "__HIVE_DEFAULT" not in f]
+        assert len(kept) == 5 and all(after[f] == before[f] for f in kept)
+        assert all(f not in after for f in before if f not in kept) and any("season=s9" in f for f in after)
+        same = lambda a, b: a[:2] == b[:2] and a[1] is not None  # noqa: E731  a null matches no key
+        want = [r for r in new if not any(same(r, x) for x in old)] + [r if not update else next(((*r[:2], x[2], r[3]) for x in new if same(r, x)), r) for r in old]
+        assert rows(spark.read.schema(schema).parquet(str(path)), "id", "season", "minutes", "note") == sorted(want, key=repr)
+        assert tables.merge_partitions(spark, str(path), fresh.where("false"), ["id", "season"], ["season"], update, order) == 0
+        assert files_of(path) == after
+    with pytest.raises(ValueError, match="which partition"):
+        tables.merge_partitions(spark, str(path), frames[1], ["id"], ["season"], ["minutes"])
+
+
+def test_a_load_counts_while_it_writes(spark, tmp_path):
+    day = datetime.date(2024, 1, 1)
+    stats = spark.createDataFrame([(1, -5, 3, {"shots": 2.0}, None, 1), (2, 90, 1, {"shots": 2.0}, 1, 1), (3, None, 1, None, 1, None)], "player_id int, minutes int, goals int, key_metrics map<string,double>, club_id int, league_id int")
+    players = spark.createDataFrame([(None, None, 2000, None), ("TR", datetime.date(2025, 1, 1), None, 5.0)], "nationality_code string, birth_date date, birth_year int, market_value_eur double")
+    watched = {"player_season_stats": stats, "players": players, "clubs": spark.createDataFrame([], "league_id int")}
+    checks = quality.LoadChecks(day)
+    for name, df in watched.items():
+        for part in (0, 1) if name == "players" else (None,):
+            own = df if part is None else df.where(f"birth_year is {'not ' * part}null")
+            out = checks.watch(name, own)
+            assert out.columns == own.columns
+            out.write.mode("append").parquet(str(tmp_path / name))
+    assert rows(checks.row_counts(spark)) == rows(quality.row_counts(watched))
+    assert rows(checks.null_ratios(spark)) == rows(quality.null_ratios(watched))
+    assert rows(checks.integrity(spark)) == rows(quality.integrity(watched, day)) and checks.integrity(spark).where("violated").count() > 2
+
+
 def test_run_log(spark, tmp_path):
     path = str(tmp_path / "runs")
     with tables.run_log(spark, "job", path) as stats:
