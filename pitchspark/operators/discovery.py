@@ -31,6 +31,7 @@ from ..constants import (
     YOUTH_WEIGHT,
 )
 from ..functions import age_at, birth_bounds, rounded
+from ..sources.scratch import stored
 from ..sources.tables import top_rows
 
 KEYS = ["player_id", "season", "position_group"]
@@ -130,37 +131,130 @@ def candidates(
     return rows.where(F.col("club_league_id").isin(*league_ids)) if league_ids else rows
 
 
-def similar_players(vectors: DataFrame, pool: DataFrame | None = None, k: int = 10, block: Sequence[str] = ("season", "position_group"), tile: int = 2048) -> DataFrame:
+#: Rows of a tile, about: what a task of the similarity search compares with as many others.
+TILE = 2048
+#: What distances may differ by from rounding.
+SLACK = 1e-8
+
+
+def _unit(embedding: pd.Series) -> np.ndarray:
+    x = np.array(embedding.tolist(), dtype=np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _typed(columns: dict) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series(v) if len(v) else pd.Series([], dtype=object) for c, v in columns.items()})
+
+
+def _beside(rows: DataFrame, small_side: DataFrame, block: list[str], tile: int, schema: str, work) -> DataFrame:
+    """``work(rows, small side)`` for about ``tile`` rows of a block at a time, each with the whole small side of that block."""
+    sizes = rows.groupBy(*block).agg(F.ceil(F.count("*") / tile).cast("int").alias("_parts"))
+    left = rows.join(sizes, block).withColumn("_part", F.pmod(F.xxhash64("player_id"), F.col("_parts")).cast("int")).drop("_parts")
+    right = small_side.join(sizes, block).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    right = right.select(*[F.col(c).alias(f"s_{c}") for c in right.columns])  # names of its own: both sides may come of one table
+    return left.groupBy(*block, "_part").cogroup(right.groupBy(*[f"s_{c}" for c in block], "s__part")).applyInPandas(work, schema)
+
+
+def tiled(rows: DataFrame, block: list[str], tile: int) -> DataFrame:
+    """``rows`` with p, s: the number of the nearest pivot of the block, and a part of that pivot's rows where they are many.
+
+    Pivots are about one row in ``tile``, chosen by hash, and the first row of each block. Rows without a direction have
+    pivot -1.
+    """
+    h = F.xxhash64("player_id", F.lit("pivot"))
+    first = rows.groupBy(*block).agg(F.min_by(F.struct("player_id", "embedding"), F.struct(h, "player_id")).alias("x")).select(*block, "x.*")
+    pivots = rows.where(F.pmod(h, F.lit(tile)) == 0).select(*block, "player_id", "embedding").unionByName(first).distinct()
+
+    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return left.drop(columns="_part").assign(p=pd.Series([], dtype="int64"))
+        x, y = _unit(left["embedding"]), _unit(right.sort_values("s_player_id")["s_embedding"])
+        near = np.argmax(x @ y.T, axis=1)
+        near[~np.any(x, axis=1)] = -1
+        return left.drop(columns="_part").assign(p=near)
+
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", p long"
+    out = stored(_beside(rows, pivots, block, tile, schema, assign), "tiles")
+    sizes = out.groupBy(*block, "p").agg(F.ceil(F.count("*") / tile).cast("int").alias("_parts"))
+    return out.join(sizes, [*block, "p"]).withColumn("s", F.pmod(F.xxhash64("player_id", F.lit("part")), F.col("_parts")).cast("int")).drop("_parts")
+
+
+def tile_visits(vectors: DataFrame, pool: DataFrame | None = None, k: int = 10, block: Sequence[str] = ("season", "position_group"), tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(player_id, block, embedding, p, s: the tiles that may hold one of a row's ``k`` nearest; the candidates with their tiles).
+
+    A first pass gives every row the distance of its k-th nearest in its own tile. No row of another tile is nearer than the
+    angle to that tile's centre less the tile's radius, so a tile where that is further than the k-th nearest so far is
+    passed over: exactly, whatever the data. Rows without a direction are as far from all, and visit every tile.
+    """
+    block = list(block)
+    rows = vectors.select("player_id", *block, "embedding")
+    chosen = rows if pool is None else rows.join(pool.select("player_id", *block).distinct(), ["player_id", *block], "left_semi")
+    marked = rows.withColumn("found", F.lit(True)) if pool is None else rows.join(chosen.select("player_id", *block).distinct().withColumn("found", F.lit(True)), ["player_id", *block], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    tiles = stored(tiled(marked, block, tile), "tiled")
+    types = dict(tiles.dtypes)
+    kinds = ", ".join(f"{c} {types[c]}" for c in block)
+
+    def own(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        x, found = _unit(df["embedding"]), df["found"].to_numpy()
+        ids, others = df["player_id"].to_numpy(), df["player_id"].to_numpy()[found]
+        far = 1 - x @ x[found].T
+        far[ids[:, None] == others[None, :]] = np.inf
+        n = far.shape[1]
+        return df[["player_id", *block, "embedding"]].assign(kth=np.partition(far, k - 1, axis=1)[:, k - 1] if n >= k else np.inf)
+
+    def shape(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(df["embedding"])
+        centre = x.mean(0)
+        size = np.linalg.norm(centre)
+        centre = centre / size if size > 0 else np.zeros_like(centre)
+        radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max()) if key[len(block)] >= 0 else np.inf
+        return pd.DataFrame([[*key, centre.tolist(), radius]], columns=[*block, "p", "s", "centre", "radius"])
+
+    so_far = tiles.groupBy(*block, "p", "s").applyInPandas(own, f"player_id long, {kinds}, embedding array<double>, kth double")
+    shapes = tiles.where("found").groupBy(*block, "p", "s").applyInPandas(shape, f"{kinds}, p long, s int, centre array<double>, radius double")
+
+    def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["player_id", *block, "embedding"]
+        if left.empty or right.empty:
+            return _typed({c: [] for c in [*names, "p", "s"]})
+        x = _unit(left["embedding"])
+        angle = np.arccos(np.clip(x @ np.array(right["s_centre"].tolist()).T, -1, 1)) - right["s_radius"].to_numpy()
+        least = 1 - np.cos(np.maximum(angle, 0))
+        row, col = np.nonzero((least <= left["kth"].to_numpy()[:, None] + SLACK) | ~np.any(x, axis=1)[:, None])
+        return left[names].iloc[row].assign(p=right["s_p"].to_numpy()[col], s=right["s_s"].to_numpy()[col])
+
+    visits = _beside(stored(so_far, "so-far"), stored(shapes, "shapes"), block, tile, f"player_id long, {kinds}, embedding array<double>, p long, s int", visit)
+    return stored(visits, "visits"), tiles.where("found").drop("found")
+
+
+def similar_players(vectors: DataFrame, pool: DataFrame | None = None, k: int = 10, block: Sequence[str] = ("season", "position_group"), tile: int = TILE) -> DataFrame:
     """For every row of ``vectors`` (player_id, block, embedding) its ``k`` nearest by cosine distance within the block, not itself.
 
-    ``pool``: player_id and block of the rows that may be found (all by default). Exact: a block is cut into tiles
-    of about ``tile`` by ``tile`` rows, each finds its best ``k``, and the best of those count: no block meets in one task.
-    Distances are compared at nine digits, lower ids first among equals, and given with four.
+    ``pool``: player_id and block of the rows that may be found (all by default). Exact: a block is cut into tiles of like
+    rows, each row visits the tiles that ``tile_visits`` can't rule out, and the best of those count. A task compares about
+    ``tile`` rows with about as many; no block meets in one task. Distances are compared at nine digits, lower ids first among
+    equals, and given with four.
     """
     block = list(block)
-    found = vectors if pool is None else vectors.join(pool.select("player_id", *block).distinct(), ["player_id", *block], "left_semi")
-    sizes = vectors.groupBy(*block).agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-    cut = lambda df, name: df.join(sizes, block).withColumn(name, F.pmod(F.xxhash64("player_id", F.lit(name)), F.col("parts")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    refs = cut(vectors, "i").withColumn("j", every).select("player_id", *block, "i", "j", "embedding")
-    # renamed, since both sides of a cogroup over one table need columns of their own
-    cands = cut(found, "j").withColumn("i", every).select(*[F.col(c).alias(f"c_{c}") for c in ("player_id", *block, "i", "j", "embedding")])
+    visits, cands = tile_visits(vectors, pool, k, block, tile)
     types = dict(vectors.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in block) + ", player_id long, candidate_id long, distance double"
+    where = [*block, "p", "s"]
+    sizes = visits.groupBy(*where).agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    refs = visits.join(sizes, where).withColumn("part", F.pmod(F.xxhash64("player_id", F.lit("visit")), F.col("parts")).cast("int")).select("player_id", *where, "part", "embedding")
+    every = cands.join(sizes, where).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # renamed, since both sides of a cogroup over one table need columns of their own
+    every = every.select(*[F.col(c).alias(f"c_{c}") for c in ("player_id", *where, "part", "embedding")])
 
     none = pd.DataFrame({c: pd.Series([], dtype=object) for c in block} | {"player_id": pd.Series([], dtype="int64"), "candidate_id": pd.Series([], dtype="int64"), "distance": pd.Series([], dtype="float64")})
 
     def nearest(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        def unit(df: pd.DataFrame) -> np.ndarray:
-            x = np.array(df["embedding"].tolist(), dtype=np.float64)
-            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
         if not len(left) or not len(right):
             return none
         right = right.rename(columns=lambda c: c.removeprefix("c_"))
         ids, own = right["player_id"].to_numpy(), left["player_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        far = np.round(1 - unit(left) @ unit(right)[order].T, 9)
+        far = np.round(1 - _unit(left["embedding"]) @ _unit(right["embedding"])[order].T, 9)
         far[own[:, None] == ids[order][None, :]] = np.inf
         n = min(k, far.shape[1])
         # all that are as near as the n-th stay, so the stable sort below sees every tie
@@ -174,8 +268,8 @@ def similar_players(vectors: DataFrame, pool: DataFrame | None = None, k: int =
             best[c] = v
         return best[[*block, "player_id", "candidate_id", "distance"]]
 
-    by = [*block, "i", "j"]
-    partial = refs.groupBy(*by).cogroup(cands.groupBy(*[f"c_{c}" for c in by])).applyInPandas(nearest, schema)
+    by = [*where, "part"]
+    partial = refs.groupBy(*by).cogroup(every.groupBy(*[f"c_{c}" for c in by])).applyInPandas(nearest, schema)
     best = top_rows(partial, ["player_id", *block], ["distance", "candidate_id"], k, "rank")
     return best.select("player_id", *block, "rank", "candidate_id", rounded(F.col("distance"), 4).alias("distance"))
 

@@ -331,3 +331,28 @@ def test_a_hot_run_of_letters_is_many_parts(spark):
     assert sum(r["count"] for r in hot) == 900 and len(hot) > 1
     alone = views.gram_pairs(df, names, ["kind", "id"]).groupBy("needle").count().where("needle like 'marab %'").agg(F.max("count")).first()[0]
     assert alone <= 150  # met by the rarest of its runs, not by "mar", which all 900 have
+
+
+def test_tiles_are_passed_over_without_losing_a_neighbour(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 6))
+    x = np.repeat(centres, 40, axis=0) + 0.15 * rng.normal(size=(1200, 6))
+    x[100:140], x[600] = x[100], 0  # a crowd of one vector, and one without a direction
+    table = [(i, "s", "FW" if i < 1180 else "GK", v) for i, v in enumerate(x.tolist())]
+    vectors = spark.createDataFrame(table, "player_id long, season string, position_group string, embedding array<double>")
+    pool = vectors.where("player_id % 3 != 1").select("player_id", "season", "position_group")
+    key = ["player_id", "season", "position_group", "rank", "candidate_id", "distance"]
+    for own in (None, pool):
+        whole, cut = (rows(discovery.similar_players(vectors, own, k=5, tile=tile), *key) for tile in (5000, 40))
+        assert whole == cut and len(whole) == 1200 * 5
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    far = np.round(1 - unit[:1180] @ unit[:1180].T, 9)
+    np.fill_diagonal(far, np.inf)
+    want = {i: np.lexsort((np.arange(1180), far[i]))[:5].tolist() for i in range(1180)}
+    found = {}
+    for r in rows(discovery.similar_players(vectors, k=5, tile=40), *key):
+        found.setdefault(r[0], []).append((r[3], r[4]))
+    assert all([c for _, c in sorted(found[i])] == want[i] for i in range(1180))
+    visits, cands = discovery.tile_visits(vectors, k=5, tile=40)
+    tiles = cands.select("season", "position_group", "p", "s").distinct().count()
+    assert visits.count() < 0.5 * 1200 * tiles
