@@ -135,7 +135,7 @@ def planted(docs: DataFrame, rows: int = PLANTED_ROWS, seed: int = SEED) -> Data
     some = docs.where(F.pmod(h, F.lit(max(1, docs.count() // rows))) == 0).select(h.alias("h"), "text").orderBy("h").limit(rows)
     spare = F.array(*map(F.lit, "some words stand here where texts have none of their own to plant".split()))
     words = F.filter(F.concat(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z]+"), spare), lambda w: F.length(w) > 2)
-    some = some.select("h", words.alias("w")).withColumn("w", F.slice("w", F.pmod("h", F.size("w") - 11).cast("int") + 1, F.lit(12)))
+    some = some.select("h", words.alias("w")).withColumn("w", F.slice("w", F.pmod("h", F.greatest(F.size("w") - 11, F.lit(1))).cast("int") + 1, F.lit(12)))
     some = some.select("h", "w", F.explode(F.sequence(F.lit(0), F.lit(16))).alias("kind"))
     some = some.withColumn("r", F.sha2(F.concat_ws(":", "h", "kind", F.lit(seed)).cast("binary"), 512))
     some = some.withColumns({"b": F.base64(F.unhex("r")), "pick": F.pmod(F.xxhash64("r"), F.lit(1 << 20)).cast("int")})

@@ -386,6 +386,35 @@ def test_iban_check_digits(spark):
     assert by_id(rows.select("doc_id", pii._mod97(F.col("text")).alias("ok")), "ok") == {1: (True,), 2: (False,), 3: (True,)}
 
 
+def test_findings_are_planted_in_texts_without_words_too(spark):
+    docs = frame(spark, [(1, None), (2, ""), (3, "a b c"), (4, "1 2 3 4"), (None, "one word"), (6, "x" * 5000)])
+    made = secrets.planted(docs).collect()
+    assert len(made) == 6 * 17 and all(r.value in r.text for r in made) and {r.label for r in made} == {0.0, 1.0}
+    out = secrets.scan_secrets(docs.union(frame(spark, [(7, "token = 'k3Jd8sLq0ZpXw2Vn7Rt5'")]))).collect()
+    assert {r.doc_id for r in out if r.is_secret} == {7}
+
+
+def test_candidates_are_those_of_a_plain_search(spark):
+    """Runs, dotted parts and key blocks by a plain expression, values behind names and in URLs by hand."""
+    import re
+
+    rng = random.Random(6)
+    key = "ABCabc019+/=_-"
+    texts = ["".join(rng.choice(key * 3 + " .,:\n") for _ in range(rng.randrange(200))) for _ in range(60)]
+    texts += ["-----BEGIN RSA PRIVATE KEY-----\nAbC+/=12\nx\n-----END RSA PRIVATE KEY----- tail", "-----BEGIN PRIVATE KEY----- no end", "é" * 20 + "A" * 16 + "é"]
+    bits = "0" * 26**3
+    found = {}
+    for r in secrets.candidates(frame(spark, list(enumerate(texts))), bits).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.end, r.value))
+    plain = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}(?:\.[A-Za-z0-9_-]{8,})*|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    for d, text in enumerate(texts):
+        assert sorted(found.get(d, [])) == [(*m.span(), m.group()) for m in re.finditer(plain, text)]
+    held = [("password = 'a b!c' x", "a b!c"), ('api_key: "q', "q"), ("my token=short, then", "short"), ("https://u:p%40ss@h/", "p%40ss"), ("Secret := `k`", "k"), ("tokens are words", None), ("keyboard", None)]
+    rows = secrets.candidates(frame(spark, [(i, t) for i, (t, _) in enumerate(held)]), bits).collect()
+    got = {r.doc_id: (r.value, held[r.doc_id][0][r.start : r.end]) for r in rows}
+    assert got == {i: (v, v) for i, (_, v) in enumerate(held) if v is not None}
+
+
 def test_held_out_secrets_without_a_name(spark):
     """Planted in other documents with another seed: the forest against the naming expression alone."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
