@@ -145,4 +145,5 @@ def search_terms(c: Column | str) -> Column:
 
 def row_key(*columns: Column | str) -> Column:
     """128-bit hash of a row that tells a null from every value, and the same values in other columns apart."""
-    return F.md5(F.to_json(F.struct(*columns)).cast("binary"))
+    parts = [x for c in columns for x in (F.isnull(c), F.col(c) if isinstance(c, str) else c)]
+    return F.concat_ws("-", F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit(1), *parts)))

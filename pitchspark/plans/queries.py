@@ -821,7 +821,7 @@ def board_seasons(s, d):
 
 
 SEARCH = {
-    "q": "SELECT DISTINCT split_part(p_name, ' ', 1 + CAST(p_partkey % 2 AS INT)) AS query FROM part WHERE p_partkey % 2 < 2 UNION SELECT DISTINCT substr(p_name, 2, 2) FROM part UNION SELECT DISTINCT upper(substr(s_name, 3, 6)) FROM supplier UNION SELECT 'tion_1' UNION SELECT 'x'",
+    "q": "SELECT DISTINCT split_part(p_name, ' ', 1 + CAST(p_partkey % 2 AS INT)) AS query FROM part UNION SELECT DISTINCT substr(p_name, 2, 2) FROM part UNION SELECT DISTINCT upper(substr(s_name, 3, 6)) FROM supplier UNION SELECT 'tion_1' UNION SELECT 'x'",
     "nm": "SELECT 'player' AS kind, p.id, full_name AS label, nullif(concat_ws(' · ', c.name, position), '') AS detail, CASE WHEN p.current_club_id IS NULL THEN 1 ELSE 0 END AS a, market_value_eur AS b, '' AS c FROM players p LEFT JOIN clubs c ON c.id = p.current_club_id UNION ALL SELECT 'club', k.id, k.name, l.name, 0, 0, k.name FROM clubs k LEFT JOIN leagues l ON l.id = k.league_id UNION ALL SELECT 'league', id, name, CASE WHEN tier = 1 THEN country_code ELSE concat(country_code, ' · ', tier, '. lig') END, tier, 0, name FROM leagues",
 }
 
