@@ -71,6 +71,11 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id
     return numbered.mapInArrow(run, "doc_id long, doc long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Runs of pieces and gaps in one partition: a few for each size, whatever the input, so that a round need not shuffle them."""
+    return df.coalesce(1)
+
+
 def sweep(left: DataFrame, gaps: DataFrame, size: int) -> DataFrame:
     """length, first, n, k, gap, sequence, offset: one round of matches of pieces and gaps.
 
@@ -84,13 +89,13 @@ def sweep(left: DataFrame, gaps: DataFrame, size: int) -> DataFrame:
     k = F.greatest(F.lit(1), F.least(F.floor(F.col("n") / F.col("n_gaps")), F.floor(size / F.col("share") / F.col("length"))))
     pieces = left.select((k * F.col("length")).alias("size"), F.lit(0).alias("up"), F.floor(F.col("n") / k).alias("w"), F.col("first").alias("ref"), "length", k.cast("long").alias("k"))
     opened = gaps.select(F.col("gap").alias("size"), F.lit(1).alias("up"), F.col("n").alias("w"), F.col("sequence").alias("ref"), F.lit(0).alias("length"), F.lit(1).alias("k"))
-    events = opened.unionByName(pieces).withColumns({"block": F.floor(F.col("size") / BLOCK), "step": F.when(F.col("up") == 1, F.col("w")).otherwise(-F.col("w"))})
+    events = _few(opened.unionByName(pieces)).withColumns({"block": F.floor(F.col("size") / BLOCK), "step": F.when(F.col("up") == 1, F.col("w")).otherwise(-F.col("w"))})
     order = [F.desc("size"), F.desc("up"), F.asc("ref")]
     carry = events.groupBy("block").agg(F.sum("step").alias("step"))
     upto = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     carry = carry.select("block", F.coalesce(F.sum("step").over(upto), F.lit(0)).alias("carry"))
     inside = F.sum("step").over(Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    events = events.withColumn("inside", inside).join(F.broadcast(carry), "block").withColumn("at", F.col("carry") + F.col("inside"))
+    events = events.withColumn("inside", inside).join(carry.hint("merge"), "block").withColumn("at", F.col("carry") + F.col("inside"))
     events = events.withColumns({"low": F.least("at", F.col("at") - F.col("step")), "high": F.greatest("at", F.col("at") - F.col("step"))})
     # levels between two neighbouring bounds of runs behave alike: a cell
     bounds = events.agg(F.array_sort(F.array_union(F.collect_set("low"), F.collect_set("high"))).alias("bounds"))
@@ -113,10 +118,10 @@ def sweep(left: DataFrame, gaps: DataFrame, size: int) -> DataFrame:
 def _after(left: DataFrame, gaps: DataFrame, placed: DataFrame) -> DataFrame:
     """kind, size, ref, n: the runs of pieces and of gaps after a round; pieces leave a run's head, gaps its tail."""
     used = placed.groupBy("length").agg(F.sum("n").alias("used"))
-    rest = left.join(F.broadcast(used), "length", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    rest = left.join(used.hint("merge"), "length", "left").withColumn("used", F.coalesce("used", F.lit(0)))
     rest = rest.select(F.lit("piece").alias("kind"), F.col("length").alias("size"), (F.col("first") + F.col("used")).alias("ref"), (F.col("n") - F.col("used")).alias("n"))
     filled = placed.groupBy(F.col("open").alias("sequence")).agg(F.sum(F.col("n") / F.col("k")).cast("long").alias("used"))
-    kept = gaps.join(F.broadcast(filled), "sequence", "left")
+    kept = gaps.join(filled.hint("merge"), "sequence", "left")
     kept = kept.select(F.lit("gap").alias("kind"), F.col("gap").alias("size"), F.col("sequence").alias("ref"), (F.col("n") - F.coalesce("used", F.lit(0))).alias("n"))
     fresh = placed.select(F.lit("gap").alias("kind"), (F.col("gap") - F.col("k") * F.col("length")).alias("size"), F.col("sequence").alias("ref"), (F.col("n") / F.col("k")).cast("long").alias("n"))
     return rest.union(kept).union(fresh).where("n > 0 and size > 0")
@@ -131,9 +136,10 @@ def best_fit(counts: DataFrame, size: int) -> DataFrame:
     """
     spark = counts.sparkSession
     plan = f"{scratch_dir(spark)}/plan-{uuid.uuid4().hex}"
-    state = stored(counts.select(F.lit("piece").alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("ref"), "n").coalesce(1), "state")
+    table = stored(_few(counts.select(F.lit("piece").alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("ref"), "n")), "state")
     opened, number, before, bundle = 0, 0, None, True
     while True:
+        state = _few(table)
         sizes = state.groupBy("kind", "size").agg(F.sum("n").alias("n")).collect()  # at most a row a kind and size
         lengths = {r["size"]: r.n for r in sizes if r.kind == "piece"}
         if not lengths:
@@ -148,16 +154,16 @@ def best_fit(counts: DataFrame, size: int) -> DataFrame:
         left = state.where("kind = 'piece'").select(F.col("size").alias("length"), F.col("ref").alias("first"), "n").crossJoin(facts)
         gaps = state.where("kind = 'gap'").crossJoin(facts).where("size >= least").select(F.col("size").alias("gap"), F.col("ref").alias("sequence"), "n")
         if fresh:
-            gaps = spark.sql(f"SELECT * FROM VALUES ({size}L, {opened}L, {fresh}L) AS t(gap, sequence, n)")
+            gaps = _few(spark.sql(f"SELECT * FROM VALUES ({size}L, {opened}L, {fresh}L) AS t(gap, sequence, n)"))
             opened += fresh
-        sweep(left, gaps, size).coalesce(1).write.parquet(f"{plan}/round={number}")
-        placed = spark.read.schema(PLAN).parquet(f"{plan}/round={number}")
-        state, last = stored(_after(left, gaps, placed).coalesce(1), "state"), state
+        _few(sweep(left, gaps, size)).write.parquet(f"{plan}/round={number}")
+        placed = _few(spark.read.schema(PLAN).parquet(f"{plan}/round={number}"))
+        table, last = stored(_few(_after(left, gaps, placed)), "state"), table
         dropped(last)
         number += 1
         if number % RELEASE == 0:
             released(spark)
-    dropped(state)
+    dropped(table)
     return spark.read.schema(f"{PLAN}, round int").parquet(plan) if number else spark.createDataFrame([], f"{PLAN}, round int")
 
 
