@@ -72,7 +72,8 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme that the session's Hadoop settings give it: a path without one is not always a local one."""
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
+    whole = own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
+    return f"file://{whole.removeprefix('file:')}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def revisits(pages: DataFrame) -> DataFrame:

@@ -695,7 +695,7 @@ def test_extra_columns_of_any_name_pass_through_all_stages(spark):
 
 def test_archives_go_to_the_default_file_system(spark):
     conf = spark._jsc.hadoopConfiguration()
-    assert warc.qualified(spark, "/chk/x") == "file:/chk/x" and warc._open("file:/chk/x")[1] == "/chk/x"
+    assert warc.qualified(spark, "/chk/x") == "file:///chk/x" and warc._open("file:///chk/x")[1] == warc._open("file:/chk/x")[1] == "/chk/x"
     before = conf.get("fs.defaultFS")
     conf.set("fs.viewfs.mounttable.chk.link./chk", "file:///tmp")
     conf.set("fs.defaultFS", "viewfs://chk/")
