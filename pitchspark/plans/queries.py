@@ -157,8 +157,7 @@ PAIRS = "SELECT a.p_partkey AS a_id, b.p_partkey AS b_id, a.p_name AS a, concat(
 def same_pairs(s, d):
     p = base(s, d, "part")
     other = p.select(F.col("p_partkey").alias("b_id"), F.expr("concat(CASE p_partkey % 4 WHEN 0 THEN substr(p_name, 1, 1) ELSE split_part(p_name, ' ', 2) END, ' ', split_part(p_name, ' ', CASE p_partkey % 4 WHEN 0 THEN 2 ELSE 1 END))").alias("b"), "p_size", "p_brand")
-    pairs = p.select(F.col("p_partkey").alias("a_id"), F.col("p_name").alias("a"), "p_size", "p_brand").join(other, ["p_size", "p_brand"]).where("a_id < b_id")
-    return pairs.select("a_id", "b_id", same_person("a", "b").alias("person"), same_club("a", "b").alias("club"))
+    return resolve.same_pairs(p.select(F.col("p_partkey").alias("a_id"), F.col("p_name").alias("a"), "p_size", "p_brand"), other, ["p_size", "p_brand"])
 
 
 @query("resolve_country", with_tables("countries", "SELECT n.n_nationkey AS id, c.code AS country_code FROM nation n LEFT JOIN countries c ON n.n_nationkey % 5 = CAST(substr(c.code, 2) AS INT) AND n.n_nationkey % 4 <> 3"))

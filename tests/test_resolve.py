@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from pitchspark.functions import same_person
+from pitchspark.functions import same_club, same_person
 from pitchspark.operators import resolve
 
 DAY = datetime.date
@@ -259,3 +259,14 @@ def test_ids_are_never_shared(spark):
         resolve.with_ids(rows_, ["a", "b"], bits=2)
     new, own = resolve.create_missing(spark.createDataFrame([(f"P{i}", 2000, 1, None) for i in range(30)], "player string, born int, club_id int, position string"), bits=6)
     assert new.select("id").distinct().count() == new.count() == 30 and own.select("player_id").distinct().count() == 30
+
+
+@pytest.mark.parametrize("tile", [4096, 7])
+def test_pairs_of_a_block_are_judged_once_a_pair_of_names(spark, tile):
+    names = ["ali kaya", "kaya ali", "a kaya", "kaya", None, "", "mehmet kaya", "fc kaya"]
+    left = spark.createDataFrame([(i, names[i * 7 % 8], "x" if i < 40 else "y" if i < 60 else None) for i in range(64)], "a_id int, a string, k string").coalesce(1)
+    right = spark.createDataFrame([(i, names[i * 5 % 8], "x" if i < 40 else "y" if i < 60 else None) for i in range(64)], "b_id int, b string, k string").coalesce(1)
+    plain = left.join(right, "k").where("a_id < b_id").select("a_id", "b_id", same_person("a", "b").alias("person"), same_club("a", "b").alias("club"))
+    got = resolve.same_pairs(left, right, ["k"], tile)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() == 40 * 39 // 2 + 20 * 19 // 2
+    assert len({r[0] for r in got.select(F.spark_partition_id()).distinct().collect()}) > 1
