@@ -25,7 +25,7 @@ from ..constants import (
     SHOT_RATIOS,
 )
 from ..functions import resolve_position_group, rounded
-from ..sources.scratch import counted, stored
+from ..sources.scratch import BROADCAST_ROWS, counted, stored
 
 SEASON_ROW = ("league_id", "club_id", "goals", "assists", "xg", "xa", "key_metrics", "position")
 
@@ -39,11 +39,9 @@ def merge_sources(stats: DataFrame, volume: str = "fbref", expected: str = "unde
     """
     order = F.struct(-F.coalesce("minutes", F.lit(0)), F.col("source"), F.col("club_id"))
     row = F.struct(*SEASON_ROW)
-    pick = lambda when: F.min_by(row, F.when(when, order) if when is not None else order)
+    first = F.struct(F.coalesce(F.col("source") != volume, F.lit(True)), order)
     rows = stats.where(F.col("minutes") >= min_minutes).groupBy("player_id", "season")
-    rows = rows.agg(F.max("minutes").alias("minutes"), pick(F.col("source") == volume).alias("v"), pick(F.col("source") == expected).alias("e"), pick(None).alias("a"))
-    v = F.when(F.col("v").isNotNull(), F.col("v")).otherwise(F.col("a"))
-    rows = rows.select("player_id", "season", "minutes", v.alias("v"), "e")
+    rows = rows.agg(F.max("minutes").alias("minutes"), F.min_by(row, first).alias("v"), F.min_by(row, F.when(F.col("source") == expected, order)).alias("e"))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
     held = lambda m: F.map_filter(F.coalesce(m, empty), lambda k, x: x.isNotNull())
     return rows.select(
@@ -61,31 +59,69 @@ def merge_sources(stats: DataFrame, volume: str = "fbref", expected: str = "unde
     )
 
 
-def _rates(merged: DataFrame) -> Column:
-    """array of (metric, value): what a season row has, per 90 minutes or as a ratio."""
+def _rates() -> dict[str, Column]:
+    """Of each metric what a season row has, per 90 minutes or as a ratio; null where it has none."""
     m = lambda name: F.col("key_metrics")[name]
-    entry = lambda name, value: F.struct(F.lit(name).alias("metric"), value.alias("value"))
-    rates = []
+    rates = {}
     for name in COUNTING_METRICS:
         total = F.col("goals") + F.col("assists") if name == "goal_contributions" else F.col(name) if name in COLUMN_METRICS else m(name)
-        rates.append(entry(name, rounded(total.cast("double") * 90 / F.col("minutes"), 4)))
-    rates += [entry(n, F.when(m("shots") >= MIN_SHOTS_FOR_RATIO, rounded(m(n), 4))) for n in SHOT_RATIOS]
-    rates += [entry(n, F.when(m("shots_on_target_against") >= MIN_SHOTS_FACED_FOR_RATIO, rounded(m(n), 4))) for n in KEEPER_RATIOS]
-    return F.filter(F.array(*rates), lambda e: e["value"].isNotNull())
+        rates[name] = rounded(total.cast("double") * 90 / F.col("minutes"), 4)
+    rates |= {n: F.when(m("shots") >= MIN_SHOTS_FOR_RATIO, rounded(m(n), 4)) for n in SHOT_RATIOS}
+    return rates | {n: F.when(m("shots_on_target_against") >= MIN_SHOTS_FACED_FOR_RATIO, rounded(m(n), 4)) for n in KEEPER_RATIOS}
 
 
-def keeper_gate(rates: Column, group: Column) -> Column:
+#: Metrics of a season row, and the columns that hold their values in wide form.
+RATED = {n: f"v_{n}" for n in sorted((*COUNTING_METRICS, *SHOT_RATIOS, *KEEPER_RATIOS))}
+PEERS = ("season", "position_group")
+
+
+def keeper_gate(rate: Column, saves: Column, group: Column) -> Column:
     """A keeper without saves keeps his row and loses every metric."""
-    return F.when((group == "GK") & ~F.exists(rates, lambda e: e["metric"] == "saves"), F.filter(rates, lambda e: F.lit(False))).otherwise(rates)
+    return F.when((group != "GK") | saves.isNotNull(), rate)
 
 
-PEERS = ("season", "position_group")
+def wide_rates(merged: DataFrame, min_minutes: int = MIN_MINUTES) -> DataFrame:
+    """player_id, season, position_group, league_id, club_id, minutes and a column a metric (``RATED``) of placed rows with enough minutes."""
+    rates = _rates()
+    rows = merged.where((F.col("minutes") >= min_minutes) & F.col("position_group").isNotNull())
+    rows = rows.select("player_id", *PEERS, "league_id", "club_id", "minutes", *[rates[n].alias(c) for n, c in RATED.items()])
+    return rows.withColumns({c: keeper_gate(F.col(c), F.col(RATED["saves"]), F.col("position_group")) for n, c in RATED.items()})
+
+
+def long_rates(wide: DataFrame) -> DataFrame:
+    """player_id, season, position_group, metric, value of ``wide_rates``."""
+    entries = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).alias("value")) for n, c in RATED.items()])
+    return wide.select("player_id", *PEERS, F.explode(entries).alias("r")).select("player_id", *PEERS, "r.metric", "r.value").where("value is not null")
 
 
 def per90_values(merged: DataFrame, min_minutes: int = MIN_MINUTES) -> DataFrame:
     """Long form: player_id, season, position_group, metric, value of placed players with enough minutes."""
-    rows = merged.where((F.col("minutes") >= min_minutes) & F.col("position_group").isNotNull()).withColumn("rates", _rates(merged))
-    return rows.select("player_id", *PEERS, F.explode(keeper_gate(F.col("rates"), F.col("position_group"))).alias("r")).select("player_id", *PEERS, "r.metric", "r.value")
+    return long_rates(wide_rates(merged, min_minutes))
+
+
+def value_ranks(long: DataFrame, by: Sequence[str] = PEERS, negative: Sequence[str] = NEGATIVE_METRICS, most: int = BROADCAST_ROWS) -> DataFrame | None:
+    """by, metric, value and its zscore, percentile and sample_size (null in groups of one); None where more than ``most`` values differ.
+
+    Equal values of a group have equal ranks, so a table of them all, counted and small enough, says each row's.
+    """
+    keys = [*by, "metric"]
+    counts = stored(long.groupBy(*keys, "value").agg(F.count("*").alias("n")), "values")
+    if counts.count() > most:
+        return None
+    group = Window.partitionBy(*keys)
+    n, v = F.col("n"), F.col("value")
+    facts = counts.withColumns({"total": F.sum("n").over(group), "upto": F.sum("n").over(group.orderBy("value")), "low": F.min("value").over(group), "high": F.max("value").over(group)})
+    facts = facts.withColumn("mean", F.sum(n * v).over(group) / F.col("total"))
+    facts = facts.withColumn("stdev", F.sqrt(F.sum(n * F.pow(v - F.col("mean"), F.lit(2))).over(group) / F.col("total")))
+    flat, z, total = F.col("low") == F.col("high"), (v - F.col("mean")) / F.col("stdev"), F.when(F.col("total") >= 2, F.col("total"))
+    return stored(facts.select(*keys, "value", *_ranked(z, flat, F.col("upto") - n + n / 2, total, negative)), "ranks")
+
+
+def _ranked(z: Column, flat: Column, lower: Column, total: Column, negative: Sequence[str]) -> list[Column]:
+    """zscore (0 where a group is ``flat``), percentile and sample_size; ``lower``: rows below, and half of the equal ones."""
+    less, share = F.col("metric").isin(*negative), lower / total
+    z = F.when(flat, 0.0).otherwise(rounded(F.when(less, -1.0).otherwise(1.0) * z, 3))
+    return [F.when(total.isNotNull(), z).alias("zscore"), rounded(F.when(less, 1 - share).otherwise(share), 3).alias("percentile"), total.cast("int").alias("sample_size")]
 
 
 def _local_ranks(keys: Sequence[str]):
@@ -137,10 +173,22 @@ def _range_facts(pieces: DataFrame, keys: list[str]) -> DataFrame:
 def peer_rank(long: DataFrame, by: tuple[str, ...] = PEERS, negative: tuple[str, ...] = NEGATIVE_METRICS, parts: int | None = None) -> DataFrame:
     """``long`` with zscore, percentile and sample_size among the holders of the metric in its group.
 
-    Percentiles are midpoint ranks. Metrics that one player holds have none. The rows are shuffled and sorted once, in
-    ranges of (group, metric, value, player), so a value that very many have is several ranges. Ranks within a range are
-    counted beside the rows and stored with them; what other ranges add comes from a table of one row a group and range.
-    ``parts``: ranges, by default the shuffle partitions; a task holds one range.
+    Percentiles are midpoint ranks. Metrics that one player holds have none. Where few enough values differ, rows look their
+    ranks up in ``value_ranks`` and are not shuffled; else, and where ``parts`` is given, they are ranked by ``range_rank``.
+    """
+    ranks = None if parts else value_ranks(long, by, negative)
+    return range_rank(long, by, negative, parts) if ranks is None else long.join(F.broadcast(ranks), [*by, "metric", "value"], "left").select(*long.columns, *RANKS)
+
+
+RANKS = ("zscore", "percentile", "sample_size")
+
+
+def range_rank(long: DataFrame, by: Sequence[str] = PEERS, negative: Sequence[str] = NEGATIVE_METRICS, parts: int | None = None) -> DataFrame:
+    """``peer_rank`` of any values: the rows are shuffled and sorted once, in ranges of (group, metric, value, player).
+
+    A value that very many have is several ranges. Ranks within a range are counted beside the rows and stored with them;
+    what other ranges add comes from a table of one row a group and range. ``parts``: ranges, by default the shuffle
+    partitions; a task holds one range.
     """
     keys = [*by, "metric"]
     order = [*keys, "value", *[c for c in long.columns if c not in (*keys, "value")]]
@@ -152,18 +200,19 @@ def peer_rank(long: DataFrame, by: tuple[str, ...] = PEERS, negative: tuple[str,
     facts = counted(stored(_range_facts(stored(pieces, "pieces"), keys), "ranges"))
     found = rows.join(facts, [*keys, "part"], "left")
     pick = lambda c, inside: F.when(F.col("value") == F.col("low"), F.col(f"low_{c}")).when(F.col("value") == F.col("high"), F.col(f"high_{c}")).otherwise(inside)
-    less = F.col("metric").isin(*negative)
-    z = F.when(F.col("g_low") == F.col("g_high"), 0.0).otherwise(rounded(F.when(less, -1.0).otherwise(1.0) * (F.col("value") - F.col("g_mean")) / F.col("g_stdev"), 3))
-    rank = (pick("below", F.col("earlier") + F.col("below")) + pick("equal", F.col("equal")) / 2) / F.col("total")
-    ranked = [F.when(F.col("total").isNotNull(), z).alias("zscore"), rounded(F.when(less, 1 - rank).otherwise(rank), 3).alias("percentile"), F.col("total").cast("int").alias("sample_size")]
-    return found.select(*long.columns, *ranked)
+    lower = pick("below", F.col("earlier") + F.col("below")) + pick("equal", F.col("equal")) / 2
+    z = (F.col("value") - F.col("g_mean")) / F.col("g_stdev")
+    return found.select(*long.columns, *_ranked(z, F.col("g_low") == F.col("g_high"), lower, F.col("total"), negative))
+
 
+def role_vector(percentile: Column, group: Column, axes: tuple[str, ...] = ROLE_AXES, min_norm: float = MIN_VECTOR_NORM, held: Column | None = None) -> Column:
+    """Percentiles on fixed axes, recentred to [-1, 1]; an absent axis is 0. None for keepers and near the origin.
 
-def role_vector(percentile: Column, group: Column, axes: tuple[str, ...] = ROLE_AXES, min_norm: float = MIN_VECTOR_NORM) -> Column:
-    """Percentiles on fixed axes, recentred to [-1, 1]; an absent axis is 0. None for keepers and near the origin."""
+    ``percentile``: a map, or a struct of the axes with ``held``, whether there is any percentile.
+    """
     vector = F.array(*[rounded((F.coalesce(percentile[a], F.lit(0.5)) - 0.5) * 2, 4) for a in axes])
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when((group != "GK") & (F.size(percentile) > 0) & (norm >= min_norm), vector)
+    return F.when((group != "GK") & (F.size(percentile) > 0 if held is None else held) & (norm >= min_norm), vector)
 
 
 def placed(merged: DataFrame, players: DataFrame) -> DataFrame:
@@ -175,23 +224,47 @@ def placed(merged: DataFrame, players: DataFrame) -> DataFrame:
 def metrics_long(stats: DataFrame, players: DataFrame, season: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(placed season rows, their ranked metrics in long form)."""
     rows = placed(merge_sources(stats.where(F.col("season") == season) if season else stats), players)
-    return rows, peer_rank(per90_values(rows))
+    return rows, ranked_rates(rows)
+
+
+def ranked_rates(rows: DataFrame) -> DataFrame:
+    """The ranked metrics of placed season rows in long form; their rates are worked out and stored once."""
+    return peer_rank(long_rates(stored(wide_rates(rows), "rates")))
 
 
 def compute_metrics(stats: DataFrame, players: DataFrame, season: str | None = None) -> DataFrame:
     """player_id, season, position_group, league_id, club_id, minutes, maps per90, zscore, percentile, sample_size, and embedding."""
-    rows, long = metrics_long(stats, players, season)
-    keys = ["player_id", *PEERS]
-    entries = F.sort_array(F.collect_list(F.struct("metric", "value", "zscore", "percentile", "sample_size")))
-    folded = long.groupBy(*keys).agg(entries.alias("e"))
-    ranked = F.filter("e", lambda x: x["sample_size"].isNotNull())
-    pairs = lambda c, field: F.map_from_entries(F.transform(c, lambda x: F.struct(x["metric"], x[field])))
-    folded = folded.select(*keys, pairs("e", "value").alias("per90"), *[pairs(ranked, n).alias(n) for n in ("zscore", "percentile", "sample_size")])
-    base = rows.where("position_group is not null").select("player_id", *PEERS, "league_id", "club_id", "minutes")
-    out = base.join(folded, keys, "left")
-    blank = lambda c, kind: F.coalesce(c, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{kind}>"))).alias(c)
-    out = out.select(*base.columns, blank("per90", "double"), blank("zscore", "double"), blank("percentile", "double"), blank("sample_size", "int"))
-    return out.withColumn("embedding", role_vector(F.col("percentile"), F.col("position_group")))
+    return metrics_of(placed(merge_sources(stats.where(F.col("season") == season) if season else stats), players))
+
+
+def metrics_of(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``compute_metrics`` of placed season rows.
+
+    Their rates are stored once, a row a season row. Where few enough values differ, each of its metrics looks its ranks up
+    in a broadcast table of them, so that no row is shuffled or taken apart; else ranks come in long form and are folded.
+    """
+    wide = stored(wide_rates(rows, 0), "rates")
+    ranks = value_ranks(long_rates(wide), most=most)
+    rank = F.array(*[F.col(c).cast("double") for c in RANKS])  # one column, whatever it holds: joins of many fields are not compiled
+    if ranks is None:
+        keys = ["player_id", *PEERS]
+        folded = range_rank(long_rates(wide)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("metric", rank))).alias("_ranks"))
+        found = wide.join(folded, keys, "left").select(*wide.columns, *[F.col("_ranks")[n].alias(f"r_{n}") for n in RATED])
+    else:
+        found = wide
+        for n, c in RATED.items():
+            own = ranks.where(F.col("metric") == n).select(*PEERS, F.col("value").alias(c), rank.alias(f"r_{n}"))
+            found = found.join(F.broadcast(own), [*PEERS, c], "left")
+    found = found.withColumns({"metric": F.array(*map(F.lit, RATED)), "value": F.array(*RATED.values()), "rank": F.array(*[f"r_{n}" for n in RATED])})
+    held = F.filter(F.arrays_zip("metric", "value", "rank"), lambda e: e["value"].isNotNull())
+    percentile = F.struct(*[F.get(f"r_{a}", F.lit(RANKS.index("percentile"))).alias(a) for a in ROLE_AXES])
+    some = F.coalesce(*[F.get(f"r_{n}", F.lit(RANKS.index("percentile"))) for n in RATED]).isNotNull()
+    found = found.select("player_id", *PEERS, "league_id", "club_id", "minutes", held.alias("held"), role_vector(percentile, F.col("position_group"), held=some).alias("embedding"))
+    of = lambda e, i: F.get(e["rank"], F.lit(i))
+    pairs = lambda c, value: F.map_from_entries(F.transform(c, lambda e: F.struct(e["metric"], value(e))))
+    ranked = F.filter("held", lambda e: of(e, 1).isNotNull())
+    maps = [pairs(ranked, lambda e, i=i, c=c: of(e, i).cast("int") if c == "sample_size" else of(e, i)).alias(c) for i, c in enumerate(RANKS)]
+    return found.select("player_id", *PEERS, "league_id", "club_id", "minutes", pairs(F.col("held"), lambda e: e["value"]).alias("per90"), *maps, "embedding")
 
 
 def metrics_report(metrics: DataFrame, merged: DataFrame) -> DataFrame:

@@ -82,15 +82,16 @@ def inputs(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", sql)))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the domain, over the driver's tables in ``sf_dir``."""
+def table(spark: SparkSession, sf_dir: str, name: str, dealt: dict[str, str] | None = None) -> DataFrame:
+    """A table of the domain, over the driver's tables in ``sf_dir``. ``dealt``: inputs shuffled first, by the column named."""
     sql = TABLES[name]
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in inputs(sql)})
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in inputs(sql)}
+    return spark.sql(sql, **frames | {t: frames[t].repartition(c) for t, c in (dealt or {}).items()})
 
 
 def season_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Season rows with their metric map."""
-    wide = table(spark, sf_dir, "season_stats")
+    """Season rows with their metric map. Their lines are dealt by player, once: what groups by player shuffles no wide rows."""
+    wide = table(spark, sf_dir, "season_stats", {"lineitem": "l_partkey"})
     pairs = F.array(*[F.struct(F.lit(m).alias("key"), F.col(m).alias("value")) for m in MAP_METRICS])
     return wide.withColumn("key_metrics", F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())))
 

@@ -424,7 +424,7 @@ def both_rows(s, d):
 
 
 def long_rows(s, d):
-    return metrics.peer_rank(metrics.per90_values(placed_rows(s, d))).where("percentile is not null").select("player_id", "season", "position_group", "metric", "percentile", F.col("value").alias("per90"), "sample_size")
+    return metrics.ranked_rates(placed_rows(s, d)).where("percentile is not null").select("player_id", "season", "position_group", "metric", "percentile", F.col("value").alias("per90"), "sample_size")
 
 
 @query("merge_sources", over_metrics("SELECT player_id, season, minutes, league_id, club_id, goals, assists, xg, xa, shots, saves, position_hint FROM merged"))
@@ -445,7 +445,7 @@ def keeper_gate(s, d):
 
 @query("peer_rank", over_metrics(f"SELECT {K3}, metric, value, zscore, percentile, sample_size FROM ranked"))
 def peer_rank(s, d):
-    return metrics.peer_rank(metrics.per90_values(placed_rows(s, d)))
+    return metrics.ranked_rates(placed_rows(s, d))
 
 
 _AXIS = [r(f"(coalesce(max(CASE WHEN metric = '{a}' THEN percentile END), 0.5) - 0.5) * 2", 4) for a in ROLE_AXES]
@@ -466,7 +466,8 @@ def compute_metrics(s, d):
 
 @query("metrics_report", over_metrics("SELECT p.season, p.position_group, count(*) AS n, count(x.player_id) AS n_vectors FROM placed p LEFT JOIN vectors x USING (player_id, season) GROUP BY p.season, p.position_group", extra=VECTORS))
 def metrics_report(s, d):
-    return metrics.metrics_report(metric_rows(s, d), placed_rows(s, d))
+    rows = written(placed_rows(s, d), "placed")
+    return metrics.metrics_report(metrics.metrics_of(rows), rows)
 
 
 @query("league_strength", with_tables("leagues clubs people", f", b AS (SELECT c.league_id, median(market_value_eur) AS m FROM people p JOIN clubs c ON c.id = p.current_club_id WHERE market_value_eur > 0 GROUP BY 1 HAVING count(*) >= 5), x AS (SELECT league_id, log10(m) AS l, min(log10(m)) OVER () AS lo, max(log10(m)) OVER () AS hi FROM b) SELECT g.id, coalesce({r('0.05::DOUBLE + 0.95::DOUBLE * CASE WHEN hi <= lo THEN 1.0 ELSE (l - lo) / (hi - lo) END', 3)}, g.strength_coef) AS strength_coef, CASE WHEN x.league_id IS NOT NULL THEN 'market-value' END AS coef_source FROM leagues g LEFT JOIN x ON x.league_id = g.id"))

@@ -356,3 +356,17 @@ def test_tiles_are_passed_over_without_losing_a_neighbour(spark):
     visits, cands = discovery.tile_visits(vectors, k=5, tile=40)
     tiles = cands.select("season", "position_group", "p", "s").distinct().count()
     assert visits.count() < 0.5 * 1200 * tiles
+
+
+def test_metrics_look_their_ranks_up_without_a_shuffle(spark):
+    rng = np.random.default_rng(5)
+    stats = [(i, s, 1, 1, ("fbref", "understat", "other")[i % 3], 900 + 90 * int(rng.integers(0, 4)), int(rng.integers(0, 4)), None, 1.5 if i % 3 == 1 else None, None, {"shots": float(rng.integers(10, 40)), "fouls": float(rng.integers(0, 5)), "saves": 3.0 if i % 5 else None}, ("GK", "DF", "MF", "FW", "?")[i % 5 if i < 59 else 2]) for i in range(60) for s in ("a", "b")]
+    stats.append((99, "c", 1, 1, "fbref", 900, 1, 1, None, None, {}, "FW"))
+    placed = metrics.placed(metrics.merge_sources(spark.createDataFrame(stats, STATS)), spark.createDataFrame([(i, None) for i in range(100)], "id int, position string"))
+    looked, ranged = metrics.metrics_of(placed), metrics.metrics_of(placed, most=0)
+    as_rows = lambda df: sorted((tuple(sorted(v.items()) if isinstance(v, dict) else v for v in r) for r in df.collect()), key=repr)
+    assert looked.schema.simpleString() == ranged.schema.simpleString() and as_rows(looked) == as_rows(ranged)
+    assert any(r.percentile for r in looked.collect()) and looked.where("player_id = 99").first().percentile == {} and looked.where("player_id = 99").first().per90["goals"] == 0.1
+    assert "hashpartitioning" not in looked._jdf.queryExecution().executedPlan().toString()
+    long = metrics.per90_values(placed)
+    assert rows(metrics.peer_rank(long)) == rows(metrics.peer_rank(long, parts=3))
