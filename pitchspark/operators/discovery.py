@@ -227,13 +227,11 @@ def tile_visits(vectors: DataFrame, pool: DataFrame | None = None, k: int = 10,
     return stored(visits, "visits"), tiles.where("found").drop("found")
 
 
-def similar_players(vectors: DataFrame, pool: DataFrame | None = None, k: int = 10, block: Sequence[str] = ("season", "position_group"), tile: int = TILE) -> DataFrame:
-    """For every row of ``vectors`` (player_id, block, embedding) its ``k`` nearest by cosine distance within the block, not itself.
+def nearest_rows(vectors: DataFrame, pool: DataFrame | None = None, k: int = 10, block: Sequence[str] = ("season", "position_group"), tile: int = TILE) -> DataFrame:
+    """block, player_id, rank, candidate_id, distance (nine digits): of every row its ``k`` nearest in the block, not itself.
 
-    ``pool``: player_id and block of the rows that may be found (all by default). Exact: a block is cut into tiles of like
-    rows, each row visits the tiles that ``tile_visits`` can't rule out, and the best of those count. A task compares about
-    ``tile`` rows with about as many; no block meets in one task. Distances are compared at nine digits, lower ids first among
-    equals, and given with four.
+    Exact: a block is cut into tiles of like rows, each row visits the tiles that ``tile_visits`` can't rule out, and the best
+    of those count. A task compares about ``tile`` rows with about as many; no block meets in one task.
     """
     block = list(block)
     visits, cands = tile_visits(vectors, pool, k, block, tile)
@@ -270,8 +268,34 @@ def similar_players(vectors: DataFrame, pool: DataFrame | None = None, k: int =
 
     by = [*where, "part"]
     partial = refs.groupBy(*by).cogroup(every.groupBy(*[f"c_{c}" for c in by])).applyInPandas(nearest, schema)
-    best = top_rows(partial, ["player_id", *block], ["distance", "candidate_id"], k, "rank")
-    return best.select("player_id", *block, "rank", "candidate_id", rounded(F.col("distance"), 4).alias("distance"))
+    return top_rows(partial, ["player_id", *block], ["distance", "candidate_id"], k, "rank")
+
+
+def similar_players(vectors: DataFrame, pool: DataFrame | None = None, k: int = 10, block: Sequence[str] = ("season", "position_group"), tile: int = TILE) -> DataFrame:
+    """For every row of ``vectors`` (player_id, block, embedding) its ``k`` nearest by cosine distance within the block, not itself.
+
+    ``pool``: player_id and block of the rows that may be found (all by default). Exact. Equal vectors of a block are one
+    class, named by its lowest id that may be found, else its lowest; only classes are compared (``nearest_rows``). A class offers its k + 1 lowest ids, and a row
+    takes the best of what its own and the k nearest classes offer, less itself. Distances are compared at nine digits, lower
+    ids first among equals, and given with four.
+    """
+    block = list(block)
+    rows = vectors.select("player_id", *block, "embedding")
+    marked = rows.withColumn("found", F.lit(True)) if pool is None else rows.join(pool.select("player_id", *block).distinct().withColumn("found", F.lit(True)), ["player_id", *block], "left")
+    named = marked.groupBy(*block, "embedding").agg(F.coalesce(F.min(F.when(F.col("found"), F.col("player_id"))), F.min("player_id")).alias("class"))
+    member = stored(marked.join(named, [*block, "embedding"]), "members")
+    offers = stored(top_rows(member.where("found").select(*block, "class", "player_id"), [*block, "class"], ["player_id"], k + 1), "offers")
+    classes = stored(member.where("player_id = class").select("player_id", *block, "embedding"), "classes")
+    offering = offers.select(F.col("class").alias("player_id"), *block).distinct()
+    near = nearest_rows(classes, None if pool is None else offering, k, block, tile).select(*block, F.col("player_id").alias("class"), F.col("candidate_id").alias("other"), "distance")
+    self = F.when(F.exists("embedding", lambda x: x != 0), 0.0).otherwise(1.0)  # what has no direction is as far from its like as from all
+    own = classes.select(*block, F.col("player_id").alias("class"), F.col("player_id").alias("other"), self.alias("distance"))
+    offered = near.unionByName(own).join(offers.select(*block, F.col("class").alias("other"), F.col("player_id").alias("candidate_id")), [*block, "other"])
+    best = top_rows(offered, [*block, "class"], ["distance", "candidate_id"], k + 1)
+    lists = best.groupBy(*block, "class").agg(F.sort_array(F.collect_list(F.struct("distance", "candidate_id"))).alias("best"))
+    mine = member.join(lists, [*block, "class"]).select("player_id", *block, F.slice(F.filter("best", lambda x: x["candidate_id"] != F.col("player_id")), 1, k).alias("best"))
+    out = mine.select("player_id", *block, F.posexplode("best").alias("at", "x"))
+    return out.select("player_id", *block, (F.col("at") + 1).alias("rank"), "x.candidate_id", rounded(F.col("x.distance"), 4).alias("distance"))
 
 
 def progression(metrics: DataFrame, long: DataFrame) -> DataFrame:

@@ -370,3 +370,25 @@ def test_metrics_look_their_ranks_up_without_a_shuffle(spark):
     assert "hashpartitioning" not in looked._jdf.queryExecution().executedPlan().toString()
     long = metrics.per90_values(placed)
     assert rows(metrics.peer_rank(long)) == rows(metrics.peer_rank(long, parts=3))
+
+
+def test_equal_vectors_are_compared_as_one_class(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    kinds = rng.integers(-2, 3, (12, 3)).astype(float)
+    kinds[0] = 0
+    x = kinds[rng.integers(0, 12, 300)]
+    vectors = spark.createDataFrame([(i, "s", "FW", v) for i, v in enumerate(x.tolist())], "player_id long, season string, position_group string, embedding array<double>")
+    seen, plain = [], discovery.nearest_rows
+    monkeypatch.setattr(discovery, "nearest_rows", lambda df, *a: seen.append(df.count()) or plain(df, *a))
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    far = np.round(1 - unit @ unit.T, 9)
+    np.fill_diagonal(far, np.inf)
+    for allowed in (list(range(300)), [i for i in range(300) if i % 4 == 3]):
+        pool = None if len(allowed) == 300 else vectors.where("player_id % 4 = 3")
+        got = {}
+        for r in rows(discovery.similar_players(vectors, pool, k=6, tile=5), "player_id", "rank", "candidate_id"):
+            got.setdefault(r[0], []).append(r[1:])
+        for i in range(300):
+            want = sorted((far[i, j] + 0.0, j) for j in allowed if j != i)[:6]
+            assert [c for _, c in sorted(got[i])] == [j for _, j in want]
+    assert max(seen) <= len(np.unique(x, axis=0)) <= 12
